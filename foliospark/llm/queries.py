@@ -10,10 +10,12 @@ from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
 from foliospark.llm.simhash import op1_simhash
+from foliospark.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
 }
