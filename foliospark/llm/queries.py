@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
+from foliospark.llm.sharding import ORACLE as OP2_SQL
+from foliospark.llm.sharding import op2_sharding
 from foliospark.llm.simhash import op1_simhash
 from foliospark.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_sharding": op2_sharding,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+}
