@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.decontaminate import op8_decontaminate
+from foliospark.llm.embeddings import op10_embeddings
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
 from foliospark.llm.sharding import ORACLE as OP2_SQL
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
