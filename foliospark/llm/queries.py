@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.chat import ORACLE as OP7_SQL
+from foliospark.llm.chat import op7_chat
 from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.embeddings import op10_embeddings
 from foliospark.llm.packing import op5_packing
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
@@ -27,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op7_chat": OP7_SQL,
 }
