@@ -10,6 +10,7 @@ from foliospark.llm.chat import ORACLE as OP7_SQL
 from foliospark.llm.chat import op7_chat
 from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.embeddings import op10_embeddings
+from foliospark.llm.maxent import op4_maxent
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
 from foliospark.llm.sharding import ORACLE as OP2_SQL
@@ -20,6 +21,7 @@ from foliospark.llm.toxicity import op6_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
+    "op4_maxent": op4_maxent,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
