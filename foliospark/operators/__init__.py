@@ -1 +1 @@
-
+"""Operators over pages, blocks, chunks and translations."""

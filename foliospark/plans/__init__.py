@@ -1 +1 @@
-
+"""Pipelines, and queries over the driver tables."""

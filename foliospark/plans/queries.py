@@ -1,3 +1,279 @@
-"""Queries over the driver tables, one per operator."""
+"""Queries over the driver tables, one per operator; plans.bindings says how the tables are bound to them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.functions import text as T
+from foliospark.operators import blocks, chunks, pairs, report, titles, translate, verify
+from foliospark.plans import bindings as B
+from foliospark.streaming import events as E
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query
+def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(0)
+    block = lambda x: F.struct(F.lit("text").alias("type"), none.alias("x1"), none.alias("y1"), none.alias("x2"), none.alias("y2"), x.alias("text"))
+    page = B.read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), block).alias("b"))
+    return page.select("doc_id", F.posexplode(blocks.drop_repeats(F.col("b"))).alias("pos", "b")).select("doc_id", "pos", F.col("b.text").alias("line"))
+
+
+@query
+def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line is followed by its own last 30 characters, so that there are fragments."""
+    none = F.lit(0)
+    block = lambda x: F.struct(F.lit("text").alias("type"), none.alias("x1"), none.alias("y1"), none.alias("x2"), none.alias("y2"), x.alias("text"))
+    twice = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.array(block(x), block(F.right(x, F.lit(30))))))
+    page = B.read(spark, sf_dir, "documents").select("doc_id", blocks.drop_fragments(twice).alias("b"))
+    return page.select("doc_id", F.posexplode("b").alias("pos", "b")).select("doc_id", "pos", F.col("b.text").alias("line"))
+
+
+@query
+def invalid_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, some turned into markers or mixed with them."""
+    k = F.pmod(F.col("doc_id") + F.col("seq"), F.lit(6))
+    line = F.when(k == 0, " [Non-Text] ").when(k == 1, F.concat(F.lit("[non text][NON-TEXT] "), F.left("line", F.lit(12)))).when(k == 2, F.concat(F.lit("[non-text] "), F.left("line", F.lit(9)))).when(k == 3, "[BLANK]").otherwise(F.col("line"))
+    marked = B.lines(spark, sf_dir).withColumn("line", line)
+    return marked.where(~blocks.is_empty_marker(F.col("line"))).select("doc_id", "seq", "line")
+
+
+@query
+def merge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of a document as text blocks 40 apart, 20 high; every seventh lies far below."""
+    y = F.col("seq") * 40 + F.floor(F.col("seq") / 7) * 200
+    rows = B.text_slices(spark, sf_dir).select("doc_id", "seq", F.struct(F.lit("text").alias("type"), F.lit(0).alias("x1"), y.cast("int").alias("y1"), F.lit(100).alias("x2"), (y + 20).cast("int").alias("y2"), F.col("text")).alias("b"))
+    page = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("m")).select("doc_id", blocks.merge_continuations(F.col("m.b")).alias("b"))
+    return page.select("doc_id", F.posexplode("b").alias("pos", "b")).select("doc_id", "pos", F.col("b.y1").alias("y1"), F.col("b.y2").alias("y2"), F.col("b.text").alias("merged"))
+
+
+@query
+def parse_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.page_ocr(spark, sf_dir).select("doc_id", "page", F.posexplode(blocks.parse(F.col("ocr_text"))).alias("pos", "b")).select("doc_id", "page", "pos", "b.*")
+
+
+@query
+def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.page_ocr(spark, sf_dir).select("doc_id", "page", F.explode(blocks.classify(blocks.parse(F.col("ocr_text")))).alias("r"))
+    return rows.select("doc_id", "page", "r.idx", "r.type", "r.en", "r.zh", "r.passthrough", blocks.ui_passthrough(F.col("r.type")).alias("ui_passthrough"), blocks.report_kept(F.col("r.type"), F.col("r.en")).alias("report_kept"))
+
+
+@query
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page steps in order."""
+    return blocks.clean_pages(B.page_ocr(spark, sf_dir))
+
+
+@query
+def fix_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.concat(F.lit(r"\(a\) "), F.col("line"), F.lit(r" \[b\]"))
+    return B.lines(spark, sf_dir).select("doc_id", "seq", blocks.fix_latex(source).alias("fixed"))
+
+
+@query
+def merge_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks; equations by position, every other one a lone `$$`."""
+    k = lambda i: F.pmod(F.col("doc_id") + i, F.lit(4))
+    row = lambda x, i: F.struct(
+        i.cast("int").alias("idx"), F.when(k(i) < 3, "equation").otherwise("text").alias("type"), F.when(k(i) == 0, "$$").otherwise(x).alias("en"), F.lit("").alias("zh"),
+        F.lit(True).alias("passthrough"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.lit(1).alias("x2"), F.lit(1).alias("y2"),
+    )
+    page = B.read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), row).alias("r"))
+    return page.select("doc_id", F.explode(blocks.merge_equations(F.col("r"), blocks.ROW)).alias("r")).select("doc_id", "r.idx", "r.type", "r.en")
+
+
+@query
+def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = {"x1": F.col("l_partkey") % 900, "y1": F.col("l_suppkey") % 900, "x2": F.col("l_partkey") % 900 + 100, "y2": F.col("l_suppkey") % 900 + 120}
+    return B.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", blocks.crop_box(row, F.lit(1224), F.lit(1584)).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query
+def figure_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.page_ocr(spark, sf_dir).select("doc_id", "page", F.posexplode(blocks.classify(blocks.parse(F.col("ocr_text")))).alias("seq", "r")).select("doc_id", "page", "seq", "r.*")
+    return blocks.figures(rows).select("doc_id", "page", "idx", "figure_id")
+
+
+@query
+def pseudo_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, cut to differing lengths."""
+    cut = F.left("line", (F.col("seq") * 17 % 140 + 10).cast("int"))
+    return B.lines(spark, sf_dir).select("doc_id", "seq", titles.is_pseudo_title(cut).alias("pseudo"), titles.is_skipped(B.line_kind(), cut).alias("skipped"))
+
+
+@query
+def length_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return B.read(spark, sf_dir, "documents").select("doc_id", titles.route(text).alias("route"), titles.needs_no_check(text).alias("unchecked"))
+
+
+@query
+def cross_page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.cross_page_pairs(B.slice_rows(spark, sf_dir)).select("doc_id", "page_a", "seq_a", "page_b", "seq_b")
+
+
+@query
+def consumed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.slice_rows(spark, sf_dir)
+    return pairs.without_consumed(rows, pairs.cross_page_pairs(rows)).select("doc_id", "page", "seq")
+
+
+@query
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs over several pages, one slice a page."""
+    rows = B.slice_rows(spark, sf_dir).withColumn("page", F.col("seq") + 1)
+    return pairs.chains(pairs.cross_page_pairs(rows)).groupBy("doc_id", "chain").agg(F.count("*").alias("links"))
+
+
+@query
+def split_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full stops become Chinese ones; the ratio goes with doc_id."""
+    d = chunks.divide(F.replace("text", F.lit("."), F.lit("。")), (F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 3).cast("int"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", d.alias("d")).select("doc_id", "d.zh1", "d.zh2")
+
+
+@query
+def similarity_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.turn_pairs(spark, sf_dir).where("t1 is not null").select("conv_id", "turn", F.round(verify.similarity(F.col("t0"), F.col("t1")), 6).alias("similarity"))
+
+
+@query
+def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "conversations").select("conv_id", "turn", verify.threshold(F.col("text")).alias("threshold"))
+
+
+@query
+def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "documents").select("doc_id", verify.audit_bucket(F.col("text")).alias("bucket"), verify.is_audited(F.col("text")).alias("audited"))
+
+
+@query
+def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acronyms of the texts."""
+    found = F.filter(verify.protected_spans(F.col("text")), lambda s: s.rlike(r"^[A-Z]{2,}(?:[-_][A-Z0-9]+)*$"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("acronyms"), F.array_join(found, ",").alias("spans"))
+
+
+@query
+def fast_gate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and their successors, some successors empty, labelled or failed."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    target = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("Translation: "), F.col("t1"))).when(k == 2, F.concat(F.lit("[ERROR: "), F.col("t1"))).otherwise(F.col("t1"))
+    return B.turn_pairs(spark, sf_dir).where("t1 is not null").select("conv_id", "turn", verify.gate_reason(F.col("t0"), target).alias("reason"))
+
+
+@query
+def verify_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sources, the turns after them as recorded outputs; every third back-translation is the source."""
+    same = F.col("turn") % 3 == 0
+    back1, back2 = F.when(same, F.col("t0")).otherwise(F.col("t2")), F.when(F.col("conv_id") % 2 == 0, F.col("t0")).otherwise(F.col("t3"))
+    rows = B.turn_pairs(spark, sf_dir, 3).where("t1 is not null").select("conv_id", "turn", verify.outcome(F.col("t0"), F.col("t1"), back1, F.col("t2"), back2).alias("o"))
+    return rows.select("conv_id", "turn", "o.outcome", F.md5(F.coalesce("o.final_zh", F.lit("")).cast("binary")).alias("final_md5"), "o.back_verified")
+
+
+@query
+def verifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.turn_pairs(spark, sf_dir, 2).where("t1 is not null").select("conv_id", "role", verify.outcome(F.col("t0"), F.col("t1"), F.col("t0"), F.col("t2"), F.col("t2"), strategy="full").alias("o"))
+    return report.verifier_counts(rows, ["role"])
+
+
+@query
+def han_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zh = F.translate("text", "aeiou", "的一是在不")
+    return B.read(spark, sf_dir, "documents").select("doc_id", T.han_count(zh).cast("long").alias("han"), F.length(T.without_space(zh)).cast("long").alias("size"))
+
+
+@query
+def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a label in front and a second paragraph after their first lines."""
+    output = F.concat(F.lit("\n--- \nChinese: "), F.replace("text", F.lit(".\nT"), F.lit(".\n\nT")), F.lit("\nEnglish: x"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", translate.clean_output(output).alias("cleaned"))
+
+
+@query
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("seq"), F.col("text").alias("en"), F.reverse("text").alias("zh"))
+    asked = translate.prompt(F.col("en"), F.lit("databases"), F.col("prev_en"), F.col("prev_zh"))
+    return translate.with_context(rows).select("doc_id", "seq", F.md5(asked.cast("binary")).alias("prompt_md5"), F.length(asked).cast("long").alias("prompt_chars"))
+
+
+@query
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System turns have no translation, every fifth failed."""
+    zh = F.when(F.col("role") == "system", None).when(F.col("turn") % 5 == 4, "[ERROR: x]").otherwise(F.reverse("text"))
+    rows = B.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("seq"), F.col("text").alias("en"), zh.alias("zh"))
+    seen = translate.history(translate.with_context(rows))
+    return seen.select("doc_id", "seq", F.left("prev_en", F.lit(300)).alias("prev_en"), F.left("prev_zh", F.lit(300)).alias("prev_zh"), F.size("history").cast("long").alias("remembered"))
+
+
+@query
+def abstract_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.lines(spark, sf_dir).select("doc_id", (F.floor(F.col("seq") / 4) + 1).cast("int").alias("page"), "seq", F.lit("text").alias("type"), F.col("line").alias("en"))
+    return translate.abstract_of(rows)
+
+
+@query
+def type_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as documents, event types as block types."""
+    return report.census(B.read(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query
+def common_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.most_common(B.read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"])
+
+
+@query
+def cumulative_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as pages."""
+    rows = B.read(spark, sf_dir, "events").withColumn("day", F.dayofyear("ts"))
+    return report.running_census(rows, "user_id", "day", "event_type")
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as pages, labels as verified (quality) and retried (toxic) blocks."""
+    rows = B.read(spark, sf_dir, "labels").join(B.read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    per_page = rows.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("quality").alias("verified"), F.sum("toxic").alias("retried"), F.sum("n_chars").cast("double").alias("ocr_time"), F.count("*").cast("double").alias("trans_time"))
+    return report.run_summary(per_page)
+
+
+@query
+def page_break_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, two turns a page."""
+    rows = B.read(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("page"), F.col("turn").alias("seq"), F.col("role").alias("type"), F.col("text").alias("en"), F.when(F.col("turn") % 4 == 3, "[ERROR: x]").otherwise(F.reverse("text")).alias("zh"))
+    return report.markdown(rows, "conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("done"))
+
+
+@query
+def progress_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of conversations that are finished, added up again."""
+    rows = B.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), (F.floor(F.col("turn") / 2) + 1).cast("int").alias("page"), F.col("turn").alias("seq"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("type"), F.col("text").alias("en"), F.col("text").alias("zh"))
+    return E.state(E.from_results(rows)).select("doc_id", "phase", "total_pages", "current_page", "done", "total", "blocks", "over", "percent")
+
+
+@query
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' last value of each event type, and a rounded share."""
+    rows = B.read(spark, sf_dir, "events")
+    out = rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought"))
+    return out.select("user_id", "last_type", "n", T.percent(F.col("bought"), F.col("n")).alias("percent"))

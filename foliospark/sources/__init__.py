@@ -1 +1 @@
-
+"""Where documents come from and where results go."""

@@ -1 +1 @@
-
+"""Progress events."""
