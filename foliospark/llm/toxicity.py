@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices, space_words, table
+from foliospark.llm.common import Workspace, slices, space_words, table
 
 #: Labelled rows that lexicon and classifier are fitted on at most (on average), lexicon entries, lexicon voters.
 SAMPLE, ENTRIES, LEXICON = 20_000, 192, 12
@@ -33,6 +33,8 @@ THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 #: Candidates that are looked at; each has a support of at least MIN_SUPPORT toxic rows, or of a share of them.
 CANDIDATES, MIN_SUPPORT, MIN_SHARE = 20_000, 4, 0.004
+#: Least log-odds of a candidate between toxic and other rows.
+MIN_ODDS = 2.5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,12 +52,21 @@ def _learnable() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def _hits(part: pa.RecordBatch, entries: dict[str, int]) -> Iterator[tuple[int, Counter, int, float, float]]:
+def _starts(entries: dict[str, int]) -> set[str]:
+    """The first letters of the entries; a word that starts otherwise needs no further look."""
+    return {e.lstrip("=^")[: PREFIXES[0]] for e in entries}
+
+
+def _hits(part: pa.RecordBatch, entries: dict[str, int], starts: set[str]) -> Iterator[tuple[int, Counter, int, float, float]]:
     """Of each text: (row, lexicon entries with counts, number of words, share of words in capitals, exclamation marks a word)."""
     codes, ends, words = space_words(part.column("text"), lower=False)
     tokens = words.to_pylist()
     found, twice = [], []
     for t in tokens:
+        if not any(w[: PREFIXES[0]] in starts for w in _LETTERS.findall(t.lower())):
+            found.append([])
+            twice.append([])
+            continue
         own = features_of(t)
         found.append([entries[f] for f in own if f in entries])
         twice.append([entries["^" + f] for f in own if f[0] == "^" and "^" + f in entries])
@@ -178,7 +189,7 @@ def _cover(rows: list[tuple[int, list[int]]], names: list[str]) -> list[str]:
                 clean[f] += 1
     n_clean = len(rows) - n_toxic
     odds = {f: np.log((len(t) + 0.5) / (n_toxic + 1)) - np.log((clean[f] + 0.5) / (n_clean + 1)) for f, t in toxic.items()}
-    left = [f for f in toxic if odds[f] > 2.5 and len(toxic[f]) > 2 * clean[f]]
+    left = [f for f in toxic if odds[f] > MIN_ODDS and len(toxic[f]) > 2 * clean[f]]
     covered: Counter = Counter()
     least = max(MIN_SUPPORT - 1, 0.003 * n_toxic)
     kept: list[str] = []
@@ -213,11 +224,12 @@ class Model:
 
     def __init__(self, entries: list[str], weights: np.ndarray | None) -> None:
         self.entries, self.weights = {e: i for i, e in enumerate(entries)}, weights
+        self.starts = _starts(self.entries)
 
     def scores(self, part: pa.RecordBatch) -> np.ndarray:
         out = np.zeros(part.num_rows)
         if self.weights is not None:
-            rows = [(bits, *more) for _, own, n, loud, bang in _hits(part, self.entries) for bits, more in [_votes(own, n, loud, bang)]]
+            rows = [(bits, *more) for _, own, n, loud, bang in _hits(part, self.entries, self.starts) for bits, more in [_votes(own, n, loud, bang)]]
             x = np.array(rows, float).reshape(part.num_rows, 4)
             x = np.concatenate([_bits(x[:, 0].astype(np.int64)), x[:, 1:]], axis=1)
             out = 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -232,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = min(1.0, SAMPLE / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20)))
     # At most SAMPLE rows of two numbers on average, by the line above.
-    sample = docs.join(F.broadcast(chosen), "doc_id")
+    sample = Workspace(spark, "toxicity").save(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "sample")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -253,32 +265,51 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     names = [r["f"] for r in top if r["f"]]
     if not names:
         return Model([], None)
-    sent = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
+        """How many rows have each candidate."""
+        n = np.zeros(len(names), np.int64)
+        starts, rows = _starts(sent.value), 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for _, own, *_ in _hits(part, sent.value, starts):
+                    n[list(own)] += 1
+                rows += part.num_rows
+        yield pa.record_batch({"f": pa.array(np.arange(-1, len(names))), "n": pa.array(np.append(rows, n))})
+
+    clean = {r["f"]: r["n"] for r in sample.where("y = 0").select("text").mapInArrow(tally, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    support = {r["f"]: r["n"] for r in top}
+    n_toxic, n_clean = support.get("", 0), clean.get(-1, 0)
+    odd = lambda t, c: t > 2 * c and np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) > MIN_ODDS
+    names = [f for i, f in enumerate(names) if odd(support[f], clean.get(i, 0))]
+
+    def look(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
+        starts = _starts(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                hits = [sorted(own) for _, own, *_ in _hits(part, sent.value)]
-                yield pa.record_batch({"y": part.column("y"), "hits": pa.array(hits, pa.list_(pa.int32()))})
+                hits = [np.array(sorted(own), np.uint16).tobytes() for _, own, *_ in _hits(part, sent.value, starts)]
+                yield pa.record_batch({"y": part.column("y"), "hits": pa.array(hits, pa.binary())})
 
-    rows = [(r["y"], r["hits"]) for r in sample.select("text", "y").mapInArrow(look, "y int, hits array<int>").collect()]
+    rows = [(r["y"], np.frombuffer(r["hits"], np.uint16).tolist()) for r in sample.select("text", "y").mapInArrow(look, "y int, hits binary").toLocalIterator()]
     entries = _cover(rows, names)
     if not entries:
         return Model([], None)
     lexicon = spark.sparkContext.broadcast({e: i for i, e in enumerate(entries)})
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Patterns with their counts in this task; of sample rows, the classifier's inputs as well."""
+        """Patterns with their counts in this task."""
         count: Counter = Counter()
+        starts = _starts(lexicon.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                count.update(_votes(own, n, loud, bang)[0] for _, own, n, loud, bang in _hits(part, lexicon.value))
+                count.update(_votes(own, n, loud, bang)[0] for _, own, n, loud, bang in _hits(part, lexicon.value, starts))
         yield pa.record_batch({"pattern": pa.array(list(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts(lexicon.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [_votes(own, n, loud, bang) for _, own, n, loud, bang in _hits(part, lexicon.value)]
+                got = [_votes(own, n, loud, bang) for _, own, n, loud, bang in _hits(part, lexicon.value, starts)]
                 yield pa.record_batch({"y": part.column("y"), "pattern": pa.array([g[0] for g in got], pa.int32()), "more": pa.array([g[1] for g in got], pa.list_(pa.float64()))})
 
     patterns = docs.where(_learnable()).select("text").mapInArrow(vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
