@@ -27,8 +27,17 @@ SEED = 42
 SAMPLE, LEAF, MAX_LEAVES = 1 << 16, 1000, 4096
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
-    """Unsigned 64-bit fingerprints: bit i is set if over half of the shingles' XXH64 values have it."""
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash values for fingerprint k; the first has the XXH64 values themselves."""
+    if not k:
+        return h
+    h = (h ^ (h >> np.uint64(33))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints_of(texts: list[str | None], shingle: int = 3, tables: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints (text, table): bit i is set if over half of the shingles' hash values have it."""
     import xxhash
 
     one, join = xxhash.xxh64_intdigest, b" ".join
@@ -42,7 +51,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
         elif words:
             hashes.append(one(join(words), SEED))
             sizes[i] = 1
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), tables), np.uint64)
     if not hashes:
         return out
     h = np.array(hashes, np.uint64)
@@ -53,12 +62,13 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     piece = np.repeat(first[full] - 255 * (np.cumsum(pieces) - pieces), pieces) + 255 * np.arange(pieces.sum())
     counts = np.empty((len(piece), 64), np.uint8)
     step = 1 << 12
-    for at in range(0, len(piece), step):
-        lo, hi = piece[at], piece[at + step] if at + step < len(piece) else len(h)
-        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-        counts[at : at + step] = np.add.reduceat(bits, piece[at : at + step] - lo, axis=0).view(np.uint8)
-    votes = np.add.reduceat(counts.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-    out[full] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    for k in range(tables):
+        for at in range(0, len(piece), step):
+            lo, hi = piece[at], piece[at + step] if at + step < len(piece) else len(h)
+            bits = np.unpackbits(_mixed(h[lo:hi], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+            counts[at : at + step] = np.add.reduceat(bits, piece[at : at + step] - lo, axis=0).view(np.uint8)
+        votes = np.add.reduceat(counts.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
+        out[full, k] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 
@@ -129,16 +139,17 @@ def forest(points: np.ndarray, ids: np.ndarray, radius: int, leaf: int = 4096) -
             yield np.full(len(found), root), found
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprint_table(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
+    """(doc_id, fp0, fp1, ...): each holds the 64 bits as a signed long."""
+    names = [f"fp{k}" for k in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                fp = fingerprints_of(part.column("text").to_pylist(), shingle)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+                fp = fingerprints_of(part.column("text").to_pylist(), shingle, tables).view(np.int64)
+                yield pa.record_batch({"doc_id": part.column("doc_id")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -175,19 +186,35 @@ def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
     return fps.mapInArrow(deal, "leaf int, fp long, rep long").repartition(parts, "leaf").mapInArrow(link, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document. With more tables, documents link if any of their fingerprints do."""
     ws = Workspace(docs.sparkSession, "simhash")
-    fps = ws.save(fingerprint_table(docs, shingle), "fingerprints")
-    reps = ws.save(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    classes = connected_components(ws, near_links(ws, reps, radius))
-    named = reps.join(classes, reps.rep == classes.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component; columns as they were. Rows without doc_id stay."""
-    classes = near_duplicates(docs, shingle, radius)
+    names = [f"fp{k}" for k in range(tables)]
+    fps = ws.save(fingerprint_table(docs, shingle, tables), "fingerprints")
+    reps = ws.save(fps.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    edges = None
+    for name in names:
+        points = reps.select(F.col(name).alias("fp"), "rep")
+        if tables > 1:
+            points = ws.save(points.groupBy("fp").agg(F.min("rep").alias("rep")), name)
+        links = near_links(ws, points, radius)
+        if tables > 1:
+            links = links.unionByName(reps.select(F.col(name).alias("fp"), F.col("rep").alias("v")).join(points, "fp").select(F.col("rep").alias("u"), "v").where("u <> v"))
+        edges = links if edges is None else edges.unionByName(links)
+    classes = connected_components(ws, edges)
+    named = reps.join(classes, reps.rep == classes.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, names, "left").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = 3, tables: int = 8) -> DataFrame:
+    """The documents whose doc_id is the smallest of their component; columns as they were. Rows without doc_id stay.
+
+    Over shingles of five words, fingerprints of texts with a similarity (Jaccard) of 0.9 differ by 7 bits of 64 on
+    average, of 0.8 by 10, of 0.7 by 12. A radius of 3 therefore hardly links texts below 0.8, and several independent
+    fingerprints find what one would miss: of texts above 0.95 about five in six, of 0.9 about half, apart from links by
+    way of third documents.
+    """
+    classes = near_duplicates(docs, shingle, radius, tables)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
