@@ -16,11 +16,13 @@ from foliospark.llm.pii import op9_pii
 from foliospark.llm.sharding import ORACLE as OP2_SQL
 from foliospark.llm.sharding import op2_sharding
 from foliospark.llm.simhash import op1_simhash
+from foliospark.llm.substrings import op3_substrings
 from foliospark.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
+    "op3_substrings": op3_substrings,
     "op4_maxent": op4_maxent,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
