@@ -29,7 +29,7 @@ LENGTH, END = 4096, 2
 #: Windows that are packed together; rests shorter than BUNDLE tokens are first joined to bundles.
 GROUP, BUNDLE = 256, 128
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -47,41 +47,59 @@ class WordIds:
         vocab = self.own.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
 
-    def _encode(self, words: list[str]) -> Iterator[np.ndarray]:
-        for x in self.own.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(x.ids, np.uint32)
+    def forget(self) -> None:
+        #: Number of each word; its ids are flat[first[number] : first[number] + size[number]]. Number 0 is no word.
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
         plain, odd = [], []
         for w in words:
-            (plain if unicodedata.normalize("NFC", w).lower().isalpha() else odd).append(w)
+            (plain if (w.isascii() and w.isalpha()) or unicodedata.normalize("NFC", w).lower().isalpha() else odd).append(w)
         # Letters only: one word-end token a word, so that many words can be encoded as one text.
+        order, flats, sizes = [], [self.flat], [self.size]
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
             ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                self.known.update(zip(part, np.split(ids, ends[:-1]), strict=True))
+                order += part
+                flats.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
             else:
                 odd += part
-        self.known.update(zip(odd, self._encode(odd), strict=True))
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        """A word with closing ASCII punctuation after a letter is that word and the punctuation."""
-        parts = []
+        for w, x in zip(odd, self.own.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            order.append(w)
+            flats.append(np.array(x.ids, np.uint32))
+            sizes.append(np.array([len(x.ids)], np.int64))
+        self.number.update(zip(order, range(len(self.size), len(self.size) + len(order)), strict=True))
+        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, first, size) of the words' ids. A word with closing ASCII punctuation after a letter is that word and the punctuation."""
+        cores, tails = [], []
         for w in words:
             core = w.rstrip(".,;:!?")
-            if "<|" in w or not core or not core[-1].isalpha():
-                parts.append((w, ""))
+            if core == w or not core or not core[-1].isalpha() or "<|" in w:
+                cores.append(w.lower() if w.isascii() and "<|" not in w else w)
+                tails.append("")
             else:
-                parts.append((core.lower() if core.isascii() else core, w[len(core) :]))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(list({x for p in parts for x in p if x and x not in self.known}))
-        known = self.known
-        return [known[a] if not b else np.concatenate((known[a], known[b])) for a, b in parts]
+                cores.append(core.lower() if core.isascii() else core)
+                tails.append(w[len(core) :])
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        number = self.number
+        self.learn(list({x for part in (cores, tails) for x in part if x not in number}))
+        both = np.empty(2 * len(words), np.int64)
+        both[::2] = np.fromiter(map(number.__getitem__, cores), np.int64, len(words))
+        both[1::2] = np.fromiter(map(number.__getitem__, tails), np.int64, len(words))
+        n = self.size[both]
+        flat = self.flat[np.repeat(self.first[both] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        size = n[::2] + n[1::2]
+        return flat, np.cumsum(size) - size, size
 
 
 def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
@@ -89,16 +107,15 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     codes, ends, words = space_words(texts, lower=False)
-    ids = _tokenizers[path].of(words.to_pylist())
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-    first = np.cumsum(size) - size
+    flat, first, size = _tokenizers[path].of(words.to_pylist())
     for a, b in itertools.pairwise(ends):
         own = codes[a:b]
         n = size[own]
-        total = int(n.sum())
+        stop = n.cumsum()
+        total = int(stop[-1]) if len(stop) else 0
         out = np.empty(total + 1, np.uint32)
-        out[:total] = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(total)]
+        if total:
+            out[:total] = flat[(first[own] - stop + n).repeat(n) + np.arange(total)]
         out[total] = END
         yield out
 
@@ -233,7 +250,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 36, length)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 16 << 20):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text"), path), strict=True):
                     packer.add(doc_id, ids)
                 yield packer.taken()
