@@ -15,6 +15,7 @@ BLOCK = "struct<type:string,x1:int,y1:int,x2:int,y2:int,text:string>"
 
 # The markup of recognised pages, block types and their classes, markers of empty blocks.
 MARKUP = r"<\|det\|>(\w+)\s*\[(\d+),\s*(\d+),\s*(\d+),\s*(\d+)\]<\|/det\|>(.*?)(?=<\|det\||$)"
+HEADER_END = "<|/det|>"
 TEXT_TYPES = ("text", "image_caption", "image_footnote")
 PASSTHROUGH_TYPES = ("title", "ref_text", "equation", "table", "aside_text", "header", "footer", "algorithm")
 HIDDEN_TYPES = ("page_number", "page_footnote")
@@ -27,59 +28,63 @@ MODEL_SPACE = 1024
 
 def parse(page_text: Column) -> Column:
     """Blocks of marked-up page text. Text before the first marker and malformed headers are lost."""
-    pattern = "(?Usd)" + MARKUP
-    number = lambda m, i: F.regexp_extract(m, pattern, i).try_cast("int")
+    head = "(?U)^" + MARKUP.partition("<\\|/det")[0]
+    number = lambda m, i: F.regexp_extract(m, head, i).try_cast("int")
+    # The whole markup is matched once; what it found is taken apart by its header.
     return F.transform(
-        F.regexp_extract_all(page_text, F.lit(pattern), F.lit(0)),
+        F.regexp_extract_all(page_text, F.lit("(?Usd)" + MARKUP), F.lit(0)),
         lambda m: F.struct(
-            F.regexp_extract(m, pattern, 1).alias("type"), number(m, 2).alias("x1"), number(m, 3).alias("y1"), number(m, 4).alias("x2"), number(m, 5).alias("y2"),
-            T.strip(F.regexp_extract(m, pattern, 6)).alias("text"),
+            F.regexp_extract(m, head, 1).alias("type"), number(m, 2).alias("x1"), number(m, 3).alias("y1"), number(m, 4).alias("x2"), number(m, 5).alias("y2"),
+            T.strip(F.substring(m, F.locate(HEADER_END, m) + len(HEADER_END), F.length(m))).alias("text"),
         ),
     )
 
 
-def _fold(blocks: Column, join: callable) -> Column:
-    """Folds from the left: join(last, block) is the merged block, or null where the block stands by itself."""
-    none = F.lit(None).cast(BLOCK)
-
-    def step(acc: Column, b: Column) -> Column:
-        merged = F.when(acc["last"].isNotNull(), join(acc["last"], b))
-        out = F.when(acc["last"].isNull() | merged.isNotNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"])))
-        return F.struct(out.alias("out"), F.coalesce(merged, b).alias("last"))
-
-    start = F.struct(F.array().cast(f"array<{BLOCK}>").alias("out"), none.alias("last"))
-    return F.aggregate(blocks, start, step, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
-
-
 def continues(prev: Column, cur: Column) -> Column:
-    """Whether a text block goes on with the sentence of the block before it, close below it or in the next column."""
-    gap = (cur["y1"] - prev["y2"]) <= 2.5 * F.greatest(prev["y2"] - prev["y1"], F.lit(10))
+    """Whether the words of a text block go on with the sentence of the block before it; its place is not looked at."""
     return (
         (prev["type"] == "text") & (cur["type"] == "text") & ~T.is_blank(prev["text"]) & ~T.is_blank(cur["text"])
-        & ~T.ends_sentence(prev["text"]) & ~T.starts_upper(cur["text"]) & gap
+        & ~T.ends_sentence(prev["text"]) & ~T.starts_upper(cur["text"])
     )
 
 
 def merge_continuations(blocks: Column) -> Column:
-    """The box of a merged block is the union, and later blocks are measured against it."""
-
-    def join(prev: Column, cur: Column) -> Column:
-        return F.when(
-            continues(prev, cur),
-            F.struct(
-                prev["type"].alias("type"), F.least(prev["x1"], cur["x1"]).alias("x1"), F.least(prev["y1"], cur["y1"]).alias("y1"),
-                F.greatest(prev["x2"], cur["x2"]).alias("x2"), F.greatest(prev["y2"], cur["y2"]).alias("y2"),
-                F.concat(T.rstrip(prev["text"]), F.lit(" "), T.lstrip(cur["text"])).alias("text"),
-            ),
+    """Joins a text block to the one before if its sentence goes on and it is close below, or in the next column.
+
+    The box of a merged block is the union, and later blocks are measured against it. Its text ends as its last part
+    does, so the words are compared between neighbours beforehand; the fold carries heights and where groups start.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        near = (x["y1"] - acc["y2"]) <= 2.5 * F.greatest(acc["y2"] - acc["y1"], F.lit(10))
+        joins = x["goes_on"] & (acc["i"] > 0) & near
+        return F.struct(
+            (acc["i"] + 1).alias("i"), F.when(joins, F.least(acc["y1"], x["y1"])).otherwise(x["y1"]).alias("y1"), F.when(joins, F.greatest(acc["y2"], x["y2"])).otherwise(x["y2"]).alias("y2"),
+            F.when(joins, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["i"]))).alias("cuts"),
         )
 
-    return _fold(blocks, join)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("y1"), F.lit(0).alias("y2"), F.array().cast("array<int>").alias("cuts"))
+
+    def one(group: Column) -> Column:
+        parts = F.transform(
+            group, lambda b, k: F.when((k > 0) & (k < F.size(group) - 1), T.strip(b["text"])).when(k > 0, T.lstrip(b["text"])).when(F.size(group) > 1, T.rstrip(b["text"])).otherwise(b["text"])
+        )
+        side = lambda f, name: f(F.transform(group, lambda b: b[name])).alias(name)
+        return F.struct(F.get(group, 0)["type"].alias("type"), side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2"), F.array_join(parts, " ").alias("text"))
+
+    def merged(own: Column) -> Column:
+        marks = F.transform(own, lambda b, i: F.struct(b["y1"].alias("y1"), b["y2"].alias("y2"), F.when(i > 0, continues(F.get(own, i - 1), b)).otherwise(False).alias("goes_on")))
+        cuts = F.concat(F.aggregate(marks, start, step, lambda a: a["cuts"]), F.array(F.size(own)))
+        cut = lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda at, k: T.bind(F.slice(own, at + 1, F.get(c, k + 1) - at), one))
+        return T.bind(cuts, cut)
+
+    return T.bind(blocks, merged)
 
 
 def drop_repeats(blocks: Column) -> Column:
     """Without blocks that repeat type and stripped text of the block right before."""
     same = lambda a, b: (a["type"] == b["type"]) & (T.strip(a["text"]) == T.strip(b["text"]))
-    return F.filter(blocks, lambda b, i: (i == 0) | ~F.coalesce(same(b, F.get(blocks, i - 1)), F.lit(False)))
+    return T.bind(blocks, lambda own: F.filter(own, lambda b, i: (i == 0) | ~F.coalesce(same(b, F.get(own, i - 1)), F.lit(False))))
 
 
 def is_empty_marker(text: Column) -> Column:
@@ -128,7 +133,7 @@ def fix_latex(text: Column) -> Column:
 
 
 def merge_equations(rows: Column, schema: str, reference_mode: bool = False) -> Column:
-    """Joins an equation that is a lone `$$` or empty to the equation after it; `en` changes, `zh` stays.
+    """Joins an equation that is a lone `$$` or empty to the equation after it; `en` changes, `zh` stays. `schema` is that of the rows.
 
     In reference mode a lone `$$` that found no equation takes in the next block whatever its type.
     """
