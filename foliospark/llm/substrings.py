@@ -120,7 +120,8 @@ class Block:
         self.doc_ids, self.width = doc_ids, width
         codes, self.ends, self.words = space_words(texts, lower=False)
         self.codes = codes
-        hashed = hashed_words(self.words)[codes] if len(codes) else np.zeros(0, np.uint64)
+        self.word_hash = hashed_words(self.words)
+        hashed = self.word_hash[codes]
         n = len(codes) - width + 1
         doc = np.repeat(np.arange(len(doc_ids)), np.diff(self.ends))
         if n <= 0:
@@ -257,7 +258,6 @@ def removals(ws: Workspace, docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     continue
                 shard = (own.hash[sent] % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                hashed = hashed_words(own.words)
                 rows = {"shard": [], "block": [], "n": [], "data": []}
                 for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     s = sent[p]
@@ -266,7 +266,7 @@ def removals(ws: Workspace, docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     rows["shard"].append(int(shard[p[0]]))
                     rows["block"].append(block.as_py())
                     rows["n"].append(len(s))
-                    rows["data"].append(_pack(own.doc_ids[own.doc[s]], s.astype(np.int64), size.astype(np.int64), hashed[own.codes[flat]]))
+                    rows["data"].append(_pack(own.doc_ids[own.doc[s]], s.astype(np.int64), size.astype(np.int64), own.word_hash[own.codes[flat]]))
                 yield pa.record_batch({"shard": pa.array(rows["shard"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "data": pa.array(rows["data"], pa.binary())})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +320,7 @@ def _answer(rows: list, width: int, found: dict[int, list[tuple[int, int, int]]]
             continue
         own = np.frombuffer(words, np.uint64).tolist()
         ends = [n >= width for n in automaton.matches(own)]
-        runs, new_from = [], 0
+        runs = []
         for i in range(width - 1, size):
             if ends[i]:
                 w = i - width + 1
