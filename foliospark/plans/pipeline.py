@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import blocks, pairs, report, translate, verify
@@ -27,18 +27,41 @@ class Pipeline:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def _ask(self, units: DataFrame, prompt: Column, kind: str) -> DataFrame:
+        """(unit_id, <kind>) of the units' prompts: cleaned output, or the error in its wire form. Calls are named unit_id/<kind>."""
+        calls = units.select("unit_id", F.concat_ws("/", "unit_id", F.lit(kind)).alias("call"), prompt.alias("prompt"))
+        answers = self._written(self.provider(calls.select(F.col("call").alias("unit_id"), "prompt")), f"answers-{kind}")
+        found = answers.select(F.col("unit_id").alias("call"), translate.as_translation(F.col("output"), F.col("error")).alias(kind))
+        return calls.select("unit_id", "call").join(found, "call").drop("call")
+
     def run(self, page_ocr: DataFrame) -> DataFrame:
-        """Rows with zh, status and the outcome of the check."""
+        """Rows with zh and status. The units that were sent, with the outcome of their checks, are left in checks()."""
+        t, o = self.templates, self.options
         rows = self._written(blocks.clean_pages(page_ocr, self.reference_mode), "rows")
         links = pairs.cross_page_pairs(rows)
+        fields = self._ask(translate.abstract_of(rows).withColumn("unit_id", F.col("doc_id").cast("string")), translate.fill(t.direction, abstract=F.col("abstract")), "field")
         units = translate.units(rows, links).withColumn("unit_id", F.concat_ws("/", "doc_id", "page", "seq", "part"))
-        none = F.lit(None).cast("string")
-        calls = units.withColumn("prompt", translate.prompt(F.col("source"), F.lit(translate.DEFAULT_DIRECTION), none, none, self.templates))
-        answers = self._written(self.provider(calls.select("unit_id", "prompt")), "answers")
-        done = units.join(answers, "unit_id", "left").withColumn("zh", translate.as_translation(F.col("output"), F.col("error")))
-        gate = F.when(verify.needs_no_check(F.col("source"), self.options.verify), "unchecked").otherwise(verify.gate_reason(F.col("source"), F.col("zh")))
-        done = self._written(done.withColumn("gate", gate).select("doc_id", "page", "seq", "part", "kind", "source", "zh", "gate"), "units")
-        return translate.assemble(rows, links, done)
+        named = units.join(fields.withColumnRenamed("unit_id", "_doc"), F.col("doc_id").cast("string") == F.col("_doc"), "left")
+        field = F.when(F.length("field") > 3, F.col("field")).otherwise(F.lit(translate.DEFAULT_DIRECTION))
+        units = self._written(named.withColumn("field", F.when(F.col("field").startswith(translate.ERROR), translate.DEFAULT_DIRECTION).otherwise(field)).drop("_doc"), "asked")
+        none, source = F.lit(None).cast("string"), F.col("source")
+        wanted = translate.prompt(source, F.col("field"), none, none, t)
+        done = units.join(self._ask(units, wanted, "zh1"), "unit_id", "left")
+        # Cheap checks first: only what they don't settle is sent back to the model, and only what fails there a second time.
+        fast = F.lit(o.verify_strategy == "adaptive") & (verify.gate_reason(source, F.col("zh1")) == "accepted") & ~verify.is_audited(source, o.verify_audit_rate)
+        open_ = self._written(done.where(~verify.needs_no_check(source, o.verify)).where(~fast), "open")
+        open_ = open_.join(self._ask(open_, translate.fill(t.back, text=F.col("zh1")), "back1"), "unit_id", "left")
+        again = self._written(open_.where(~verify.back_passes(source, F.col("back1"))).select("unit_id", "source", "field"), "again")
+        second = self._ask(again, wanted, "zh2")
+        second = second.join(self._ask(second, translate.fill(t.back, text=F.col("zh2")), "back2"), "unit_id", "left")
+        done = done.join(open_.select("unit_id", "back1"), "unit_id", "left").join(second, "unit_id", "left")
+        result = verify.outcome(source, F.col("zh1"), F.col("back1"), F.col("zh2"), F.col("back2"), o.verify_strategy, o.verify, o.verify_audit_rate)
+        done = done.withColumn("o", result).select("doc_id", "page", "seq", "part", "kind", "source", F.col("o.final_zh").alias("zh"), "o")
+        return translate.assemble(rows, links, self._written(done, "units"))
+
+    def checks(self, spark: SparkSession) -> DataFrame:
+        """Counters of the last run's checks by document."""
+        return report.verifier_counts(spark.read.parquet(f"{self.work_dir}/units"), ["doc_id"])
 
     def events(self, rows: DataFrame) -> DataFrame:
         return events.from_results(rows)

@@ -118,6 +118,11 @@ def test_pipeline(spark, tmp_path):
 
     failed = Pipeline(translate.CallableProvider(broken), str(tmp_path / "b")).run(ocr).where("status = 'error'").collect()
     assert failed and failed[0]["zh"].startswith("[ERROR")
-    p = Pipeline(translate.RecordedProvider(spark.createDataFrame([("d/1/0/0", "甲")], "unit_id string, output string")), str(tmp_path / "c"))
+    joint = f"{long} over the page."
+    recorded = [("d/1/0/0/zh1", "甲"), ("d/1/0/0/back1", "nothing"), ("d/1/0/0/zh2", "乙丙。丁。"), ("d/1/0/0/back2", joint)]
+    p = Pipeline(translate.RecordedProvider(spark.createDataFrame(recorded, "unit_id string, output string")), str(tmp_path / "c"))
     done = p.run(ocr)
+    assert [r["zh"] for r in done.where("status = 'translated'").orderBy("page").collect()] == ["乙丙。丁。", ""]
+    counts = p.checks(spark).first()
+    assert (counts["total"], counts["retried"], counts["fast_rejected"], counts["back_verified"]) == (1, 1, 1, 2)
     assert p.events(done).where("type = 'block_done'").count() == 3 and p.markdown(done).first()["markdown"].count("## Page") == 2
