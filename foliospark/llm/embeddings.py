@@ -1,8 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors of a label become one point with a weight, so copies cost nothing more. Points are dealt to overlapping
-cluster shards: a point is at home at its nearest centre and a guest at the next OVERLAP - 1; centres are a bounded sample
-of the points of each label. Within a shard the graph is built on overlapping clusters again (exact neighbours within a
+cluster shards: a point is at home at its nearest centre and a guest at the next OVERLAP - 1, and, if it is close to its
+centre, wherever a point it links to can be at home; centres are a bounded sample of the points of each label. Within a shard the graph is built on overlapping clusters again (exact neighbours within a
 cluster, pruned robustly, lists united), and every point is searched greedily from the shard's medoid and its own node.
 The range grows from each point found within the threshold until no new one appears. Each link is verified in double
 precision; a link found at either end counts once, because pairs of different homes are gathered by their smaller end.
@@ -25,9 +25,9 @@ from foliospark.llm.common import Workspace, connected_components, table
 
 THRESHOLD = 0.98
 #: Points a centre has at home on average, centres in all at most, shards a point goes to.
-SHARD, MAX_CENTRES, OVERLAP = 800, 8192, 3
+SHARD, MAX_CENTRES, OVERLAP = 250, 8192, 2
 #: Neighbours that a node keeps, how much nearer a neighbour must be to another to be dropped, beam of the greedy search.
-DEGREE, ALPHA, BEAM = 24, 1.2, 24
+DEGREE, ALPHA, BEAM = 16, 1.2, 16
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -160,6 +160,7 @@ def links(ws: Workspace, points: DataFrame, threshold: float = THRESHOLD) -> tup
     for (label, size), g in chosen.assign(size=chosen.v.map(len)).groupby(["label", "size"]):
         centres[label, size] = (g.rep.to_numpy(np.int64), _unit(np.array(g.v.tolist(), float)))
     sent = spark.sparkContext.broadcast(centres)
+    reach = float(np.arccos(threshold))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,14 +171,19 @@ def links(ws: Workspace, points: DataFrame, threshold: float = THRESHOLD) -> tup
             for key, at in groups.items():
                 # A label without a centre is one shard.
                 ids, c = sent.value.get(key, (np.array([-1]), None))
-                near = np.zeros((len(at), 1), np.int64)
+                goes = np.ones((len(at), 1), bool)
+                best = np.zeros(len(at), np.int64)
                 if c is not None:
-                    near = np.argsort(-(_unit(np.array([v[i] for i in at])) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                rows = np.repeat(at, near.shape[1])
-                out = batch.take(pa.array(rows))
-                home = np.tile(np.arange(near.shape[1]) == 0, len(at))
-                names = [f"{key[0]}|{key[1]}|{s}" for s in ids[near].ravel().tolist()]
-                yield pa.record_batch({"shard": pa.array(names), "home": pa.array(home), "rep": out.column("rep"), "v": out.column("v"), "copies": out.column("copies"), "at_home": pa.array(np.repeat(ids[near[:, 0]], near.shape[1]))})
+                    sims = _unit(np.array([v[i] for i in at])) @ c.T
+                    best = sims.argmax(axis=1)
+                    goes = sims >= np.sort(sims, axis=1)[:, -min(OVERLAP, sims.shape[1])][:, None]
+                    # Close to a centre: also to all others that a linked point can be at home at, by the triangle inequality.
+                    own = np.arccos(np.clip(sims.max(axis=1), -1, 1))
+                    goes |= ((own <= 2 * reach)[:, None]) & (np.arccos(np.clip(sims, -1, 1)) <= (own + 2 * reach)[:, None])
+                which, centre = np.nonzero(goes)
+                out = batch.take(pa.array(np.array(at)[which]))
+                names = [f"{key[0]}|{key[1]}|{s}" for s in ids[centre].tolist()]
+                yield pa.record_batch({"shard": pa.array(names), "home": pa.array(centre == best[which]), "rep": out.column("rep"), "v": out.column("v"), "copies": out.column("copies"), "at_home": pa.array(ids[best[which]])})
 
     def find(key: tuple, table_: pa.Table) -> pa.Table:
         table_ = table_.combine_chunks().sort_by("rep")
