@@ -15,6 +15,7 @@ doc_id counts as held out. Labels that repeat count as toxic if any says so; nul
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +32,10 @@ SAMPLE, ENTRIES, LEXICON = 20_000, 192, 12
 VOTERS = LEXICON + 4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
-#: Candidates that are looked at; each has a support of at least MIN_SUPPORT toxic rows, or of a share of them.
-CANDIDATES, MIN_SUPPORT, MIN_SHARE = 20_000, 4, 0.004
+#: Least number of toxic rows that have a candidate; an entry must add at least one less, or a share of the toxic rows.
+MIN_SUPPORT, MIN_SHARE = 4, 0.003
+#: Features that a task counts before it hands the counts on.
+COUNTED = 1 << 19
 #: Least log-odds of a candidate between toxic and other rows.
 MIN_ODDS = 2.5
 
@@ -176,6 +179,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -
     return w
 
 
+def _least(n_toxic: int) -> float:
+    """What an entry must add: toxic rows, less three times the others it hits."""
+    return max(MIN_SUPPORT - 1, MIN_SHARE * n_toxic)
+
+
 def _cover(rows: list[tuple[int, list[int]]], names: list[str]) -> list[str]:
     """Entries chosen one by one for the toxic rows they add (each row may be covered three times), less the others they hit."""
     toxic: dict[int, list[int]] = {}
@@ -191,31 +199,41 @@ def _cover(rows: list[tuple[int, list[int]]], names: list[str]) -> list[str]:
     odds = {f: np.log((len(t) + 0.5) / (n_toxic + 1)) - np.log((clean[f] + 0.5) / (n_clean + 1)) for f, t in toxic.items()}
     left = [f for f in toxic if odds[f] > MIN_ODDS and len(toxic[f]) > 2 * clean[f]]
     covered: Counter = Counter()
-    least = max(MIN_SUPPORT - 1, 0.003 * n_toxic)
+    least = _least(n_toxic)
     kept: list[str] = []
-    gain = {f: len(toxic[f]) - 3 * clean[f] for f in left}
     # A whole word goes before a beginning of the same gain, a long beginning before a short one.
-    rank = lambda f: (gain[f], names[f][0] == "=", len(names[f]), names[f])
-    while left and len(kept) < ENTRIES:
-        best = max(left, key=rank)
+    left.sort(key=lambda f: (names[f][0] == "=", len(names[f]), names[f]), reverse=True)
+    queue = [(3 * clean[f] - len(toxic[f]), k, f) for k, f in enumerate(left)]
+    heapq.heapify(queue)
+    # By what `same` needs to agree: doubled or not, and the first letter.
+    alike: dict[tuple[bool, str], set[int]] = {}
+    for f in left:
+        alike.setdefault((names[f].startswith("^^"), names[f].lstrip("=^")[0]), set()).add(f)
+    gone: set[int] = set()
+    while queue and len(kept) < ENTRIES:
+        loss, k, best = heapq.heappop(queue)
+        if best in gone:
+            continue
         now = sum(covered[i] < 3 for i in toxic[best]) - 3 * clean[best]
-        if now < gain[best]:
-            gain[best] = now
-            if now < least:
-                left.remove(best)
+        if now < -loss:
+            if now >= least:
+                heapq.heappush(queue, (-now, k, best))
             continue
         if now < least:
             break
         kept.append(names[best])
         covered.update(toxic[best])
         # Beginnings of a chosen word, and words behind a chosen beginning, say the same again.
-        root, twin = names[best].lstrip("=^"), names[best].startswith("^^")
+        root = names[best].lstrip("=^")
 
-        def same(name: str, root: str = root, twin: bool = twin) -> bool:
+        def same(name: str, root: str = root) -> bool:
             stem = name.lstrip("=^")
-            return name.startswith("^^") == twin and (stem.startswith(root) or root.startswith(stem))
+            return stem.startswith(root) or root.startswith(stem)
 
-        left = [f for f in left if f != best and not (same(names[f]) and len(toxic[f]) <= 1.1 * len(toxic[best]))]
+        group = alike[names[best].startswith("^^"), root[0]]
+        out = {f for f in group if f == best or (same(names[f]) and len(toxic[f]) <= 1.1 * len(toxic[best]))}
+        gone |= out
+        group -= out
     return kept
 
 
@@ -247,50 +265,46 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = Workspace(spark, "toxicity").save(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "sample")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        rows = 0
+        """How many toxic and other rows have each feature."""
+        count: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            names = list(count[0].keys() | count[1].keys())
+            out = pa.record_batch({"f": pa.array(names, pa.string()), "t": pa.array([count[1][f] for f in names], pa.int64()), "c": pa.array([count[0][f] for f in names], pa.int64())})
+            for c in count:
+                c.clear()
+            return out
+
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 codes, ends, words = space_words(part.column("text"), lower=False)
                 own = [features_of(t) for t in words.to_pylist()]
-                for i in range(part.num_rows):
+                for i, y in enumerate(part.column("y").to_pylist()):
                     here = Counter(f for c in np.unique(codes[ends[i] : ends[i + 1]]).tolist() for f in own[c])
-                    count.update([*here, *("^" + f for f, k in here.items() if k > 1 and f[0] == "^")])
-                rows += part.num_rows
-        yield pa.record_batch({"f": pa.array(["", *count], pa.string()), "n": pa.array([rows, *count.values()], pa.int64())})
-
-    mined = sample.where("y = 1").select("text").mapInArrow(mine, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    least = F.greatest(F.lit(MIN_SUPPORT), F.lit(MIN_SHARE) * F.lit(share * n * 0.05))
-    top = mined.where((F.col("n") >= least) | (F.col("f") == "")).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
-    names = [r["f"] for r in top if r["f"]]
+                    count[y].update([*here, *("^" + f for f, k in here.items() if k > 1 and f[0] == "^")])
+                    if len(count[0]) + len(count[1]) > COUNTED:
+                        yield counted()
+        yield counted()
+
+    of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n_toxic, n_clean = of.get(1, 0), of.get(0, 0)
+    t, c = F.col("t"), F.col("c")
+    mined = sample.where("y in (0, 1)").select("text", "y").mapInArrow(mine, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    # The cover takes nothing that adds less at its start.
+    passing = mined.where((t >= MIN_SUPPORT) & (t > 2 * c) & (odds > MIN_ODDS) & (t - 3 * c >= _least(n_toxic)))
+    names = sorted(r["f"] for r in passing.select("f").collect())
     if not names:
         return Model([], None)
 
-    def tally(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
-        """How many rows have each candidate."""
-        n = np.zeros(len(names), np.int64)
-        starts, rows = _starts(sent.value), 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for _, own, *_ in _hits(part, sent.value, starts):
-                    n[list(own)] += 1
-                rows += part.num_rows
-        yield pa.record_batch({"f": pa.array(np.arange(-1, len(names))), "n": pa.array(np.append(rows, n))})
-
-    clean = {r["f"]: r["n"] for r in sample.where("y = 0").select("text").mapInArrow(tally, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    support = {r["f"]: r["n"] for r in top}
-    n_toxic, n_clean = support.get("", 0), clean.get(-1, 0)
-    odd = lambda t, c: t > 2 * c and np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) > MIN_ODDS
-    names = [f for i, f in enumerate(names) if odd(support[f], clean.get(i, 0))]
-
     def look(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
         starts = _starts(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                hits = [np.array(sorted(own), np.uint16).tobytes() for _, own, *_ in _hits(part, sent.value, starts)]
+                hits = [np.array(sorted(own), np.uint32).tobytes() for _, own, *_ in _hits(part, sent.value, starts)]
                 yield pa.record_batch({"y": part.column("y"), "hits": pa.array(hits, pa.binary())})
 
-    rows = [(r["y"], np.frombuffer(r["hits"], np.uint16).tolist()) for r in sample.select("text", "y").mapInArrow(look, "y int, hits binary").toLocalIterator()]
+    rows = [(r["y"], np.frombuffer(r["hits"], np.uint32).tolist()) for r in sample.select("text", "y").mapInArrow(look, "y int, hits binary").toLocalIterator()]
     entries = _cover(rows, names)
     if not entries:
         return Model([], None)

@@ -231,3 +231,17 @@ def test_maxent_is_a_distribution():
         inside[int(k)] += 10**x
     for k, x in inside.items():
         assert abs(x + (v.unseen[k] if k >= maxent.SINGLES else 0) - 1) < 1e-9
+
+
+def test_toxicity_finds_rare_words_among_many_common_ones(spark, docs_of):
+    random.seed(8)
+    common = ["".join(random.choice("bcdfghjklmnprstvwz") for _ in range(10)) for _ in range(4500)]
+    rows, labels = [], []
+    for i in range(150):
+        bad = i % 2
+        rows.append((i, " ".join([*common, *([["grumpwort", "vilefish", "snarkos"][i // 2 % 3]] if bad else [])])))
+        labels.append((i, bad))
+    # 4,500 words and their beginnings, in every toxic row, are more frequent than any toxic word.
+    assert len({f for w in common for f in toxicity.features_of(w)}) > 25_000
+    model = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {e.lstrip("=^")[:4] for e in model.entries} == {"grum", "vile", "snar"}
