@@ -79,6 +79,9 @@ f AS (SELECT doc_id, k, line, line AS kept, true AS own FROM l WHERE k = 0
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, line FROM f WHERE own""",
     "invalid_marker": rf"""WITH l AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE (doc_id + seq) % 6 WHEN 0 THEN ' [Non-Text] ' WHEN 1 THEN '[non text][NON-TEXT] ' || left(line, 12)
   WHEN 2 THEN '[non-text] ' || left(line, 9) WHEN 3 THEN '[BLANK]' ELSE line END AS line FROM ({_LINES})), m AS (SELECT *, lower(trim(line)) AS low FROM l)
+SELECT doc_id, seq, line FROM m WHERE low NOT IN ('[non-text]', '[non text]', '[none]', '[blank]') AND NOT len(regexp_extract_all(low, '\[non[- ]text\]')) * 10.0 / greatest(length(low), 1) > 0.5""",
+    "invalid_marker_lines": rf"""WITH l AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE (doc_id + seq) % 6 WHEN 0 THEN ' [Non-Text] ' WHEN 1 THEN '[non text][NON-TEXT] ' || line
+  WHEN 2 THEN '[non-text] ' || line WHEN 3 THEN '[BLANK]' ELSE line END AS line FROM ({_LINES})), m AS (SELECT *, lower(trim(line)) AS low FROM l)
 SELECT doc_id, seq, line FROM m WHERE low NOT IN ('[non-text]', '[non text]', '[none]', '[blank]') AND NOT len(regexp_extract_all(low, '\[non[- ]text\]')) * 10.0 / greatest(length(low), 1) > 0.5""",
     "merge_split": rf"""WITH RECURSIVE s AS (SELECT doc_id, seq, text, seq * 40 + seq // 7 * 200 AS y FROM ({_SLICES})),
 f AS (SELECT doc_id, seq, text, y AS y1, y + 20 AS y2, 0 AS pos FROM s WHERE seq = 0
@@ -101,6 +104,9 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(min(y1) AS INTEGER) AS y1, CAST
 FROM ({_PARSED}) WHERE type = 'image'""",
     "pseudo_title": f"""WITH l AS (SELECT doc_id, seq, {_KIND} AS kind, trim(left(line, CAST(seq * 17 % 140 + 10 AS INTEGER))) AS c FROM ({_LINES})),
 w AS (SELECT *, list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '') AS w FROM l), p AS (SELECT *, {_TITLE} AS pseudo FROM w)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, pseudo, kind = 'title' OR (kind = 'text' AND pseudo) AS skipped FROM p""",
+    "pseudo_title_lines": f"""WITH l AS (SELECT doc_id, seq, {_KIND} AS kind, trim(line) AS c FROM ({_LINES})),
+w AS (SELECT *, list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '') AS w FROM l), p AS (SELECT *, {_TITLE} AS pseudo FROM w)
 SELECT doc_id, CAST(seq AS INTEGER) AS seq, pseudo, kind = 'title' OR (kind = 'text' AND pseudo) AS skipped FROM p""",
     "length_router": "SELECT doc_id, CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) > 500 THEN 'long' ELSE 'normal' END AS route, length(text) <= 40 AS unchecked FROM documents",
     "cross_page_pairs": f"WITH rws AS ({_ROWS}) SELECT doc_id, page_a, CAST(seq_a AS INTEGER) AS seq_a, page_b, CAST(seq_b AS INTEGER) AS seq_b FROM ({_PAIRS})",

@@ -57,6 +57,15 @@ def invalid_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where(~blocks.is_empty_marker(F.col("line"))).select("doc_id", "seq", "line")
 
 
+@query
+def invalid_marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole lines."""
+    k = F.pmod(F.col("doc_id") + F.col("seq"), F.lit(6))
+    line = F.when(k == 0, " [Non-Text] ").when(k == 1, F.concat(F.lit("[non text][NON-TEXT] "), F.col("line"))).when(k == 2, F.concat(F.lit("[non-text] "), F.col("line"))).when(k == 3, "[BLANK]").otherwise(F.col("line"))
+    marked = B.lines(spark, sf_dir).withColumn("line", line)
+    return marked.where(~blocks.is_empty_marker(F.col("line"))).select("doc_id", "seq", "line")
+
+
 @query
 def merge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of a document as text blocks 40 apart, 20 high; every seventh lies far below."""
@@ -120,6 +129,13 @@ def pseudo_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.lines(spark, sf_dir).select("doc_id", "seq", titles.is_pseudo_title(cut).alias("pseudo"), titles.is_skipped(B.line_kind(), cut).alias("skipped"))
 
 
+@query
+def pseudo_title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines."""
+    line = F.col("line")
+    return B.lines(spark, sf_dir).select("doc_id", "seq", titles.is_pseudo_title(line).alias("pseudo"), titles.is_skipped(B.line_kind(), line).alias("skipped"))
+
+
 @query
 def length_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
