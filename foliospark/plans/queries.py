@@ -189,6 +189,12 @@ def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("acronyms"), F.array_join(found, ",").alias("spans"))
 
 
+@query
+def protected_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every kind; DuckDB has no look-behind, so there is no SQL."""
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(verify.protected_spans(F.col("text"))).alias("pos", "span"))
+
+
 @query
 def fast_gate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and their successors, some successors empty, labelled or failed."""
