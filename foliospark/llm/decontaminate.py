@@ -137,9 +137,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents without a hit; columns as they were. A document whose doc_id is null stays."""
-    hit = scan(docs, benchmark, width).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows without a hit, whatever their doc_id; columns as they were."""
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, width)
+    ws = Workspace(spark, "decontaminated")
+    for k, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    codes, ends, words = alnum_words(part.column("text"))
+                    hits = np.concatenate(([0], np.cumsum(sent.value.find(codes, ends, words)[0])))
+                    yield part.filter(pa.array(np.diff(hits[ends]) == 0))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k < len(blocks) - 1:
+            docs = ws.save(docs, "block")
+    return docs
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

@@ -352,9 +352,15 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic; columns as they were. A document whose doc_id is null stays."""
-    gone = scored(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that are not predicted toxic, whatever their doc_id; columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(sent.value.scores(part) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,17 @@ def test_toxicity_finds_rare_words_among_many_common_ones(spark, docs_of):
     assert len({f for w in common for f in toxicity.features_of(w)}) > 25_000
     model = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {e.lstrip("=^")[:4] for e in model.entries} == {"grum", "vile", "snar"}
+
+
+def test_stages_reject_rows_whatever_their_doc_id(spark, docs_of, labelled):
+    rows, labels = labelled
+    bad = "river grumpwort stone blastnik tree"
+    docs = docs_of([*rows, (None, bad), (None, "river stone"), (7000, bad), (7000, "tree stone")])
+    kept = toxicity.accepted(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.where("doc_id is null or doc_id = 7000").collect()) == [("7000", "tree stone"), ("None", "river stone")]
+    bench = spark.createDataFrame([(1, "three words only")], "item_id long, text string")
+    docs = docs_of([(None, "Three words, only."), (None, "x"), (1, "three words only"), (1, "y"), (2, None)])
+    kept = decontaminate.decontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "y"), ("2", "None"), ("None", "x")]
