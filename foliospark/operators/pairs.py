@@ -42,3 +42,19 @@ def chains(pairs: DataFrame) -> DataFrame:
 def joined(pairs: DataFrame) -> DataFrame:
     """Pairs with the text that is translated in one go."""
     return pairs.withColumn("en", F.concat(T.rstrip(F.col("en_a")), F.lit(" "), T.lstrip(F.col("en_b"))))
+
+
+def merged(pairs: DataFrame, reference_mode: bool = False) -> DataFrame:
+    """(doc_id, page, seq, parts, en): what is translated in one go, with its blocks (page, seq, en) in order; page and seq are the first block's.
+
+    These are whole chains. In reference mode they are single pairs.
+    """
+    linked = pairs.withColumn("chain", F.col("page_a")) if reference_mode else chains(pairs)
+    both = F.struct("page_a", "seq_a", "en_a", "page_b", "seq_b", "en_b")
+    grouped = linked.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(both)).alias("l"))
+    block = lambda x, end: F.struct(x[f"page_{end}"].alias("page"), x[f"seq_{end}"].alias("seq"), x[f"en_{end}"].alias("en"))
+    parts = F.concat(F.array(block(F.col("l")[0], "a")), F.transform("l", lambda x: block(x, "b")))
+    first = F.col("parts")[0]
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    en = F.aggregate(rest, first["en"], lambda acc, x: F.concat(T.rstrip(acc), F.lit(" "), T.lstrip(x["en"])))
+    return grouped.select("doc_id", parts.alias("parts")).select("doc_id", first["page"].alias("page"), first["seq"].alias("seq"), "parts", en.alias("en"))

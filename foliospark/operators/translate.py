@@ -82,11 +82,14 @@ def history(rows: DataFrame, size: int = 10) -> DataFrame:
     return rows.withColumn("history", F.collect_list(F.struct("en", "zh")).over(before))
 
 
-def units(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, part, kind, source): what is sent to the model, a row a call. Long texts come in parts."""
-    from foliospark.operators.pairs import joined, without_consumed
+def units(rows: DataFrame, pairs: DataFrame, reference_mode: bool = False) -> DataFrame:
+    """(doc_id, page, seq, part, kind, source): what is sent to the model, a row a call. Long texts come in parts.
 
-    ahead = joined(pairs).select("doc_id", F.col("page_a").alias("page"), F.col("seq_a").alias("seq"), F.col("en").alias("joint"))
+    A paragraph over several pages is sent whole. Reference mode joins its first two blocks only and drops the others.
+    """
+    from foliospark.operators.pairs import merged, without_consumed
+
+    ahead = merged(pairs, reference_mode).select("doc_id", "page", "seq", F.col("en").alias("joint"))
     open_ = without_consumed(rows.where(~F.col("passthrough")), pairs).join(ahead, ["doc_id", "page", "seq"], "left")
     open_ = open_.withColumn("source", F.coalesce("joint", "en")).where(~T.is_blank(F.col("source"))).where(~is_skipped(F.col("type"), F.col("source")))
     open_ = open_.withColumn("kind", route(F.col("source")))
@@ -94,21 +97,36 @@ def units(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return open_.select("doc_id", "page", "seq", "kind", F.posexplode(parts).alias("part", "source"))
 
 
-def assemble(rows: DataFrame, pairs: DataFrame, translated: DataFrame) -> DataFrame:
-    """Rows with their translations (doc_id, page, seq, part, zh): parts joined, joint translations divided between both blocks.
+def assemble(rows: DataFrame, pairs: DataFrame, translated: DataFrame, reference_mode: bool = False) -> DataFrame:
+    """Rows with their translations (doc_id, page, seq, part, zh): parts joined, joint translations divided between their blocks.
 
     status: translated, passthrough, skipped or error.
     """
+    from foliospark.operators.pairs import merged
+
     key = ["doc_id", "page", "seq"]
     whole = translated.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "zh"))), lambda p: p["zh"]), "").alias("out"))
-    both = pairs.join(whole, (pairs.doc_id == whole.doc_id) & (pairs.page_a == whole.page) & (pairs.seq_a == whole.seq)).select(pairs["*"], "out")
-    both = both.withColumn("d", C.divide(F.col("out"), F.length("en_a"), F.length("en_b")))
-    second = both.select("doc_id", F.col("page_b").alias("page"), F.col("seq_b").alias("seq"), F.col("d.zh2").alias("zh_b"))
-    first = both.select("doc_id", F.col("page_a").alias("page"), F.col("seq_a").alias("seq"), F.col("d.zh1").alias("zh_a"))
-    found = rows.join(whole, key, "left").join(first, key, "left").join(second, key, "left")
-    zh = F.coalesce("zh_b", "zh_a", "out")
+
+    def give(acc: Column, x: Column) -> Column:
+        """The next block gets its share of what is left."""
+        after = acc["size"] - F.length(x["en"])
+        d = C.divide(acc["rest"], F.length(x["en"]), after)
+        return F.struct(d["zh2"].alias("rest"), after.alias("size"), F.concat(acc["done"], F.array(F.struct(x["page"].alias("page"), x["seq"].alias("seq"), d["zh1"].alias("zh")))).alias("done"))
+
+    size = F.aggregate("parts", F.lit(0), lambda n, x: n + F.length(x["en"]))
+    start = F.struct(F.col("out").alias("rest"), size.alias("size"), F.array().cast("array<struct<page:int,seq:int,zh:string>>").alias("done"))
+    last = F.col("parts")[F.size("parts") - 1]
+
+    def close(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(last["page"].alias("page"), last["seq"].alias("seq"), acc["rest"].alias("zh"))))
+
+    shares = F.aggregate(F.slice("parts", F.lit(1), F.size("parts") - 1), start, give, close)
+    given = merged(pairs, reference_mode).join(whole, key).select("doc_id", F.explode(shares).alias("s"))
+    given = given.select("doc_id", "s.page", "s.seq", F.col("s.zh").alias("share"))
+    found = rows.join(whole, key, "left").join(given, key, "left")
+    zh = F.coalesce("share", "out")
     status = F.when(F.col("passthrough"), "passthrough").when(zh.startswith(ERROR), "error").when(zh.isNull(), "skipped").otherwise("translated")
-    return found.withColumns({"status": status, "zh": F.when(F.col("passthrough"), F.col("zh")).otherwise(F.coalesce(zh, F.col("en")))}).drop("out", "zh_a", "zh_b")
+    return found.withColumns({"status": status, "zh": F.when(F.col("passthrough"), F.col("zh")).otherwise(F.coalesce(zh, F.col("en")))}).drop("out", "share")
 
 
 def clean_output(output: Column, labels: bool = True) -> Column:

@@ -40,7 +40,7 @@ class Pipeline:
         rows = self._written(blocks.clean_pages(page_ocr, self.reference_mode), "rows")
         links = pairs.cross_page_pairs(rows)
         fields = self._ask(translate.abstract_of(rows).withColumn("unit_id", F.col("doc_id").cast("string")), translate.fill(t.direction, abstract=F.col("abstract")), "field")
-        units = translate.units(rows, links).withColumn("unit_id", F.concat_ws("/", "doc_id", "page", "seq", "part"))
+        units = translate.units(rows, links, self.reference_mode).withColumn("unit_id", F.concat_ws("/", "doc_id", "page", "seq", "part"))
         named = units.join(fields.withColumnRenamed("unit_id", "_doc"), F.col("doc_id").cast("string") == F.col("_doc"), "left")
         field = F.when(F.length("field") > 3, F.col("field")).otherwise(F.lit(translate.DEFAULT_DIRECTION))
         units = self._written(named.withColumn("field", F.when(F.col("field").startswith(translate.ERROR), translate.DEFAULT_DIRECTION).otherwise(field)).drop("_doc"), "asked")
@@ -57,7 +57,7 @@ class Pipeline:
         done = done.join(open_.select("unit_id", "back1"), "unit_id", "left").join(second, "unit_id", "left")
         result = verify.outcome(source, F.col("zh1"), F.col("back1"), F.col("zh2"), F.col("back2"), o.verify_strategy, o.verify, o.verify_audit_rate)
         done = done.withColumn("o", result).select("doc_id", "page", "seq", "part", "kind", "source", F.col("o.final_zh").alias("zh"), "o")
-        return translate.assemble(rows, links, self._written(done, "units"))
+        return translate.assemble(rows, links, self._written(done, "units"), self.reference_mode)
 
     def checks(self, spark: SparkSession) -> DataFrame:
         """Counters of the last run's checks by document."""

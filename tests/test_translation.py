@@ -126,3 +126,18 @@ def test_pipeline(spark, tmp_path):
     counts = p.checks(spark).first()
     assert (counts["total"], counts["retried"], counts["fast_rejected"], counts["back_verified"]) == (1, 1, 1, 2)
     assert p.events(done).where("type = 'block_done'").count() == 3 and p.markdown(done).first()["markdown"].count("## Page") == 2
+
+
+def test_paragraph_over_three_pages_is_translated_whole(spark):
+    texts = [f"{x * 50} and goes on" for x in ("a", "b", "c")]
+    rows = rows_of(spark, [[("text", x)] for x in texts]).withColumn("passthrough", F.lit(False)).withColumn("zh", F.lit(None).cast("string"))
+    links = pairs.cross_page_pairs(rows)
+    sent = translate.units(rows, links).collect()
+    assert [(r["page"], r["source"]) for r in sent] == [(1, " ".join(texts))]
+    answer = spark.createDataFrame([("d", 1, 0, 0, "甲。乙。丙。")], "doc_id string, page int, seq int, part int, zh string")
+    got = translate.assemble(rows, links, answer).orderBy("page").collect()
+    assert [(r["zh"], r["status"]) for r in got] == [("甲。", "translated"), ("乙。", "translated"), ("丙。", "translated")]
+    # The reference's pairs: the third block is never sent.
+    assert [r["source"] for r in translate.units(rows, links, reference_mode=True).collect()] == [" ".join(texts[:2])]
+    old = translate.assemble(rows, links, answer, reference_mode=True).orderBy("page").collect()
+    assert [r["status"] for r in old] == ["translated", "translated", "skipped"]
