@@ -1,10 +1,12 @@
 """Packing into sequences by Karmarkar-Karp multiway differencing.
 
-Each task tokenises its own documents and packs them: whole runs of `length` tokens are sequences of their own, the
-rests of about GROUP windows at a time are dealt to windows by differencing. If a window exceeds the length, the
-number of windows rises and the rests are dealt anew. The near-equal windows are then topped up by cutting the
-emptiest ones, so that all are full but one; that one is carried to the next group and, at the end of the task,
-split into lengths that are powers of two, which need no padding. Nothing is shuffled, and a task holds one group.
+Each task tokenises its own documents and packs them. Whole runs of `length` tokens are sequences of their own. The
+rests are gathered for about GROUP windows at a time and dealt to the windows by differencing alone, which makes the
+windows near equal; what they lack to the length is padding, about one part in 500. If a window exceeds the length, the
+number of windows rises by up to one part in RISE; if that does not help, the items are too long for near-equal windows
+and the longest are cut at five eighths. Apart from that only the one item at the border of two groups is cut. At the end of a task
+whole windows are dealt as before, and less than a window is split into lengths that are powers of two, which need no
+padding. Nothing is shuffled, and a task holds one group.
 
 Null and empty texts consist of the end token. A doc_id may repeat or be null; each row is a document.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import unicodedata
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +30,30 @@ from foliospark.llm.common import slices, space_words, table
 LENGTH, END = 4096, 2
 #: Windows that are packed together; rests shorter than BUNDLE tokens are first joined to bundles.
 GROUP, BUNDLE = 256, 128
+#: A window is left one part in SLACK short, so that differencing fits; the number of windows rises by one part in RISE at most.
+SLACK, RISE = 512, 128
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
 _tokenizers: dict[str, WordIds] = {}
 
 
+# The normaliser and the splitter of the tokenizer whose words can be looked up one by one.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_words(path: str) -> bool:
+    """Whether a tokenizer drops white space and treats each run of letters by itself, in lower case."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = [x.get("type") for x in (own.get("normalizer") or {}).get("normalizers", ())]
+    splits = [x.get("pattern", {}).get("Regex") for x in (own.get("pre_tokenizer") or {}).get("pretokenizers", ()) if x.get("type") == "Split"]
+    return steps == _NORMALIZER and splits == [_SPLIT] and own["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in own["added_tokens"])
+
+
 class WordIds:
-    """Token ids of words, for a tokenizer that drops white space and treats each run of letters by itself."""
+    """Token ids of texts. Where the tokenizer treats words by themselves, a word is encoded once; other tokenizers get whole texts."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -43,12 +61,23 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        self.own, self.by_words = Tokenizer.from_file(path), _by_words(path)
         vocab = self.own.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.forget()
 
+    def normal(self, word: str) -> str:
+        """The word as the tokenizer's splitter sees it."""
+        return word.lower() if word.isascii() else self.own.normalizer.normalize_str(word)
+
+    def ends_in_letter(self, word: str) -> bool:
+        """Whether its last character is a letter when normalised; only scripts below U+0500 are answered with yes."""
+        if word.isascii():
+            return word[-1].isalpha()
+        last = self.normal(word)[-1:]
+        return last.isalpha() and ord(last) < 0x500
+
     def forget(self) -> None:
         #: Number of each word; its ids are flat[first[number] : first[number] + size[number]]. Number 0 is no word.
         self.number: dict[str, int] = {"": 0}
@@ -57,7 +86,7 @@ class WordIds:
     def learn(self, words: list[str]) -> None:
         plain, odd = [], []
         for w in words:
-            (plain if (w.isascii() and w.isalpha()) or unicodedata.normalize("NFC", w).lower().isalpha() else odd).append(w)
+            (plain if self.normal(w).isalpha() else odd).append(w)
         # Letters only: one word-end token a word, so that many words can be encoded as one text.
         order, flats, sizes = [], [self.flat], [self.size]
         for at in range(0, len(plain), 512):
@@ -83,7 +112,7 @@ class WordIds:
         cores, tails = [], []
         for w in words:
             core = w.rstrip(".,;:!?")
-            if core == w or not core or not core[-1].isalpha() or "<|" in w:
+            if core == w or not core or "<|" in w or not self.ends_in_letter(core):
                 cores.append(w.lower() if w.isascii() and "<|" not in w else w)
                 tails.append("")
             else:
@@ -106,6 +135,10 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, with the end token."""
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
+    if not _tokenizers[path].by_words:
+        for x in _tokenizers[path].own.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False):
+            yield np.array([*x.ids, END], np.uint32)
+        return
     codes, ends, words = space_words(texts, lower=False)
     flat, first, size = _tokenizers[path].of(words.to_pylist())
     for a, b in itertools.pairwise(ends):
@@ -159,10 +192,10 @@ class Packer:
         self.next, self.length, self.rests, self.waiting, self.rows = base, length, [], 0, []
 
     def sequence(self, pieces: list[tuple]) -> None:
-        offset = 0
+        offset, load = 0, sum(n for _, _, n in pieces)
         for (doc_id, ids), start, n in pieces:
             crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-            self.rows.append((doc_id, start, n, crc, len(ids), self.next, offset))
+            self.rows.append((doc_id, start, n, crc, len(ids), self.next, offset, load))
             offset += n
         self.next += 1
 
@@ -176,65 +209,74 @@ class Packer:
         if self.waiting >= GROUP * self.length:
             self.flush()
 
-    def flush(self, end: bool = False) -> None:
-        if not self.rests:
-            return
+    def take(self, room: int) -> list[tuple]:
+        """The first waiting pieces that fill `room` tokens; the one at the border is cut."""
+        own, at = [], 0
+        while room and at < len(self.rests):
+            doc, start, n = self.rests[at]
+            now = min(n, room)
+            own.append((doc, start, now))
+            room -= now
+            self.waiting -= now
+            if now < n:
+                self.rests[at] = (doc, start + now, n - now)
+            else:
+                at += 1
+        del self.rests[:at]
+        return own
+
+    def windows(self, pieces: list[tuple], k: int) -> None:
+        """Deals pieces to near-equal windows, k or a few more."""
         items: list[list[tuple]] = []
         small = 0
-        for piece in self.rests:
+        for piece in pieces:
             if small and piece[2] < BUNDLE:
                 items[-1].append(piece)
                 small = small + piece[2] if small + piece[2] < BUNDLE else 0
             else:
                 items.append([piece])
                 small = piece[2] if piece[2] < BUNDLE else 0
-        sizes = [sum(p[2] for p in x) for x in items]
-        k, rise = -(-sum(sizes) // self.length), 1
+        most = k + k // RISE
         while True:
-            parts = differencing(sizes, k)
-            if max(sum(sizes[i] for i in x) for x in parts) <= self.length:
+            sizes = [sum(p[2] for p in x) for x in items]
+            now = k
+            while True:
+                parts = differencing(sizes, now)
+                over = max(sum(sizes[i] for i in x) for x in parts) - self.length
+                if over <= 0 or now >= most:
+                    break
+                # As many more windows as make room for the excess in each.
+                now = min(most, now + max(1, -(-over * now // self.length)))
+            if over <= 0:
                 break
-            k, rise = k + rise, 2 * rise
-        windows = sorted(([p for i in x for p in items[i]] for x in parts if x), key=lambda x: -sum(p[2] for p in x))
-        loads = [sum(p[2] for p in x) for x in windows]
-        give = len(windows) - 1
-        for i, window in enumerate(windows):
-            while loads[i] < self.length and give > i:
-                doc, start, n = windows[give].pop()
-                take = min(n, self.length - loads[i])
-                window.append((doc, start, take))
-                loads[i] += take
-                loads[give] -= take
-                if take < n:
-                    windows[give].append((doc, start + take, n - take))
-                elif not windows[give]:
-                    give -= 1
-        self.rests, self.waiting = [], 0
-        for window, load in zip(windows, loads, strict=True):
-            if load == self.length:
-                self.sequence(window)
-            elif load:
-                self.rests, self.waiting = window, load
-        if end and self.rests:
-            left, pieces = self.waiting, self.rests[::-1]
-            while left:
-                room = 1 << (left.bit_length() - 1)
-                left -= room
-                own = []
-                while room:
-                    doc, start, n = pieces.pop()
-                    take = min(n, room)
-                    own.append((doc, start, take))
-                    room -= take
-                    if take < n:
-                        pieces.append((doc, start + take, n - take))
-                self.sequence(own)
-            self.rests, self.waiting = [], 0
+            longest = max(sizes) * 5 // 8
+            halved = []
+            for item in items:
+                if len(item) == 1 and item[0][2] > max(1, longest):
+                    doc, start, n = item[0]
+                    first = max(1, n * 5 // 8)
+                    halved += [[(doc, start, first)], [(doc, start + first, n - first)]]
+                elif len(item) > 1 and sum(p[2] for p in item) > longest:
+                    halved += [[p] for p in item]
+                else:
+                    halved.append(item)
+            items = halved
+        for part in parts:
+            if part:
+                self.sequence([p for i in part for p in items[i]])
+
+    def flush(self, end: bool = False) -> None:
+        fill = self.length - max(1, self.length // SLACK)
+        k = self.waiting // fill if end else GROUP
+        if k:
+            self.windows(self.take(k * fill), k)
+        while end and self.waiting:
+            self.sequence(self.take(1 << (min(self.waiting, self.length).bit_length() - 1)))
 
     def taken(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-        return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows, strict=True) if rows else [()] * 7, strict=True)})
+        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+        return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows, strict=True) if rows else [()] * 8, strict=True)})
 
 
 def default_tokenizer() -> str:
@@ -244,7 +286,7 @@ def default_tokenizer() -> str:
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens (of all its pieces)."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +300,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
         yield packer.taken()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
     )
 
 
