@@ -2,14 +2,19 @@
 
 Equal vectors of a label become one point with a weight, so copies cost nothing more. Points are dealt to overlapping
 cluster shards: a point is at home at its nearest centre and a guest at the next OVERLAP - 1, and, if it is close to its
-centre, wherever a point it links to can be at home; centres are a bounded sample of the points of each label. Within a shard the graph is built on overlapping clusters again (exact neighbours within a
-cluster, pruned robustly, lists united), and every point is searched greedily from the shard's medoid and its own node.
-The range grows from each point found within the threshold until no new one appears. Each link is verified in double
-precision; a link found at either end counts once, because pairs of different homes are gathered by their smaller end.
-
-A group of k alike points is joined by its links, at most k edges a shard; counts of links are summed, pairs are not
-sent but where the two ends have different homes. Vectors that are null, zero or hold a null or a non-finite component,
-and vectors without a label, link with nothing. Vectors of different lengths are not compared. Empty tables give no rows.
+centre, wherever a point it links to can be at home; centres are a bounded sample of the points of each label. Within a
+shard the graph is built on overlapping clusters again (exact neighbours within a cluster, pruned robustly, lists
+united), and every point at home is searched greedily from the shard's medoid and its own node. The range grows from
+each point found within the threshold until no new one appears. Each link is verified in double precision.
+
+Links are counted where they are found, and no pair leaves a shard. Two points with the same home count each other. Of
+two with different homes, the home of the point with the smaller number counts for both if the other is a guest there,
+else the other home; every point carries the list of its shards, so both shards come to the same answer. A shard returns
+at most one sum a point and a spanning forest of its links, however dense a group is.
+
+Each row is a vector, also if a vec_id repeats: it gets a row and its own count of links, and component_id is the
+smallest vec_id of its component. Vectors that are null, zero or hold a null or a non-finite component, and vectors
+without a label or a vec_id, link with nothing. Vectors of different lengths are not compared. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import Workspace, connected_components, table
 
 THRESHOLD = 0.98
-#: Points a centre has at home on average, centres in all at most, shards a point goes to.
-SHARD, MAX_CENTRES, OVERLAP = 250, 8192, 2
+#: Points a centre has at home on average, centres in all at most (16 MB at 64 dimensions), shards a point goes to.
+SHARD, MAX_CENTRES, OVERLAP = 250, 1 << 15, 2
+#: Similarities that dealing holds at once.
+HELD = 1 << 22
 #: Neighbours that a node keeps, how much nearer a neighbour must be to another to be dropped, beam of the greedy search.
 DEGREE, ALPHA, BEAM = 16, 1.2, 16
 
@@ -141,115 +149,142 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, t
             yield int(point), hits[hits != point]
 
 
-def _points(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, label): the vectors that can link, in double precision."""
-    v = F.col("embedding").cast("array<double>")
+def _usable() -> Column:
+    v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.col("label").cast("string").alias("label")).where(
-        "vec_id is not null and label is not null and v is not null"
-    ).where(F.coalesce(fine, F.lit(False)))
+    return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def _vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v, label, usable) of every row, in double precision."""
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    return own.withColumn("usable", _usable())
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _root(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of some points; the ways to them become shorter."""
+    top = root[at]
+    while True:
+        above = root[top]
+        if (above == top).all():
+            root[at] = top
+            return top
+        top = above
 
 
 def links(ws: Workspace, points: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Of distinct points (rep, v, label, copies): (rep, n) links to other points weighted by their copies, and edges (u, v)."""
+    """Of distinct points (pid, v, label, copies): (pid, n) links to other points weighted by their copies, and edges (u, v) between pids."""
     spark = ws.spark
     n = points.count()
     share = min(1.0, min(n / SHARD, MAX_CENTRES) / max(1, n))
-    chosen = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 24)) < F.lit(max(1, int(share * (1 << 24))))).select("rep", "v", "label").toPandas()
+    chosen = points.where(F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))).select("pid", "v", "label").toPandas()
     centres: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     for (label, size), g in chosen.assign(size=chosen.v.map(len)).groupby(["label", "size"]):
-        centres[label, size] = (g.rep.to_numpy(np.int64), _unit(np.array(g.v.tolist(), float)))
+        centres[label, size] = (g.pid.to_numpy(np.int64), _unit(np.array(g.v.tolist(), float)))
     sent = spark.sparkContext.broadcast(centres)
     reach = float(np.arccos(threshold))
 
+    def place(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shards each point goes to, and its home."""
+        sims = x @ c.T
+        best = sims.argmax(axis=1)
+        k = min(OVERLAP, sims.shape[1])
+        goes = sims >= np.partition(sims, -k, axis=1)[:, -k][:, None]
+        # Close to a centre: also to all others that a linked point can be at home at, by the triangle inequality.
+        own = np.arccos(np.clip(sims.max(axis=1), -1, 1))
+        close = np.flatnonzero(own <= 2 * reach)
+        goes[close] |= np.arccos(np.clip(sims[close], -1, 1)) <= (own[close] + 2 * reach)[:, None]
+        return goes, best
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, v = batch.column("label").to_pylist(), batch.column("v").to_pylist()
+            sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
             groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(label, map(len, v), strict=True)):
+            for i, key in enumerate(zip(batch.column("label").to_pylist(), sizes.tolist(), strict=True)):
                 groups.setdefault(key, []).append(i)
-            for key, at in groups.items():
+            for key, every in groups.items():
                 # A label without a centre is one shard.
                 ids, c = sent.value.get(key, (np.array([-1]), None))
-                goes = np.ones((len(at), 1), bool)
-                best = np.zeros(len(at), np.int64)
-                if c is not None:
-                    sims = _unit(np.array([v[i] for i in at])) @ c.T
-                    best = sims.argmax(axis=1)
-                    goes = sims >= np.sort(sims, axis=1)[:, -min(OVERLAP, sims.shape[1])][:, None]
-                    # Close to a centre: also to all others that a linked point can be at home at, by the triangle inequality.
-                    own = np.arccos(np.clip(sims.max(axis=1), -1, 1))
-                    goes |= ((own <= 2 * reach)[:, None]) & (np.arccos(np.clip(sims, -1, 1)) <= (own + 2 * reach)[:, None])
-                which, centre = np.nonzero(goes)
-                out = batch.take(pa.array(np.array(at)[which]))
-                names = [f"{key[0]}|{key[1]}|{s}" for s in ids[centre].tolist()]
-                yield pa.record_batch({"shard": pa.array(names), "home": pa.array(centre == best[which]), "rep": out.column("rep"), "v": out.column("v"), "copies": out.column("copies"), "at_home": pa.array(ids[best[which]])})
+                for at in range(0, len(every), max(1, HELD // len(ids))):
+                    rows = batch.take(pa.array(every[at : at + max(1, HELD // len(ids))]))
+                    goes, best = np.ones((rows.num_rows, 1), bool), np.zeros(rows.num_rows, np.int64)
+                    if c is not None:
+                        goes, best = place(_unit(_matrix(rows.column("v"))), c)
+                    which, centre = np.nonzero(goes)
+                    ends = np.concatenate(([0], np.cumsum(goes.sum(axis=1)))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[centre]))
+                    out, lists = rows.take(pa.array(which)), lists.take(pa.array(which))
+                    names = [f"{key[0]}|{key[1]}|{s}" for s in ids[centre].tolist()]
+                    yield pa.record_batch(
+                        {
+                            "shard": pa.array(names), "home": pa.array(centre == best[which]), "pid": out.column("pid"), "v": out.column("v"), "copies": out.column("copies"),
+                            "at_home": pa.array(ids[best[which]]), "shards": lists,
+                        }
+                    )
 
     def find(key: tuple, table_: pa.Table) -> pa.Table:
-        table_ = table_.combine_chunks().sort_by("rep")
-        x = _unit(np.array(table_.column("v").to_pylist(), float))
-        rep, copies, home = (table_.column(c).to_numpy() for c in ("rep", "copies", "home"))
-        where = table_.column("at_home").to_numpy()
-        u, v, w, n_u = [], [], [], []
+        table_ = table_.sort_by("pid").combine_chunks()
+        x = _unit(_matrix(table_.column("v").combine_chunks()))
+        pid, copies, home, at_home = (table_.column(c).to_numpy() for c in ("pid", "copies", "home", "at_home"))
+        goes = table_.column("shards").combine_chunks()
+        first, listed = goes.offsets.to_numpy(), goes.flatten().to_numpy()
+        first = first - first[0]
+        count, root, u, v = np.zeros(len(x), np.int64), np.arange(len(x)), [], []
         if home.any() and len(x) > 1:
             graph = build(x)
             medoid = int((x @ x.mean(axis=0)).argmax())
-            root = np.arange(len(x))
-
-            def top(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
             for i, hits in search(x, graph, np.flatnonzero(home), medoid, threshold):
                 hits = hits[(x[hits] * x[i]).sum(axis=1) >= threshold]
-                # Two ends with this home: each counts the other here. Otherwise the pair is sent, to be counted once.
-                same = where[hits] == where[i]
-                if same.any():
-                    u.append(rep[i]), v.append(rep[i]), w.append(int(copies[hits[same]].sum())), n_u.append(0)
-                for j in hits[~same].tolist():
-                    u.append(min(rep[i], rep[j])), v.append(max(rep[i], rep[j])), w.append(0)
-                    n_u.append(1)
-                for j in hits[same].tolist():
-                    a, b = top(i), top(j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        u.append(rep[min(a, b)]), v.append(rep[max(a, b)]), w.append(0), n_u.append(2)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(w, pa.int64()), "kind": pa.array(n_u, pa.int32())})
-
-    dealt = points.mapInArrow(deal, "shard string, home boolean, rep long, v array<double>, copies long, at_home long")
-    got = ws.save(dealt.groupBy("shard").applyInArrow(find, "u long, v long, n long, kind int"), "links")
-    inside = got.where("kind = 0").select(F.col("u").alias("rep"), "n")
-    pairs = ws.save(got.where("kind = 1").select("u", "v").distinct(), "pairs")
-    size = points.select("rep", "copies")
-    across = pairs.select(F.col("u").alias("rep"), F.col("v").alias("other")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("u").alias("other")))
-    across = across.join(size.withColumnRenamed("rep", "other"), "other").select("rep", F.col("copies").alias("n"))
-    return inside.unionByName(across).groupBy("rep").agg(F.sum("n").alias("n")), got.where("kind > 0").select("u", "v")
+                if not len(hits):
+                    continue
+                here, guests = hits[home[hits]], hits[~home[hits]]
+                # This shard counts unless the guest's home does: its number is smaller and this point is a guest there.
+                guests = guests[(guests > i) | ~np.isin(at_home[guests], listed[first[i] : first[i + 1]])]
+                count[i] += copies[here].sum() + copies[guests].sum()
+                count[guests] += copies[i]
+                tops = np.unique(_root(root, np.append(hits, i)))
+                if len(tops) > 1:
+                    root[tops[1:]] = tops[0]
+                    u.append(np.full(len(tops) - 1, pid[tops[0]]))
+                    v.append(pid[tops[1:]])
+        some = np.flatnonzero(count)
+        u, v = (np.concatenate([pid[some], *z]) for z in (u, v if v else [])) if u else (pid[some], pid[some])
+        v[: len(some)] = 0
+        return pa.table({"u": pa.array(u), "v": pa.array(v), "n": pa.array(np.concatenate([count[some], np.zeros(len(u) - len(some), np.int64)]))})
+
+    dealt = points.mapInArrow(deal, "shard string, home boolean, pid long, v array<double>, copies long, at_home long, shards array<long>")
+    got = ws.save(dealt.groupBy("shard").applyInArrow(find, "u long, v long, n long"), "links")
+    return got.where("n > 0").groupBy(F.col("u").alias("pid")).agg(F.sum("n").alias("n")), got.where("n = 0").select("u", "v")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     ws = Workspace(vectors.sparkSession, "embeddings")
-    usable = ws.save(_points(vectors).withColumn("key", F.sha2(F.concat_ws("|", "label", F.to_json("v")), 256)), "points")
-    points = ws.save(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label")), "distinct")
-    counts, edges = links(ws, points.select("rep", "v", "label", "copies"), threshold)
+    rows = _vectors(vectors)
+    # The vector's own doubles make the key, so that points are equal only if their vectors are.
+    usable = ws.save(rows.where("usable").withColumn("key", F.sha2(F.concat_ws("|", "label", F.to_json("v")), 256)).select("vec_id", "v", "label", "key"), "usable")
+    distinct = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
+    points = ws.save(distinct.withColumn("pid", F.monotonically_increasing_id()), "points")
+    counts, edges = links(ws, points.select("pid", "v", "label", "copies"), threshold)
     classes = connected_components(ws, edges)
-    named = (
-        points.select("key", "rep", "copies").join(counts, "rep", "left").join(classes, points.rep == classes.node, "left")
-        .select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    by_vector = usable.join(named, "key").select("vec_id", "n_links", "component_id").distinct()
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    return every.join(by_vector, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
-    )
+    named = points.select("key", "pid", "rep", "copies").join(counts, "pid", "left").join(classes.withColumnRenamed("node", "pid"), "pid", "left")
+    named = ws.save(named.select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "pid").alias("component")), "named")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_key = named.join(smallest, "component").select("key", "n_links", "component_id")
+    linked = usable.select("vec_id", "key").join(by_key, "key").select("vec_id", "n_links", "component_id")
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def audit(vectors: DataFrame, threshold: float = THRESHOLD, every: int = 50) -> DataFrame:
     """(queries, true_links, found_links, recall): links of the vectors whose id is divisible by `every`, by brute force and by the graph."""
-    usable = _points(vectors)
+    usable = _vectors(vectors).where("usable")
     queries = usable.where(F.col("vec_id") % every == 0)
     cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(cosine(a, a))
@@ -267,3 +302,24 @@ def audit(vectors: DataFrame, threshold: float = THRESHOLD, every: int = 50) ->
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in SQL: all pairs of a label, and the smallest vec_id that is reached.
+ORACLE = f"""
+WITH RECURSIVE
+p AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS v,
+         vec_id IS NOT NULL AND label IS NOT NULL AND coalesce(len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))), FALSE)
+         AND coalesce(len(list_filter(embedding, lambda x: x <> 0)) > 0, FALSE) AS usable
+  FROM embeddings),
+u AS (SELECT * FROM p WHERE usable),
+l AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y, b.vec_id FROM u AS a JOIN u AS b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT reach.x, min(p.vec_id) AS low FROM reach JOIN p ON p.r = reach.y GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT p.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(p.vec_id, coalesce(c.low, p.vec_id)) AS component_id,
+       p.vec_id = least(p.vec_id, coalesce(c.low, p.vec_id)) AS kept
+FROM p LEFT JOIN n ON n.x = p.r LEFT JOIN c ON c.x = p.r
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.chat import ORACLE as OP7_SQL
 from foliospark.llm.chat import op7_chat
 from foliospark.llm.decontaminate import op8_decontaminate
+from foliospark.llm.embeddings import ORACLE as OP10_SQL
 from foliospark.llm.embeddings import op10_embeddings
 from foliospark.llm.maxent import op4_maxent
 from foliospark.llm.packing import op5_packing
@@ -35,4 +36,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op7_chat": OP7_SQL,
+    "op10_embeddings": OP10_SQL,
 }

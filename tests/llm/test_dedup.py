@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -152,3 +153,24 @@ def test_embeddings(spark):
     assert got == {i: (count[i], want[i], want[i] == i) for i in count}
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
     assert embeddings.audit(df.where("vec_id < 436")).first()["recall"] == 1.0
+
+
+def test_embeddings_rows_and_dense_groups(spark, monkeypatch):
+    """A vec_id that repeats gives a row each; counts hold however many homes a dense group has."""
+    monkeypatch.setattr(embeddings, "SHARD", 20)
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=8)
+    rows = [(7, [1.0, 0.0], 1), (7, [1.0, 0.01], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.02], 1), (None, [1.0, 0.0], 1), (9, [], 1)]
+    rows += [(100 + i, (one + rng.normal(size=8) * 0.12).tolist(), 2) for i in range(300)] + [(500 + i, rng.normal(size=8).tolist(), 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()), key=str)
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for _, v, _ in rows]
+    good = [k for k, (i, v, _) in enumerate(rows) if i is not None and v]
+    linked = [(a, b) for a in good for b in good if a < b and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
+    count = Counter(x for e in linked for x in e)
+    group = components(range(len(rows)), linked)
+    low = {}
+    for k in good:
+        low[group[k]] = min(low.get(group[k], 1 << 60), rows[k][0])
+    want = sorted(((i, count[k], low[group[k]] if k in good else i) for k, (i, _, _) in enumerate(rows)), key=str)
+    assert len(linked) > 5000 and got == want
