@@ -17,6 +17,7 @@ from foliospark.llm.pii import op9_pii
 from foliospark.llm.sharding import ORACLE as OP2_SQL
 from foliospark.llm.sharding import op2_sharding
 from foliospark.llm.simhash import op1_simhash
+from foliospark.llm.substrings import ORACLE as OP3_SQL
 from foliospark.llm.substrings import op3_substrings
 from foliospark.llm.toxicity import op6_toxicity
 
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op3_substrings": OP3_SQL,
     "op7_chat": OP7_SQL,
     "op10_embeddings": OP10_SQL,
 }

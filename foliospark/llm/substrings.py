@@ -15,9 +15,10 @@ are sharded by content and a stretch of text is sent only to the shard that can
    smaller doc_ids, then what is new in them is added. It answers with the windows that occurred before.
 5. Blocks put the answers together and remove the words.
 
-Anchor hashes only route text; matching compares words (by 64-bit hash of the word within a shard). Memory is one block
-or one shard's distinct repeated text. Null texts have no words. Rows that share a doc_id do not remove each other's
-windows. A row without doc_id is kept whole and removes nothing. Empty tables give no rows.
+Anchor hashes only route text; matching compares the words themselves. There are at least as many shards as blocks, and
+each step has at least as many tasks, so that a task's share does not grow with the corpus. Shards are worked off one by
+one. Memory is one block or one shard's distinct repeated text. Null texts have no words. Rows that share a doc_id do not
+remove each other's windows. A row without doc_id is kept whole and removes nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -44,16 +45,16 @@ class Automaton:
     """Online suffix automaton of word sequences; a state's transitions are a dictionary."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length, self.last = [-1], [0], 0
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[bytes]) -> None:
         """Adds a sequence, apart from those before it."""
         self.last = 0
         for w in words:
             self._extend(w)
 
-    def _clone(self, p: int, q: int, w: int) -> int:
+    def _clone(self, p: int, q: int, w: bytes) -> int:
         new = len(self.length)
         self.next.append(self.next[q].copy())
         self.length.append(self.length[p] + 1)
@@ -64,7 +65,7 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def _extend(self, w: int) -> None:
+    def _extend(self, w: bytes) -> None:
         p = self.last
         q = self.next[p].get(w)
         if q is not None:
@@ -82,7 +83,7 @@ class Automaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
         self.last = cur
 
-    def matches(self, words: list[int]) -> list[int]:
+    def matches(self, words: list[bytes]) -> list[int]:
         """At each word, the length of the longest stretch up to it that the automaton has."""
         state, size, out = 0, 0, []
         step, link, length = self.next, self.link, self.length
@@ -194,12 +195,25 @@ def _block_of(ids: list, texts: bytes, width: int) -> tuple[Block, np.ndarray]:
     return Block(pc.if_else(pa.array(known), text, pa.scalar("")), np.array([-1 if i is None else i for i in ids], np.int64), width), known
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(shard, its rows) of rows sorted by shard, one shard at a time."""
+    current, rows = None, []
+    for batch in batches:
+        for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", *columns)), strict=True):
+            if shard != current:
+                if rows:
+                    yield current, rows
+                current, rows = shard, []
+            rows.append(tuple(row))
+    if rows:
+        yield current, rows
+
+
 def removals(ws: Workspace, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(block, ids, texts, answers) of every block: answers are compressed runs of windows that occurred before."""
     spark = ws.spark
     blocks, n = _blocks(ws, docs, width)
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    shards = max(1, min(1 << 16, max(n, shuffle)))
+    shards = max(n, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,35 +234,35 @@ def removals(ws: Workspace, docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tells blocks which of their anchors at least two documents have."""
-        block, h, low, many = [], [], [], []
-        for batch in batches:
-            for b, n_, data in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "data")), strict=True):
-                raw = zlib.decompress(data)
-                h.append(np.frombuffer(raw, np.uint64, n_))
-                low.append(np.frombuffer(raw, np.int64, n_, 8 * n_))
-                many.append(np.frombuffer(raw, bool, n_, 16 * n_))
-                block.append(np.full(n_, b))
-        if not h:
-            return
-        block, h, low, many = map(np.concatenate, (block, h, low, many))
-        order = np.argsort(h, kind="stable")
-        block, h, low, many = block[order], h[order], low[order], many[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(first, len(h)))
-        twice = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(low, first) != np.maximum.reduceat(low, first))
-        keep = np.repeat(twice, size)
-        block, h = block[keep], h[keep]
-        order = np.argsort(block, kind="stable")
-        block, h = block[order], h[order]
-        for p in np.split(np.arange(len(h)), np.flatnonzero(np.diff(block)) + 1):
-            if len(p):
-                yield pa.record_batch({"block": pa.array([int(block[p[0]])]), "anchors": pa.array([_pack(h[p])], pa.binary())})
-
-    heard = blocks.select("block", "ids", "texts").mapInArrow(name, "shard long, block long, n long, data binary").repartition("shard").mapInArrow(meet, "block long, anchors binary")
-    heard = ws.save(heard.groupBy("block").agg(F.collect_list("anchors").alias("anchors")), "anchors")
+        for _, rows in _by_shard(batches, "block", "n", "data"):
+            raw = [zlib.decompress(data) for _, _, data in rows]
+            size = [n_ for _, n_, _ in rows]
+            h = np.concatenate([np.frombuffer(r, np.uint64, k) for r, k in zip(raw, size, strict=True)])
+            low = np.concatenate([np.frombuffer(r, np.int64, k, 8 * k) for r, k in zip(raw, size, strict=True)])
+            many = np.concatenate([np.frombuffer(r, bool, k, 16 * k) for r, k in zip(raw, size, strict=True)])
+            block = np.repeat([b for b, _, _ in rows], size)
+            order = np.argsort(h, kind="stable")
+            block, h, low, many = block[order], h[order], low[order], many[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            twice = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(low, first) != np.maximum.reduceat(low, first))
+            keep = np.repeat(twice, np.diff(np.append(first, len(h))))
+            block, h = block[keep], h[keep]
+            order = np.argsort(block, kind="stable")
+            block, h = block[order], h[order]
+            own = [p for p in np.split(np.arange(len(h)), np.flatnonzero(np.diff(block)) + 1) if len(p)]
+            if own:
+                yield pa.record_batch({"block": pa.array([int(block[p[0]]) for p in own], pa.int64()), "anchors": pa.array([_pack(h[p]) for p in own], pa.binary())})
+
+    def gathered(rows: DataFrame, column: str) -> DataFrame:
+        """One row a block; rows of a block meet in as many tasks as there are shards."""
+        return rows.repartition(shards, "block").groupBy("block").agg(F.collect_list(column).alias(column))
+
+    named = blocks.mapInArrow(name, "shard long, block long, n long, data binary")
+    heard = named.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, "block long, anchors binary")
+    heard = ws.save(gathered(heard, "anchors"), "anchors")
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stretches of a block for each shard: doc_id, number of the stretch here, lengths, words."""
+        """Stretches of a block for each shard: doc_id, number of the stretch here, bytes of its text; the texts."""
         for batch in batches:
             for block, ids, texts, anchors in zip(*(batch.column(c) for c in ("block", "ids", "texts", "anchors")), strict=True):
                 own, _ = _block_of(ids.as_py(), texts.as_py(), width)
@@ -258,32 +272,34 @@ def removals(ws: Workspace, docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     continue
                 shard = (own.hash[sent] % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
+                sent, shard = sent[order], shard[order]
+                size = own.end[sent] - own.start[sent]
+                stop = np.cumsum(size)
+                flat = np.repeat(own.start[sent] - (stop - size), size) + np.arange(size.sum())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), own.words.take(pa.array(own.codes[flat])))
+                joined = pc.binary_join(lists, " ").cast(pa.large_string())
+                at, text = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1), joined.buffers()[2].to_pybytes()
                 rows = {"shard": [], "block": [], "n": [], "data": []}
-                for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    s = sent[p]
-                    size = own.end[s] - own.start[s]
-                    flat = np.repeat(own.start[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    rows["shard"].append(int(shard[p[0]]))
+                for p in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(shard)) + 1):
+                    a, b = p[0], p[-1] + 1
+                    rows["shard"].append(int(shard[a]))
                     rows["block"].append(block.as_py())
-                    rows["n"].append(len(s))
-                    rows["data"].append(_pack(own.doc_ids[own.doc[s]], s.astype(np.int64), size.astype(np.int64), own.word_hash[own.codes[flat]]))
-                yield pa.record_batch({"shard": pa.array(rows["shard"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "data": pa.array(rows["data"], pa.binary())})
+                    rows["n"].append(len(p))
+                    rows["data"].append(_pack(own.doc_ids[own.doc[sent[a:b]]], sent[a:b].astype(np.int64), np.diff(at[a : b + 1]), np.frombuffer(text, np.uint8, int(at[b] - at[a]), int(at[a]))))
+                yield pa.record_batch({k: pa.array(v, pa.binary() if k == "data" else pa.int64()) for k, v in rows.items()})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[int, list] = {}
-        for batch in batches:
-            for shard, b, n_, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "n", "data")), strict=True):
-                by_shard.setdefault(shard, []).append((b, n_, data))
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for shard in list(by_shard):
-            _answer(by_shard.pop(shard), width, found)
-        for b, runs in found.items():
-            yield pa.record_batch({"block": pa.array([b]), "answers": pa.array([_pack(np.array(runs, np.int64))], pa.binary())})
+        for _, rows in _by_shard(batches, "block", "n", "data"):
+            found = _answer(rows, width)
+            if found:
+                yield pa.record_batch({"block": pa.array(list(found), pa.int64()), "answers": pa.array([_pack(np.array(runs, np.int64)) for runs in found.values()], pa.binary())})
 
-    spoken = blocks.join(heard, "block").mapInArrow(stretch, "shard long, block long, n long, data binary")
-    answers = spoken.repartition("shard").mapInArrow(match, "block long, answers binary")
-    answers = ws.save(answers.groupBy("block").agg(F.collect_list("answers").alias("answers")), "answers")
-    return blocks.join(heard, "block", "left").join(answers, "block", "left").select("block", "ids", "texts", "anchors", "answers")
+    placed = blocks.repartition(shards, "block")
+    spoken = placed.join(heard.repartition(shards, "block"), "block").mapInArrow(stretch, "shard long, block long, n long, data binary")
+    answers = spoken.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(match, "block long, answers binary")
+    answers = ws.save(gathered(answers, "answers"), "answers")
+    both = placed.join(heard.repartition(shards, "block"), "block", "left").join(answers.repartition(shards, "block"), "block", "left")
+    return both.select("block", "ids", "texts", "anchors", "answers")
 
 
 def _distinct(own: Block, known: np.ndarray) -> np.ndarray:
@@ -295,30 +311,28 @@ def _distinct(own: Block, known: np.ndarray) -> np.ndarray:
     return np.array(list(first.values()), np.int64)
 
 
-def _answer(rows: list, width: int, found: dict[int, list[tuple[int, int, int]]]) -> None:
-    """Matches a shard's stretches by ascending doc_id and notes (stretch, first window, end of windows) that occurred before."""
-    every = []
+def _answer(rows: list[tuple[int, int, bytes]], width: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Matches a shard's stretches by ascending doc_id; of each block (stretch, first window, end of windows) that occurred before."""
+    every, found = [], {}
     for b, n, data in rows:
         raw = zlib.decompress(data)
-        doc, no, size = (np.frombuffer(raw, np.int64, n, 8 * n * k) for k in range(3))
-        words = np.frombuffer(raw, np.uint64, -1, 24 * n)
-        at = 0
-        for d, k, s in zip(doc.tolist(), no.tolist(), size.tolist(), strict=True):
-            every.append((d, b, k, words[at : at + s].tobytes()))
+        doc, no, size = (np.frombuffer(raw, np.int64, n, 8 * n * k).tolist() for k in range(3))
+        at = 24 * n
+        for d, k, s in zip(doc, no, size, strict=True):
+            every.append((d, b, k, raw[at : at + s]))
             at += s
     every.sort(key=lambda x: x[0])
     automaton, seen, pending, current = Automaton(), {}, [], None
-    for d, b, k, words in every:
+    for d, b, k, text in every:
         if d != current:
             for new in pending:
                 automaton.add(new)
             pending, current = [], d
-        low = seen.setdefault(words, d)
-        size = len(words) // 8
-        if low < d:
-            found.setdefault(b, []).append((k, 0, size - width + 1))
+        if seen.setdefault(text, d) < d:
+            found.setdefault(b, []).append((k, 0, text.count(b" ") + 2 - width))
             continue
-        own = np.frombuffer(words, np.uint64).tolist()
+        own = text.split(b" ")
+        size = len(own)
         ends = [n >= width for n in automaton.matches(own)]
         runs = []
         for i in range(width - 1, size):
@@ -328,13 +342,15 @@ def _answer(rows: list, width: int, found: dict[int, list[tuple[int, int, int]]]
                     runs[-1][1] = w + 1
                 else:
                     runs.append([w, w + 1])
-        found.setdefault(b, []).extend((k, x, y) for x, y in runs)
+        if runs:
+            found.setdefault(b, []).extend((k, x, y) for x, y in runs)
         # What is new: the stretches between the matches, with the words that windows share with them.
         new_from = 0
         for x, y in [*runs, [size - width + 1, 0]]:
             if x > new_from:
                 pending.append(own[new_from : x + width - 1])
             new_from = y
+    return found
 
 
 def _finished(ids: list, texts: bytes, anchors: list | None, answers: list | None, width: int) -> Iterator[tuple[int | None, int, np.ndarray, Block, int, int]]:
@@ -392,3 +408,18 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> Dat
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), texts=False)
+
+
+#: The same rows in SQL: all windows with the smallest doc_id that has them.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM d WHERE len(w) >= {WIDTH} AND doc_id IS NOT NULL),
+g AS MATERIALIZED (SELECT r, doc_id, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY 1),
+x AS (SELECT DISTINCT g.r, unnest(range(g.i, g.i + {WIDTH})) AS i FROM g JOIN m USING (h) WHERE m.low < g.doc_id),
+gone AS (SELECT r, count(*) AS n, list(i) AS taken FROM x GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+                   ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(taken, z[2])), lambda z: z[1]), ' '), '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
