@@ -1,13 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of the test items' word windows, scanned over every document.
 
 A window is `width` consecutive words of an item, or the whole item if it is shorter (an item without words has none).
-A hash hit is verified word by word. The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; more blocks
-are scanned one after the other, each adding to the spans found so far. Null and empty texts have no words; an empty
+A hash hit is verified word by word. The benchmark is broadcast in blocks of about BLOCK_BYTES of text, of which the
+driver holds one at a time; more blocks are scanned one after the other, each adding to the spans found so far. Null and empty texts have no words; an empty
 benchmark hits nothing; repeated items and equal item_ids count once; items without item_id are matched but not named.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +48,7 @@ class Windows:
         for n, windows in sorted(found.items()):
             ids = np.array(list(windows), np.int64)
             keys = _keys(ids)
-            order = np.argsort(keys)
-            if (np.diff(keys[order]) == 0).any():
-                raise ValueError("two windows of the benchmark have the same key")
+            order = np.argsort(keys, kind="stable")
             names = [sorted(x for x in s if x is not None) for s in windows.values()]
             self.by_length[n] = (keys[order], ids[order], [names[i] for i in order])
 
@@ -65,9 +64,10 @@ class Windows:
                 continue
             at = np.flatnonzero((run[n:] - run[:-n] == n) & (text[n - 1 :] == text[: len(text) - n + 1]))
             found = _keys(ids[at[:, None] + np.arange(n)]) if len(at) else np.zeros(0, np.uint64)
-            place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            hit = keys[place] == found
-            at, place = at[hit], place[hit]
+            # Windows of one key lie next to each other; each is compared word by word.
+            place = np.searchsorted(keys, found)
+            size = np.searchsorted(keys, found, side="right") - place
+            at, place = np.repeat(at, size), np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())
             same = (ids[at[:, None] + np.arange(n)] == windows[place]).all(axis=1)
             at, place = at[same], place[same]
             np.add.at(change, at, 1)
@@ -77,30 +77,32 @@ class Windows:
         return np.cumsum(change[:-1]) > 0, sorted(seen)
 
 
-def _blocks(benchmark: DataFrame, width: int) -> list[Windows]:
+def _blocks(benchmark: DataFrame, width: int) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark's windows in blocks, one at a time, and whether a block is the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-total // BLOCK_BYTES) or 1
     if n == 1:
-        return [Windows([tuple(r) for r in items.collect()], width)]
+        yield Windows([tuple(r) for r in items.collect()], width), True
+        return
     parts = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)))
-    return [Windows([(r["item_id"], r["text"]) for r in parts.where(F.col("b") == b).collect()], width) for b in range(2 * n)]
+    for b in range(2 * n):
+        yield Windows([(r["item_id"], r["text"]) for r in parts.where(F.col("b") == b).collect()], width), b == 2 * n - 1
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document: spans [first, end, first, end, ...] of the words that are hit."""
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, texts: bool = False) -> DataFrame:
+    """(doc_id, n_words, spans, items[, text]) of every document: spans [first, end, first, end, ...] of the words that are hit."""
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, width)
     schema = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
     ws = Workspace(spark, "decontaminate")
-    for k, block in enumerate(blocks):
+    for block, last in _blocks(benchmark, width):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last: bool = k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, bare: bool = last and not texts) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
                     codes, ends, words = alnum_words(part.column("text"))
@@ -125,23 +127,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
                             a, t = max(a, stop), t + 1
                     yield pa.record_batch(
                         {
-                            "doc_id": part.column("doc_id"), "text": pa.nulls(part.num_rows, pa.string()) if last else part.column("text").cast(pa.string()),
+                            "doc_id": part.column("doc_id"), "text": pa.nulls(part.num_rows, pa.string()) if bare else part.column("text").cast(pa.string()),
                             "n_words": pa.array(np.diff(ends)), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                         }
                     )
 
         found = found.mapInArrow(run, schema)
-        if k < len(blocks) - 1:
+        if not last:
             found = ws.save(found, "block")
-    return found.select("doc_id", "n_words", "spans", "items")
+            sent.destroy()
+    return found.select("doc_id", "n_words", "spans", "items", *(["text"] if texts else []))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows without a hit, whatever their doc_id; columns as they were."""
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, width)
     ws = Workspace(spark, "decontaminated")
-    for k, block in enumerate(blocks):
+    for block, last in _blocks(benchmark, width):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -152,8 +154,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
                     yield part.filter(pa.array(np.diff(hits[ends]) == 0))
 
         docs = docs.mapInArrow(run, docs.schema)
-        if k < len(blocks) - 1:
+        if not last:
             docs = ws.save(docs, "block")
+            sent.destroy()
     return docs
 
 
@@ -162,25 +165,18 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     import re
 
     word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                codes, ends, words = alnum_words(part.column("text"))
-                hit = np.zeros(len(codes), bool)
-                for block in sent:
-                    hit |= block.value.find(codes, ends, words)[0]
-                texts = part.column("text").to_pylist()
-                for t, text in enumerate(texts):
-                    own = hit[ends[t] : ends[t + 1]]
-                    if own.any():
-                        flags = iter(own.tolist())
-                        texts[t] = word.sub(lambda m, flags=flags: b"" if next(flags) else m[0], text.encode()).decode()
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "text": pa.array(texts, pa.string())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string")
+            texts = batch.column("text").to_pylist()
+            for t, spans in enumerate(batch.column("spans").to_pylist()):
+                if spans:
+                    gone = {k for a, b in zip(spans[::2], spans[1::2], strict=True) for k in range(a, b)}
+                    at = itertools.count()
+                    texts[t] = word.sub(lambda m, gone=gone, at=at: b"" if next(at) in gone else m[0], texts[t].encode()).decode()
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
+    return scan(docs, benchmark, width, texts=True).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,3 +188,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+#: The same rows in SQL: windows as joined words, one length after another.
+ORACLE = r"""
+WITH word AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS rx),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), rx) AS w FROM benchmark, word WHERE text IS NOT NULL),
+iw AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM iw),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), rx) AS w FROM documents, word),
+p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+m AS MATERIALIZED (SELECT p.r, p.k, p.n, g.item FROM p JOIN g ON g.n = p.n AND g.s = array_to_string(p.w[p.k:p.k + p.n - 1], ' ')),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM m) GROUP BY 1),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m WHERE item IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""

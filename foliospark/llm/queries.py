@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.chat import ORACLE as OP7_SQL
 from foliospark.llm.chat import op7_chat
+from foliospark.llm.decontaminate import ORACLE as OP8_SQL
 from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.embeddings import ORACLE as OP10_SQL
 from foliospark.llm.embeddings import op10_embeddings
@@ -38,5 +39,6 @@ ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op3_substrings": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
     "op10_embeddings": OP10_SQL,
 }

@@ -83,6 +83,15 @@ def test_pii(docs_of, odd):
     assert clean.columns == docs.columns and [(r["text"], r["n_chars"]) for r in clean.orderBy("doc_id").collect()] == [("[EMAIL], [IP]", 13), (None, None), ("x", 1)]
 
 
+def test_windows_with_the_same_key(monkeypatch):
+    """Windows whose keys collide are told apart by their words."""
+    monkeypatch.setattr(decontaminate, "_keys", lambda ids: np.full(len(ids), 7, np.uint64))
+    windows = decontaminate.Windows([("a", "one two three"), ("b", "two three four"), ("c", "five")], 3)
+    codes, ends, words = decontaminate.alnum_words(pa.array(["x one two three four", "three two one", "five"]))
+    hit, pairs = windows.find(codes, ends, words)
+    assert hit.tolist() == [False, True, True, True, True, False, False, False, True] and pairs == [(0, "a"), (0, "b"), (2, "c")]
+
+
 def test_packing(docs_of, odd):
     from tokenizers import Tokenizer
 
