@@ -263,27 +263,88 @@ def test_maxent(docs_of, odd):
     assert maxent.scored(docs_of(rows).limit(0)).collect() == []
 
 
-def test_maxent_is_a_distribution():
-    """Over all words of the vocabulary and the unseen outcome of each class, probabilities sum to one."""
-    words = [maxent.END, "a", "bb", "ccc", "dd", "eeee"]
-    counts = [40, 30, 9, 5, 1, 1]
+def a_model():
+    words = [maxent.END, "a", "bb", "ccc", "dd", "eeee", *(f"w{k}" for k in range(300))]
+    counts = [40, 30, 9, 5, 1, 1, *([2] * 200), *([1] * 100)]
     totals = {}
     for w, n in zip(words, counts, strict=True):
-        k = int(maxent.suffix_class([w.encode()])[0])
+        k = int(maxent.cells_of([w.encode()])[0])
         a, b = totals.get(k, (0, 0))
         totals[k] = (a + n, b + (n == 1))
     v = maxent.Vocabulary(words, counts, totals)
-    w = maxent.Weights(v.total)
+    w = maxent.Weights(v.total, 1 << 8)
     w.rows += np.random.default_rng(0).normal(size=w.rows.shape).astype(np.float32) * 0.3
-    classes = np.arange(256)
-    feature = np.full(256, 2)
-    p = np.array([w._log10(np.array([1, k]), feature[:2], np.array([0, 2]))[1] for k in classes])
+    return words, v, w
+
+
+def test_maxent_is_a_distribution():
+    """Over all words of the vocabulary and the unseen outcome of each cell, probabilities sum to one."""
+    _, v, w = a_model()
+    single = maxent.SINGLES * maxent.SIDE
+    cells = [k for k in range(maxent.CELLS) if k >= single or k % maxent.SIDE == 0]
+    feature = np.array([77, 0])
+    p = np.array([w._log10(np.array([16, k]), feature, np.array([0, 2]))[1] for k in cells])
     assert abs((10**p).sum() - 1) < 1e-4
     inside = Counter()
-    for k, x in zip(v.cls, v.inside, strict=True):
+    for k, x in zip(v.cell, v.inside, strict=True):
         inside[int(k)] += 10**x
     for k, x in inside.items():
-        assert abs(x + (v.unseen[k] if k >= maxent.SINGLES else 0) - 1) < 1e-9
+        assert abs(x + (v.unseen[k] if k >= single else 0) - 1) < 1e-9
+
+
+def test_maxent_score_by_hand():
+    """A text's score, token by token and level by level in plain numbers."""
+    words, v, w = a_model()
+    text = "a w7 bb w200 a unheard-of w7"
+    _, cell, feature, ends, *_ = v.encode(pa.record_batch({"text": pa.array([text])}))
+    got = w.log10(cell, feature, ends)
+    low = (1 << 64) - 1
+
+    def mix(kind, a, b=0):
+        h = ((a & low) + (kind << 40)) * 0x9E3779B97F4A7C15 & low
+        h = (h ^ h >> 31 ^ b & low) * 0xD6E8FEB86659FD93 & low
+        return h ^ h >> 32
+
+    import xxhash
+
+    tokens = text.split()
+    ids = [xxhash.xxh64_intdigest(t.encode()) for t in tokens]
+    at = [words.index(t) if t in words else None for t in [*tokens, maxent.END]]
+    for i, t in enumerate([*tokens, maxent.END]):
+        c = int(v.cell[at[i]]) if at[i] is not None else int(maxent.cells_of([t.encode()])[0])
+        assert cell[i] == c
+        back = [ids[i - k] if i >= k else 0 for k in (1, 2, 3)]
+        keys = [mix(1, back[0]), mix(2, back[1]), mix(3, back[2]), mix(4, back[0], back[1])]
+        total, first = 0.0, 0
+        for level, times in enumerate(maxent.LEVELS):
+            before, truth = c // 16 ** (3 - level), c // 16 ** (2 - level) % 16
+            z = w.bias[level][before].astype(float)
+            for key, share in zip(keys, maxent.SHARES, strict=True):
+                n = w.unit * share * times
+                z = z + w.rows[first + ((mix(5 + level, key >> 8, before) if level else key) & (n - 1))]
+                first += n
+            if level < 2 or c >= maxent.SINGLES * 16:
+                total += math.log10(math.exp(z[truth]) / sum(math.exp(x) for x in z))
+        assert abs(total - got[i]) < 1e-5
+
+
+def test_maxent_changes_are_averaged_in_a_tree(spark):
+    """Means over many tasks, weighted by tokens, whatever the depth of the tree."""
+    rng = np.random.default_rng(1)
+    total, weight, batches = np.zeros((10, 16)), np.zeros(10), []
+    for task in range(300):
+        row = np.flatnonzero(rng.random(10) < 0.4)
+        used, change = rng.integers(1, 9, len(row)).astype(np.float32), rng.normal(size=(len(row), 16)).astype(np.float16)
+        total[row] += used[:, None] * change
+        weight[row] += used
+        if len(row):
+            batches.append(maxent._packed_block(task, 3, row, used, change).to_pylist()[0])
+    got = maxent._mean(spark.createDataFrame(batches, maxent._CHANGES), 300).collect()
+    assert len(got) == 1 and got[0]["block"] == 3
+    row = np.frombuffer(got[0]["row"], np.uint16)
+    mean = np.frombuffer(got[0]["change"], np.float16).reshape(-1, 16)
+    assert np.abs(mean - (total / weight[:, None])[row]).max() < 0.01 and np.allclose(np.frombuffer(got[0]["used"], np.float32), weight[row])
+    assert maxent.scale(0)[0] == maxent.LEAST_UNIT and maxent.scale(10**12)[0] == maxent.MOST_UNIT and maxent.scale(10**9)[1] > maxent.scale(10**6)[1]
 
 
 def test_toxicity_finds_rare_words_among_many_common_ones(spark, docs_of):
