@@ -12,6 +12,7 @@ one component. A null doc_id gets a fingerprint and the component of its fingerp
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,21 +24,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import Workspace, connected_components, slices, table
 
 SEED = 42
-#: Fingerprints that the tree is built on (a quarter of them, this many at most, on average), the size its leaves aim at, their number.
-SAMPLE, LEAF, MAX_LEAVES = 1 << 16, 1000, 4096
+#: Fingerprints that the tree is built on (a quarter of them, this many at most, on average), the least size its leaves aim at,
+#: and how many leaves it has: a leaf aims at so many times less than all fingerprints, and splits itself within its task.
+SAMPLE, LEAF, LEAVES = 1 << 20, 1000, 1 << 16
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash values for fingerprint k; the first has the XXH64 values themselves."""
-    if not k:
-        return h
-    h = (h ^ (h >> np.uint64(33))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def fingerprints_of(texts: list[str | None], shingle: int = 3, tables: int = 1) -> np.ndarray:
-    """Unsigned 64-bit fingerprints (text, table): bit i is set if over half of the shingles' hash values have it."""
+def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
+    """Unsigned 64-bit fingerprints: bit i is set if over half of the shingles' hash values have it."""
     import xxhash
 
     one, join = xxhash.xxh64_intdigest, b" ".join
@@ -51,7 +44,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3, tables: int = 1)
         elif words:
             hashes.append(one(join(words), SEED))
             sizes[i] = 1
-    out = np.zeros((len(texts), tables), np.uint64)
+    out = np.zeros(len(texts), np.uint64)
     if not hashes:
         return out
     h = np.array(hashes, np.uint64)
@@ -62,13 +55,12 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3, tables: int = 1)
     piece = np.repeat(first[full] - 255 * (np.cumsum(pieces) - pieces), pieces) + 255 * np.arange(pieces.sum())
     counts = np.empty((len(piece), 64), np.uint8)
     step = 1 << 12
-    for k in range(tables):
-        for at in range(0, len(piece), step):
-            lo, hi = piece[at], piece[at + step] if at + step < len(piece) else len(h)
-            bits = np.unpackbits(_mixed(h[lo:hi], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-            counts[at : at + step] = np.add.reduceat(bits, piece[at : at + step] - lo, axis=0).view(np.uint8)
-        votes = np.add.reduceat(counts.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-        out[full, k] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    for at in range(0, len(piece), step):
+        lo, hi = piece[at], piece[at + step] if at + step < len(piece) else len(h)
+        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+        counts[at : at + step] = np.add.reduceat(bits, piece[at : at + step] - lo, axis=0).view(np.uint8)
+    votes = np.add.reduceat(counts.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
+    out[full] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 
@@ -87,7 +79,7 @@ def _cut(points: np.ndarray, vantage: np.uint64, radius: int) -> tuple[int, floa
 
 def build_tree(sample: np.ndarray, leaf: int, radius: int, leaves: list[int]) -> tuple | int:
     """A node is (vantage, m, inside, outside); a leaf is its number."""
-    if len(sample) > leaf and len(leaves) < MAX_LEAVES:
+    if len(sample) > leaf:
         tries = ((*_cut(sample, v, radius), v) for v in sample[:: max(1, len(sample) // 5)][:5])
         m, share, vantage = min(tries, key=lambda x: x[1])
         if share <= 0.85:
@@ -139,17 +131,15 @@ def forest(points: np.ndarray, ids: np.ndarray, radius: int, leaf: int = 4096) -
             yield np.full(len(found), root), found
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
-    """(doc_id, fp0, fp1, ...): each holds the 64 bits as a signed long."""
-    names = [f"fp{k}" for k in range(tables)]
+def fingerprint_table(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                fp = fingerprints_of(part.column("text").to_pylist(), shingle, tables).view(np.int64)
-                yield pa.record_batch({"doc_id": part.column("doc_id")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fingerprints_of(part.column("text").to_pylist(), shingle).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -162,7 +152,7 @@ def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
     points = np.sort(sample["fp"].to_numpy(np.int64)).view(np.uint64)
     np.random.default_rng(SEED).shuffle(points)
     leaves: list[int] = []
-    tree = build_tree(points, max(16, int(LEAF * share)), radius, leaves)
+    tree = build_tree(points, max(16, int(max(LEAF, n / LEAVES) * share)), radius, leaves)
     sent = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,51 +162,41 @@ def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
                 yield pa.record_batch({"leaf": pa.array(np.full(len(at), leaf, np.int32)), "fp": pa.array(fp[at]), "rep": pa.array(rep[at])})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        leaf, fp, rep = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("leaf", "fp", "rep"))
-        order = np.argsort(leaf, kind="stable")
-        cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-        for at in np.split(order, cuts):
-            for u, v in forest(fp[at].view(np.uint64), rep[at], radius):
-                yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
-
-    parts = max(1, min(len(leaves), 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    return fps.mapInArrow(deal, "leaf int, fp long, rep long").repartition(parts, "leaf").mapInArrow(link, "u long, v long")
+        """Rows are sorted by leaf; one leaf is held at a time."""
 
+        def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fp, rep = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("fp", "rep"))
+            for u, v in forest(fp.view(np.uint64), rep, radius):
+                yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document. With more tables, documents link if any of their fingerprints do."""
+        current, held = None, []
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+            for a, b in itertools.pairwise(cuts):
+                if a == b:
+                    continue
+                if leaf[a] != current and held:
+                    yield from joined(held)
+                    held = []
+                current = leaf[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from joined(held)
+
+    # About as many rows a task as a leaf of the least size has, times the copies that overlap makes.
+    parts = max(1, min(len(leaves), max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n // (64 * LEAF))))
+    return fps.mapInArrow(deal, "leaf int, fp long, rep long").repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(link, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
     ws = Workspace(docs.sparkSession, "simhash")
-    names = [f"fp{k}" for k in range(tables)]
-    fps = ws.save(fingerprint_table(docs, shingle, tables), "fingerprints")
-    reps = ws.save(fps.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = None
-    for name in names:
-        points = reps.select(F.col(name).alias("fp"), "rep")
-        if tables > 1:
-            points = ws.save(points.groupBy("fp").agg(F.min("rep").alias("rep")), name)
-        links = near_links(ws, points, radius)
-        if tables > 1:
-            links = links.unionByName(reps.select(F.col(name).alias("fp"), F.col("rep").alias("v")).join(points, "fp").select(F.col("rep").alias("u"), "v").where("u <> v"))
-        edges = links if edges is None else edges.unionByName(links)
-    classes = connected_components(ws, edges)
-    named = reps.join(classes, reps.rep == classes.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, names, "left").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, shingle: int = 5, radius: int = 3, tables: int = 8) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component; columns as they were. Rows without doc_id stay.
-
-    Over shingles of five words, fingerprints of texts with a similarity (Jaccard) of 0.9 differ by 7 bits of 64 on
-    average, of 0.8 by 10, of 0.7 by 12. A radius of 3 therefore hardly links texts below 0.8, and several independent
-    fingerprints find what one would miss: of texts above 0.95 about five in six, of 0.9 about half, apart from links by
-    way of third documents.
-    """
-    classes = near_duplicates(docs, shingle, radius, tables)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    fps = ws.save(fingerprint_table(docs, shingle), "fingerprints")
+    reps = ws.save(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    classes = connected_components(ws, near_links(ws, reps, radius))
+    named = reps.join(classes, reps.rep == classes.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

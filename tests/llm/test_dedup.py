@@ -51,6 +51,19 @@ def test_simhash_odd_rows(docs_of, odd):
     assert simhash.near_duplicates(docs_of(odd).limit(0)).collect() == []
 
 
+def test_simhash_with_many_leaves(docs_of, monkeypatch):
+    """Small leaves, so that most fingerprints meet in leaves that overlap."""
+    monkeypatch.setattr(simhash, "LEAF", 20)
+    random.seed(2)
+    rows = []
+    for i in range(500):
+        words = [random.choice("abcdefghijkl") for _ in range(120)]
+        for k in range(3):
+            rows.append((3 * i + k, " ".join(words)))
+            words[random.randrange(120)] = "x"
+    check_simhash(simhash.near_duplicates(docs_of(rows)).collect(), rows)
+
+
 def test_simhash_groups(docs_of):
     random.seed(1)
     base = [random.choice("abcdefgh") for _ in range(400)]
@@ -63,14 +76,6 @@ def test_simhash_groups(docs_of):
     check_simhash(simhash.near_duplicates(docs_of(rows)).collect(), rows)
 
 
-def test_simhash_stage_keeps_one_of_each_group(docs_of, odd):
-    docs = docs_of(odd)
-    kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 8 in ids and 9 not in ids and None in ids and 5 in ids and ids.count(4) == 2
-
-
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=60, unique=True), st.integers(0, 4))
 def test_tree_shares_a_leaf(seeds, radius):

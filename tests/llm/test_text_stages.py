@@ -308,8 +308,10 @@ def test_maxent_score_by_hand():
     import xxhash
 
     tokens = text.split()
-    ids = [xxhash.xxh64_intdigest(t.encode()) for t in tokens]
     at = [words.index(t) if t in words else None for t in [*tokens, maxent.END]]
+    often = [k is not None and v.counts[k] >= maxent.OFTEN for k in at]
+    ids = [xxhash.xxh64_intdigest(t.encode()) if o else int(c) // 16 + 1 for t, o, c in zip(tokens, often, cell, strict=False)]
+    assert sum(often) > 2
     for i, t in enumerate([*tokens, maxent.END]):
         c = int(v.cell[at[i]]) if at[i] is not None else int(maxent.cells_of([t.encode()])[0])
         assert cell[i] == c
