@@ -31,7 +31,7 @@ LENGTH, END = 4096, 2
 #: Windows that are packed together; rests shorter than BUNDLE tokens are first joined to bundles.
 GROUP, BUNDLE = 256, 128
 #: A window is left one part in SLACK short, so that differencing fits; the number of windows rises by one part in RISE at most.
-SLACK, RISE = 512, 128
+SLACK, RISE = 512, 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
@@ -154,35 +154,44 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Item numbers of k parts of near-equal sums: the two partial partitions of largest spread are merged, the largest part of the one with the smallest of the other."""
+    """Item numbers of k parts of near-equal sums: the two partial partitions of largest spread are merged, the largest part of the one with the smallest of the other.
+
+    A part is the number of a node: an item, counted from 1, or a pair of nodes; 0 is an empty part.
+    """
     heap = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [(i, None), *[None] * (k - 1)]))
+        sums, parts = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        sums[0], parts[0] = s, i + 1
+        heap.append((-s, i, sums, parts))
     heapq.heapify(heap)
-    count = itertools.count(len(heap))
+    count, nodes, left, right = itertools.count(len(heap)), len(sizes) + 1, [], []
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
+        y = y[::-1]
+        parts = np.where(x, x, y)
+        both = np.flatnonzero((x > 0) & (y > 0))
+        if len(both):
+            left.append(x[both])
+            right.append(y[both])
+            parts[both] = np.arange(nodes, nodes + len(both))
+            nodes += len(both)
         sums = a + b[::-1]
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
-        y.reverse()
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), next(count), sums, [(x[i], y[i]) if x[i] and y[i] else x[i] or y[i] for i in order.tolist()]))
-    parts = []
-    for tree in heap[0][3]:
-        part, todo = [], [tree]
+        heapq.heappush(heap, (int(sums[-1] - sums[0]), next(count), sums, parts[order]))
+    left, right = (np.concatenate(x).tolist() if x else [] for x in (left, right))
+    out = []
+    for node in heap[0][3].tolist():
+        part, todo = [], [node] if node else []
         while todo:
-            t = todo.pop()
-            if t is None:
-                continue
-            if isinstance(t[0], int):
-                part.append(t[0])
+            node = todo.pop()
+            if node <= len(sizes):
+                part.append(node - 1)
             else:
-                todo += t
-        parts.append(sorted(part))
-    return parts
+                todo += (left[node - len(sizes) - 1], right[node - len(sizes) - 1])
+        out.append(sorted(part))
+    return out
 
 
 class Packer:
