@@ -54,15 +54,20 @@ def is_blank(s: Column) -> Column:
     return strip(s) == ""
 
 
+def characters(s: Column) -> Column:
+    """The code points of a string."""
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def ngrams(s: Column, n: int) -> Column:
     """Distinct character n-grams; none of a shorter string."""
 
     def cut(own: Column) -> Column:
-        count = F.length(own) - n + 1
-        every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(own, i, F.lit(n)))
-        return F.when(count > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+        # The string is taken apart once; a substring at each place would count from the start every time.
+        every = F.transform(F.slice(own, F.lit(1), F.size(own) - n + 1), lambda _, i: F.concat(*(F.get(own, i + k) for k in range(n))))
+        return F.when(F.size(own) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
-    return bind(s, cut)
+    return bind(characters(s), cut)
 
 
 def overlap(a: Column, b: Column) -> Column:

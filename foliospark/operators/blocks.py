@@ -98,15 +98,19 @@ def drop_markers(blocks: Column) -> Column:
 
 
 def drop_fragments(blocks: Column) -> Column:
-    """Without short text blocks that the last kept block contains."""
+    """Without short text blocks that the last kept block contains. The fold carries that block's text and the numbers of those that go."""
 
     def step(acc: Column, b: Column) -> Column:
         own = T.strip(b["text"])
-        last = F.get(acc, F.size(acc) - 1)
-        gone = (F.size(acc) > 0) & (b["type"] == "text") & (F.length(own) < 80) & F.coalesce(F.contains(last["text"], own), F.lit(False))
-        return F.when(gone, acc).otherwise(F.concat(acc, F.array(b)))
+        gone = (b["type"] == "text") & (F.length(own) < 80) & F.coalesce(F.contains(acc["last"], own), F.lit(False))
+        return F.struct(
+            (acc["i"] + 1).alias("i"), F.when(gone, acc["last"]).otherwise(b["text"]).alias("last"),
+            F.when(gone, F.concat(acc["gone"], F.array(acc["i"]))).otherwise(acc["gone"]).alias("gone"),
+        )
 
-    return F.aggregate(blocks, F.array().cast(f"array<{BLOCK}>"), step)
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("last"), F.array().cast("array<int>").alias("gone"))
+    kept = lambda x: F.when(F.size(x["gone"]) > 0, F.filter(x["own"], lambda b, i: ~F.array_contains(x["gone"], i.cast("int")))).otherwise(x["own"])
+    return T.bind(blocks, lambda own: T.bind(F.struct(own.alias("own"), F.aggregate(own, start, step, lambda a: a["gone"]).alias("gone")), kept))
 
 
 def block_class(kind: Column) -> Column:
@@ -153,16 +157,17 @@ def merge_equations(rows: Column, schema: str, reference_mode: bool = False) ->
 
     start = F.struct(F.array().cast(schema).alias("out"), F.lit(False).alias("skip"))
     done = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(rows), F.lit(1)) - 1), start, step, lambda a: a["out"])
-    return F.when(F.size(rows) > 0, done).otherwise(F.array().cast(schema))
+    # Pages without such an equation stay as they are.
+    return F.when(F.exists(rows, orphan), done).otherwise(rows)
 
 
 ROW = "array<struct<idx:int,type:string,en:string,zh:string,passthrough:boolean,x1:int,y1:int,x2:int,y2:int>>"
 
 
 def classify(blocks: Column) -> Column:
-    """Rows with text and target; idx counts all blocks of the page, also those that are hidden."""
+    """Rows with text and target, formulas marked by dollars; idx counts all blocks of the page, also those that are hidden."""
     rows = F.transform(
-        blocks,
+        F.transform(blocks, lambda b: b.withField("text", fix_latex(b["text"]))),
         lambda b, i: F.struct(
             i.cast("int").alias("idx"), b["type"].alias("type"), F.when(b["type"].isin(*IMAGE_TYPES), "").otherwise(b["text"]).alias("en"),
             F.when(b["type"].isin(*TEXT_TYPES, *IMAGE_TYPES), "").otherwise(b["text"]).alias("zh"), (~b["type"].isin(*TEXT_TYPES)).alias("passthrough"),
@@ -181,15 +186,26 @@ def crop_box(row: Column, width: Column, height: Column) -> Column:
 def clean_pages(page_ocr: DataFrame, reference_mode: bool = False) -> DataFrame:
     """(doc_id, page, seq, idx, type, en, zh, passthrough, x1, y1, x2, y2) of page text (doc_id, page, ocr_text).
 
-    Text goes through fix_latex once blocks are final. Pages without blocks give no rows.
+    Pages without blocks give no rows. Images without an area are left out, as there is nothing to crop.
     """
     steps = page_ocr.select("doc_id", "page", parse(F.col("ocr_text")).alias("b"))
     for step in (merge_continuations, drop_repeats, drop_markers, drop_fragments):
         steps = steps.select("doc_id", "page", step(F.col("b")).alias("b"))
     rows = steps.select("doc_id", "page", classify(F.col("b")).alias("r"))
-    rows = rows.select("doc_id", "page", merge_equations(F.col("r"), ROW, reference_mode).alias("r"))
-    flat = rows.select("doc_id", "page", F.posexplode("r").alias("seq", "r")).select("doc_id", "page", "seq", "r.*")
-    return flat.withColumns({"en": fix_latex(F.col("en")), "zh": fix_latex(F.col("zh"))})
+    cropped = F.filter("r", lambda r: ~r["type"].isin(*IMAGE_TYPES) | ((r["x2"] > r["x1"]) & (r["y2"] > r["y1"])))
+    rows = rows.select("doc_id", "page", cropped.alias("r")).select("doc_id", "page", merge_equations(F.col("r"), ROW, reference_mode).alias("r"))
+    return rows.select("doc_id", "page", F.posexplode("r").alias("seq", "r")).select("doc_id", "page", "seq", "r.*")
+
+
+def with_figures(rows: DataFrame) -> DataFrame:
+    """Rows with the figure_id of image blocks, null for others. Only images are put in order, so text is not shuffled for it."""
+    named = figures(rows.where(F.col("type").isin(*IMAGE_TYPES))).select("doc_id", "page", "seq", "figure_id")
+    return rows.join(named, ["doc_id", "page", "seq"], "left")
+
+
+def figure(figures_: DataFrame, doc_id: str, figure_id: str) -> DataFrame:
+    """The figure of a document by its name; no row where there is none."""
+    return figures_.where((F.col("doc_id").cast("string") == doc_id) & (F.col("figure_id") == figure_id))
 
 
 def figures(rows: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from foliospark.operators.translate import ERROR
 
 def census(rows: DataFrame, doc: str, kind: str) -> DataFrame:
     """(doc, type, n): counts by document and type, by document, by type, and of all, in one pass; null where summed over."""
-    rows.select(F.col(doc).cast("string").alias("doc"), F.col(kind).alias("type")).createOrReplaceTempView("_census")
-    return rows.sparkSession.sql("SELECT doc, type, count(*) AS n, grouping_id(doc, type) AS level FROM _census GROUP BY GROUPING SETS ((doc, type), (doc), (type), ())")
+    own = rows.select(F.col(doc).cast("string").alias("doc"), F.col(kind).alias("type"))
+    d, t = F.col("doc"), F.col("type")
+    return own.groupingSets([[d, t], [d], [t], []], d, t).agg(F.count("*").alias("n"), F.grouping_id().alias("level")).select("doc", "type", "n", "level")
 
 
 def most_common(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:

@@ -90,10 +90,16 @@ def outcome(en: Column, zh1: Column, back1: Column, zh2: Column, back2: Column,
     if strategy not in ("adaptive", "full"):
         raise ValueError(f"strategy is adaptive or full, not {strategy}")
 
-    def decide(x: Column) -> Column:
+    def first_look(x: Column) -> Column:
+        """Back-translations are compared only where nothing before has settled the row."""
         fine = F.coalesce(x["reason"] == "accepted", F.lit(False))
-        unchecked, audited, first, second = x["unchecked"], x["audited"], x["first"], x["second"]
-        fast = ~unchecked & fine & ~audited
+        fast = ~x["unchecked"] & fine & ~x["audited"]
+        first = F.when(x["unchecked"] | fast, False).otherwise(back_passes(en, back1))
+        return T.bind(F.struct(*(x[n].alias(n) for n in ("reason", "unchecked", "audited")), fine.alias("fine"), fast.alias("fast"), first.alias("first")), decide)
+
+    def decide(x: Column) -> Column:
+        fine, fast, unchecked, audited, first = x["fine"], x["fast"], x["unchecked"], x["audited"], x["first"]
+        second = F.when(unchecked | fast | first, False).otherwise(back_passes(en, back2))
         result = F.when(unchecked, "passed").when(fast, "fast_accepted").when(first, "passed").when(second, "retried").otherwise("failed")
         gated = F.lit(strategy == "adaptive") & ~unchecked
         return F.struct(
@@ -104,6 +110,6 @@ def outcome(en: Column, zh1: Column, back1: Column, zh2: Column, back2: Column,
 
     reason = gate_reason(en, zh1) if strategy == "adaptive" else F.lit(None).cast("string")
     seen = F.struct(
-        reason.alias("reason"), needs_no_check(en, verify).alias("unchecked"), is_audited(en, rate).alias("audited"), back_passes(en, back1).alias("first"), back_passes(en, back2).alias("second")
+        reason.alias("reason"), needs_no_check(en, verify).alias("unchecked"), is_audited(en, rate).alias("audited")
     )
-    return T.bind(seen, decide)
+    return T.bind(seen, first_look)

@@ -52,4 +52,6 @@ def turn_pairs(spark: SparkSession, sf_dir: str, following: int = 1) -> DataFram
     """Turns with the texts of the turns after them: t0, t1, ..."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", "role", F.col("text").alias("t0"), *(F.lead("text", k).over(order).alias(f"t{k}") for k in range(1, following + 1)))
+    found = turns.select("conv_id", "turn", "role", F.col("text").alias("t0"), *(F.lead("text", k).over(order).alias(f"t{k}") for k in range(1, following + 1)))
+    # What follows costs far more than the few bytes of a turn suggest, so turns are spread over all tasks again.
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "conv_id", "turn")
