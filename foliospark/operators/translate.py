@@ -7,6 +7,8 @@ model: rendering, recognition and translation need one to be plugged in.
 
 from __future__ import annotations
 
+import inspect
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import chunks as C
-from foliospark.operators.titles import is_skipped, route
+from foliospark.operators.titles import CHUNK_SIZE, is_skipped, route
 
 
 @dataclass(frozen=True)
@@ -49,12 +51,12 @@ def fill(template: str, **values: Column | str) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def prompt(text: Column, direction: Column, prev_en: Column, prev_zh: Column, templates: Templates = Templates()) -> Column:
-    """Short texts have no context; others have the block before, if it is long enough to help."""
+def prompt(text: Column, direction: Column, prev_en: Column, prev_zh: Column, templates: Templates = Templates(), kind: Column | None = None) -> Column:
+    """Short texts have no context; others have the block before, if it is long enough to help. kind: the text's route, where it is a part of a longer one."""
     common = {"direction": direction, "style": templates.style, "text": text}
     with_context = prev_en.isNotNull() & (F.length(prev_en) > LEAST_CONTEXT)
     return (
-        F.when(route(text) == "short", fill(templates.short, **common))
+        F.when((route(text) if kind is None else kind) == "short", fill(templates.short, **common))
         .when(with_context, fill(templates.context, prev_en=F.left(prev_en, F.lit(CONTEXT)), prev_zh=F.left(prev_zh, F.lit(CONTEXT)), **common))
         .otherwise(fill(templates.normal, **common))
     )
@@ -82,8 +84,8 @@ def history(rows: DataFrame, size: int = 10) -> DataFrame:
     return rows.withColumn("history", F.collect_list(F.struct("en", "zh")).over(before))
 
 
-def units(rows: DataFrame, pairs: DataFrame, reference_mode: bool = False) -> DataFrame:
-    """(doc_id, page, seq, part, kind, source): what is sent to the model, a row a call. Long texts come in parts.
+def units(rows: DataFrame, pairs: DataFrame, reference_mode: bool = False, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """(doc_id, page, seq, part, kind, parts, source): what is sent to the model, a row a call. Long texts come in parts.
 
     A paragraph over several pages is sent whole. Reference mode joins its first two blocks only and drops the others.
     """
@@ -92,20 +94,23 @@ def units(rows: DataFrame, pairs: DataFrame, reference_mode: bool = False) -> Da
     ahead = merged(pairs, reference_mode).select("doc_id", "page", "seq", F.col("en").alias("joint"))
     open_ = without_consumed(rows.where(~F.col("passthrough")), pairs).join(ahead, ["doc_id", "page", "seq"], "left")
     open_ = open_.withColumn("source", F.coalesce("joint", "en")).where(~T.is_blank(F.col("source"))).where(~is_skipped(F.col("type"), F.col("source")))
-    open_ = open_.withColumn("kind", route(F.col("source")))
-    parts = F.when(F.col("kind") == "long", C.chunks(F.col("source"))).otherwise(F.array("source"))
-    return open_.select("doc_id", "page", "seq", "kind", F.posexplode(parts).alias("part", "source"))
+    open_ = open_.withColumn("kind", route(F.col("source"), chunk_size=chunk_size))
+    every = F.when(F.col("kind") == "long", C.chunks(F.col("source"), chunk_size)).otherwise(F.array("source"))
+    open_ = open_.select("doc_id", "page", "seq", "kind", every.alias("every"))
+    return open_.select("doc_id", "page", "seq", "kind", F.size("every").alias("parts"), F.posexplode("every").alias("part", "source"))
 
 
 def assemble(rows: DataFrame, pairs: DataFrame, translated: DataFrame, reference_mode: bool = False) -> DataFrame:
-    """Rows with their translations (doc_id, page, seq, part, zh): parts joined, joint translations divided between their blocks.
+    """Rows with their translations (doc_id, page, seq, part, zh[, verified]): parts joined, joint translations divided between their blocks.
 
-    status: translated, passthrough, skipped or error.
+    status: translated, passthrough, skipped or error. verified: whether all parts passed their checks, null for what was not sent.
     """
     from foliospark.operators.pairs import merged
 
     key = ["doc_id", "page", "seq"]
-    whole = translated.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "zh"))), lambda p: p["zh"]), "").alias("out"))
+    checked = F.min("verified") if "verified" in translated.columns else F.lit(None).cast("boolean")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "zh"))), lambda p: p["zh"]), "")
+    whole = translated.groupBy(*key).agg(text.alias("out"), checked.alias("checked"))
 
     def give(acc: Column, x: Column) -> Column:
         """The next block gets its share of what is left."""
@@ -121,12 +126,12 @@ def assemble(rows: DataFrame, pairs: DataFrame, translated: DataFrame, reference
         return F.concat(acc["done"], F.array(F.struct(last["page"].alias("page"), last["seq"].alias("seq"), acc["rest"].alias("zh"))))
 
     shares = F.aggregate(F.slice("parts", F.lit(1), F.size("parts") - 1), start, give, close)
-    given = merged(pairs, reference_mode).join(whole, key).select("doc_id", F.explode(shares).alias("s"))
-    given = given.select("doc_id", "s.page", "s.seq", F.col("s.zh").alias("share"))
-    found = rows.join(whole, key, "left").join(given, key, "left")
+    given = merged(pairs, reference_mode).join(whole, key).select("doc_id", "checked", F.explode(shares).alias("s"))
+    given = given.select("doc_id", "s.page", "s.seq", F.col("s.zh").alias("share"), F.col("checked").alias("with_first"))
+    found = rows.join(whole, key, "left").join(given, key, "left").withColumn("verified", F.coalesce("checked", "with_first"))
     zh = F.coalesce("share", "out")
     status = F.when(F.col("passthrough"), "passthrough").when(zh.startswith(ERROR), "error").when(zh.isNull(), "skipped").otherwise("translated")
-    return found.withColumns({"status": status, "zh": F.when(F.col("passthrough"), F.col("zh")).otherwise(F.coalesce(zh, F.col("en")))}).drop("out", "share")
+    return found.withColumns({"status": status, "zh": F.when(F.col("passthrough"), F.col("zh")).otherwise(F.coalesce(zh, F.col("en")))}).drop("out", "share", "checked", "with_first")
 
 
 def clean_output(output: Column, labels: bool = True) -> Column:
@@ -151,8 +156,30 @@ def direction(output: Column, default: str = DEFAULT_DIRECTION) -> Column:
     return F.when(F.length(own) > 3, own).otherwise(F.lit(default))
 
 
+def cleaned(output: str) -> str:
+    """clean_output of one string, for models that are asked one prompt after another."""
+    kept: list[str] = []
+    for line in (own.strip() for own in output.split("\n")):
+        if kept and (not line or line.startswith("English:")):
+            break
+        line = line.removeprefix("Chinese:").strip()
+        if line and not line.startswith(("---", "Summary:")):
+            kept.append(line)
+    return " ".join(kept)
+
+
+#: Sampling of a call, as a provider gets it.
+SAMPLING = "struct<temperature:double,top_p:double,top_k:int>"
+#: Where a prompt has the text before it and its translation.
+EARLIER = ("\ue000en\ue000", "\ue000zh\ue000")
+
+
 class Provider(Protocol):
-    """(unit_id, prompt) to (unit_id, output, error)."""
+    """(unit_id, prompt[, sampling]) to (unit_id, output, error).
+
+    A provider with `in_order` can also be asked one block after another, with (unit_id, doc_id, page, seq, part, source,
+    prompt, context, sampling): context is the prompt with EARLIER in it, null for units that have no context.
+    """
 
     def __call__(self, calls: DataFrame) -> DataFrame: ...
 
@@ -172,27 +199,81 @@ class RecordedProvider:
 
 @dataclass(frozen=True)
 class CallableProvider:
-    """load() runs once a task and returns a function from prompts to outputs. Write the result before it is used twice."""
+    """load() runs once a task and returns a function from prompts (and sampling, if it takes two arguments) to outputs. Write the result before it is used twice.
+
+    Prompts of one sampling go to the model in batches; a batch that fails is asked prompt by prompt.
+    """
 
-    load: Callable[[], Callable[[list[str]], list[str]]]
+    load: Callable[[], Callable[..., list[str]]]
 
     def __call__(self, calls: DataFrame) -> DataFrame:
         load = self.load
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load()
+            ask = _asker(load())
+            for batch in batches:
+                got: list[tuple[str | None, str | None]] = [(None, None)] * len(batch)
+                for key in sorted(set(batch["key"])):
+                    at = [i for i, k in enumerate(batch["key"]) if k == key]
+                    for i, x in zip(at, ask([batch["prompt"].iloc[i] for i in at], key), strict=True):
+                        got[i] = x
+                yield pd.DataFrame({"unit_id": batch["unit_id"], "output": [o for o, _ in got], "error": [e for _, e in got]})
+
+        return calls.select("unit_id", "prompt", _sampling(calls)).mapInPandas(run, "unit_id string, output string, error string")
+
+    def in_order(self, calls: DataFrame) -> DataFrame:
+        """The same for units of documents, each asked with the last translated block before its own. A document is one task's work, row by row."""
+        load = self.load
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask = _asker(load())
+            doc = block = None
+            earlier, own = ("", ""), []
             for batch in batches:
-                outputs, errors = [], []
-                for text in batch["prompt"]:
-                    try:
-                        outputs.append(model([text])[0])
-                        errors.append(None)
-                    except Exception as e:  # a failed call is a result of its own
-                        outputs.append(None)
-                        errors.append(str(e))
-                yield pd.DataFrame({"unit_id": batch["unit_id"], "output": outputs, "error": errors})
-
-        return calls.select("unit_id", "prompt").mapInPandas(run, "unit_id string, output string, error string")
+                got = []
+                for r in batch.itertuples():
+                    if (r.doc_id, r.page, r.seq) != block:
+                        if own and all(zh is not None for _, zh in own):
+                            earlier = (" ".join(en for en, _ in own), "".join(zh for _, zh in own))
+                        own, block = [], (r.doc_id, r.page, r.seq)
+                    if r.doc_id != doc:
+                        doc, earlier = r.doc_id, ("", "")
+                    prompt = r.prompt
+                    if r.context and len(earlier[0]) > LEAST_CONTEXT:
+                        a, _, rest = r.context.partition(EARLIER[0])
+                        b, _, c = rest.partition(EARLIER[1])
+                        prompt = a + earlier[0][:CONTEXT] + b + earlier[1][:CONTEXT] + c
+                    output, error = ask([prompt], r.key)[0]
+                    own.append((r.source, cleaned(output) if output else None))
+                    got.append((r.unit_id, output, error))
+                yield pd.DataFrame(got, columns=["unit_id", "output", "error"])
+
+        ordered = calls.repartition("doc_id").sortWithinPartitions("doc_id", "page", "seq", "part")
+        ordered = ordered.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), "page", "seq", "source", "prompt", "context", _sampling(calls))
+        return ordered.mapInPandas(run, "unit_id string, output string, error string")
+
+
+def _sampling(calls: DataFrame) -> Column:
+    return (F.to_json("sampling") if "sampling" in calls.columns else F.lit("{}")).alias("key")
+
+
+def _asker(model: Callable[..., list[str]]) -> Callable[[list[str], str], list[tuple[str | None, str | None]]]:
+    """(output, error) of each prompt."""
+    two = len(inspect.signature(model).parameters) > 1
+
+    def call(prompts: list[str], sampling: str) -> list[str]:
+        out = model(prompts, json.loads(sampling)) if two else model(prompts)
+        if len(out) != len(prompts):
+            raise ValueError(f"{len(out)} outputs for {len(prompts)} prompts")
+        return out
+
+    def ask(prompts: list[str], sampling: str) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(x, None) for x in call(prompts, sampling)]
+        except Exception as e:  # a failed call is a result of its own
+            return [(None, str(e))] if len(prompts) == 1 else [x for p in prompts for x in ask([p], sampling)]
+
+    return ask
 
 
 def as_translation(output: Column, error: Column) -> Column:

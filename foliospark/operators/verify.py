@@ -85,8 +85,8 @@ def gate_reason(source: Column, target: Column) -> Column:
     return T.bind(F.struct(T.strip(source).alias("en"), T.strip(target).alias("zh"), T.without_space(target).alias("compact")), rules)
 
 
-def outcome(en: Column, zh1: Column, back1: Column, zh2: Column, back2: Column, strategy: str = "adaptive", verify: bool = True, rate: float = AUDIT_RATE) -> Column:
-    """struct(outcome, final_zh, gate_reason, audited, fast_accepted, fast_audited, fast_rejected, back_verified) of recorded model outputs."""
+def outcome(en: Column, zh1: Column, back1: Column, zh2: Column, back2: Column, strategy: str = "adaptive", verify: bool = True, rate: float = AUDIT_RATE, trusted: Column | None = None) -> Column:
+    """struct(outcome, final_zh, gate_reason, audited, fast_accepted, fast_audited, fast_rejected, back_verified) of recorded model outputs. What is `trusted` goes unchecked."""
     if strategy not in ("adaptive", "full"):
         raise ValueError(f"strategy is adaptive or full, not {strategy}")
 
@@ -110,6 +110,6 @@ def outcome(en: Column, zh1: Column, back1: Column, zh2: Column, back2: Column,
 
     reason = gate_reason(en, zh1) if strategy == "adaptive" else F.lit(None).cast("string")
     seen = F.struct(
-        reason.alias("reason"), needs_no_check(en, verify).alias("unchecked"), is_audited(en, rate).alias("audited")
+        reason.alias("reason"), (needs_no_check(en, verify) | (F.lit(False) if trusted is None else trusted)).alias("unchecked"), is_audited(en, rate).alias("audited")
     )
     return T.bind(seen, first_look)

@@ -16,6 +16,8 @@ class TranslatorOptions:
     retry_temperature: float = 0.05
     top_p: float = 0.6
     top_k: int = 20
+    #: Whether prompts have the block before, which asks for a document's blocks one after another.
+    context: bool = True
 
     def __post_init__(self) -> None:
         if self.verify_strategy not in ("full", "adaptive"):

@@ -11,10 +11,16 @@ SCHEMA = "doc_id string, seq bigint, type string, page int, idx int, total_pages
 
 
 def from_results(rows: DataFrame) -> DataFrame:
-    """Events of finished rows (doc_id, page, seq, idx, type, en, zh): start, phase, page_start, block_done, translate_progress, page_done, complete.
+    """Events of finished rows (doc_id, page, seq, idx, type, en, zh[, figure_id, verified]).
+
+    First start, the phase ocr with the figures (figure) and progress (ocr_progress) of each page, then the phase translate with
+    page_start, block_done, translate_progress and page_done, and complete. verified is the outcome of the checks where rows
+    have it (null: not checked), else true.
 
     seq orders a document's events; it follows from (page, block, kind), so that a rerun gives the same numbers.
     """
+    extra = {"figure_id": F.lit(None).cast("string"), "verified": F.lit(True)}
+    rows = rows.withColumns({k: v for k, v in extra.items() if k not in rows.columns})
     order = Window.partitionBy("doc_id").orderBy("page", "seq")
     numbered = rows.withColumn("done", F.row_number().over(order))
     totals = rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"), F.max("page").cast("int").alias("total_pages"))
@@ -29,10 +35,13 @@ def from_results(rows: DataFrame) -> DataFrame:
     pages = rows.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n"))
     counted = numbered.join(totals, "doc_id")
     every = [
-        event(totals, "start", [zero, zero, zero], total_pages=F.col("total_pages")),
+        event(totals, "start", [F.lit(-3), zero, zero], total_pages=F.col("total_pages")),
+        event(totals, "phase", [F.lit(-2), zero, zero], phase=F.lit("ocr")),
+        event(rows.where("figure_id is not null"), "figure", [F.lit(-1), page, at], page=page, idx=F.col("idx"), figure_id=F.col("figure_id")),
+        event(pages.join(totals, "doc_id"), "ocr_progress", [F.lit(-1), page, last], page=page, total_pages=F.col("total_pages")),
         event(totals, "phase", [zero, zero, F.lit(1)], phase=F.lit("translate"), total_blocks=F.col("total")),
         event(pages, "page_start", [page, F.lit(-1), zero], page=page),
-        event(numbered, "block_done", [page, at, zero], page=page, idx=F.col("idx"), block_type=F.col("type"), en=F.col("en"), zh=F.col("zh"), verified=F.lit(True)),
+        event(numbered, "block_done", [page, at, zero], page=page, idx=F.col("idx"), block_type=F.col("type"), en=F.col("en"), zh=F.col("zh"), verified=F.col("verified"), figure_id=F.col("figure_id")),
         event(counted, "translate_progress", [page, at, F.lit(1)], done=F.col("done"), total=F.col("total")),
         event(pages, "page_done", [page, last, zero], page=page, blocks=F.col("n")),
         event(totals, "complete", [last, last, zero]),
@@ -64,6 +73,21 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).parquet(path)
 
 
-def follow(events: DataFrame, name: str, checkpoint: str):
-    """A running query whose in-memory table `name` holds the state of each document; stop() ends it."""
-    return state(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(events: DataFrame, path: str, checkpoint: str, every: str | None = "2 seconds"):
+    """A running query that keeps the state of documents as folders of Parquet under `path`, a folder for each batch with what it changed.
+
+    `latest` reads them. Without `every` it takes what is there and ends. Nothing is kept on the driver.
+    """
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return state(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFrame:
+    """The last state of each document that `follow` has kept."""
+    rows = spark.read.parquet(path)
+    whole = F.struct(*(c for c in rows.columns if c != "batch"))
+    return rows.groupBy(doc).agg(F.max_by(whole, "batch").alias("s")).select("s.*")

@@ -43,12 +43,20 @@ def test_state(spark):
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("d", 1, 0, 0, "text", "a", "b"), ("d", 2, 0, 0, "text", "c", "e")], "doc_id string, page int, seq int, idx int, type string, en string, zh string")
     made = events.from_results(rows)
-    assert [r["type"] for r in made.orderBy("seq").collect()] == ["start", "phase", "page_start", "block_done", "translate_progress", "page_done", "page_start", "block_done", "translate_progress", "page_done", "complete"]
+    assert [r["type"] for r in made.orderBy("seq").collect()] == ["start", "phase", "ocr_progress", "ocr_progress", "phase", "page_start", "block_done", "translate_progress", "page_done", "page_start", "block_done", "translate_progress", "page_done", "complete"]
     made.write.parquet(str(tmp_path / "events"))
-    running = events.follow(events.read_stream(spark, str(tmp_path / "events")), "progress", str(tmp_path / "checkpoint"))
-    running.awaitTermination(60)
-    r = spark.table("progress").first()
-    assert (r["done"], r["total"], r["percent"], r["over"]) == (2, 2, 100, True)
+    for expected in ((2, 2, 100, True), (1, 2, 50, False)):
+        running = events.follow(events.read_stream(spark, str(tmp_path / "events")), str(tmp_path / "states"), str(tmp_path / "checkpoint"), every=None)
+        assert running.awaitTermination(60)
+        r = events.latest(spark, str(tmp_path / "states")).where("doc_id = 'd'" if expected[2] == 100 else "doc_id = 'e'").first()
+        assert (r["done"], r["total"], r["percent"], r["over"]) == expected
+        # A second document, not yet finished, arrives while the state is kept.
+        half = made.where("seq <= 8").withColumn("doc_id", F.lit("e"))
+        half.write.mode("append").parquet(str(tmp_path / "events"))
+    real = rows.withColumns({"verified": F.col("page") == 1, "figure_id": F.when(F.col("page") == 2, "p1_f0.png")})
+    made = events.from_results(real)
+    assert [r["verified"] for r in made.where("type = 'block_done'").orderBy("seq").collect()] == [True, False]
+    assert [(r["page"], r["figure_id"]) for r in made.where("type = 'figure'").collect()] == [(2, "p1_f0.png")]
     lines = spark.createDataFrame([('{"type": "phase", "phase": "ocr"}',), ("no json",), ("{}",)], "value string")
     assert [r["phase"] for r in events.from_json(lines).collect()] == ["ocr"]
 

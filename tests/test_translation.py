@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import chunks, pairs, titles, translate, verify
 from foliospark.plans.pipeline import Pipeline
+from foliospark.sources.settings import TranslatorOptions
 
 EN = "We evaluate the GPU kernel on 42 tasks [1] and report a 3.5% gain over the strongest baseline."
 ZH = "我们在42个任务上评估该GPU内核[1]，相比最强基线提升了3.5%。"
@@ -141,3 +142,57 @@ def test_paragraph_over_three_pages_is_translated_whole(spark):
     assert [r["source"] for r in translate.units(rows, links, reference_mode=True).collect()] == [" ".join(texts[:2])]
     old = translate.assemble(rows, links, answer, reference_mode=True).orderBy("page").collect()
     assert [r["status"] for r in old] == ["translated", "translated", "skipped"]
+
+
+def test_blocks_are_asked_in_order_with_context_and_sampling(spark, tmp_path):
+    import json
+
+    block = lambda y, x: f"<|det|>text [0,{y},10,{y + 5}]<|/det|>{x}"
+    texts = [(f"Paragraph {k} has to be long enough to be asked with its context, so it goes on and on " * 4)[:300].strip() + "." for k in "abc"]
+    ocr = spark.createDataFrame([(d, 1, "".join(block(100 * i, t) for i, t in enumerate(texts))) for d in ("d", "e")], "doc_id string, page int, ocr_text string")
+
+    def load():
+        def model(prompts, sampling):
+            # Names what it was asked, so that answers show the prompts; the field is an answer, too.
+            return [json.dumps([sampling["temperature"], sampling["top_k"], p.count("甲"), [k for k in "abc" if f"Paragraph {k}" in p]]) + "甲" for p in prompts]
+
+        return model
+
+    p = Pipeline(translate.CallableProvider(load), str(tmp_path))
+    rows = p.run(ocr).orderBy("doc_id", "seq").collect()
+    first = {r["unit_id"]: json.loads(r["output"][:-1]) for r in spark.read.parquet(f"{tmp_path}/answers-zh1").collect()}
+    for d in ("d", "e"):
+        assert [first[f"{d}/1/{k}/0/zh1"] for k in range(3)] == [[0.3, 20, 1, ["a"]], [0.3, 20, 2, ["a", "b"]], [0.3, 20, 2, ["b", "c"]]]
+    again = [json.loads(r["output"][:-1]) for r in spark.read.parquet(f"{tmp_path}/answers-zh2").collect()]
+    assert len(again) == 6 and {x[0] for x in again} == {0.05}
+    assert [r["verified"] for r in rows] == [False] * 6
+    one_by_one = Pipeline(translate.CallableProvider(load), str(tmp_path / "b"), TranslatorOptions(context=False))
+    one_by_one.run(ocr)
+    assert all(json.loads(r["output"][:-1])[2] == 1 for r in spark.read.parquet(f"{tmp_path}/b/answers-zh1").collect())
+
+
+def test_a_batch_that_fails_is_asked_prompt_by_prompt(spark):
+    def load():
+        def model(prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("no")
+            return [f"{len(prompts)} {p}" for p in prompts]
+
+        return model
+
+    ask = lambda rows: sorted(tuple(r) for r in translate.CallableProvider(load)(spark.createDataFrame(rows, "unit_id string, prompt string").coalesce(1)).collect())
+    assert ask([("1", "x"), ("2", "y")]) == [("1", "2 x", None), ("2", "2 y", None)]
+    assert ask([("1", "x"), ("2", "bad")]) == [("1", "1 x", None), ("2", None, "no")]
+
+
+def test_cleaned_is_clean_output(spark):
+    cases = ["Chinese: 你好\n\nrest", "\n\n你好\n世界\nEnglish: x", "---\n\n你好", "English: hi\n你好", "", "Chinese:\n Chinese: a\nSummary: b\nc"]
+    assert each(spark, cases, translate.clean_output) == [translate.cleaned(c) for c in cases]
+
+
+def test_long_text_of_one_chunk_is_not_checked(spark, tmp_path):
+    text = "a" * 260 + " " + "b" * 300
+    ocr = spark.createDataFrame([("d", 1, f"<|det|>text [0,0,9,9]<|/det|>{text}")], "doc_id string, page int, ocr_text string")
+    p = Pipeline(translate.CallableProvider(lambda: lambda texts: ["x" for _ in texts]), str(tmp_path))
+    assert [(r["zh"], r["verified"]) for r in p.run(ocr).collect()] == [("x", True)]
+    assert p.checks(spark).first()["passed"] == 1
