@@ -77,10 +77,7 @@ f AS (SELECT doc_id, k, line, line AS kept, true AS own FROM l WHERE k = 0
   UNION ALL SELECT l.doc_id, l.k, l.line, CASE WHEN length(trim(l.line)) < 80 AND contains(f.kept, trim(l.line)) THEN f.kept ELSE l.line END,
     NOT (length(trim(l.line)) < 80 AND contains(f.kept, trim(l.line))) FROM f JOIN l ON l.doc_id = f.doc_id AND l.k = f.k + 1)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, line FROM f WHERE own""",
-    "invalid_marker": rf"""WITH l AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE (doc_id + seq) % 6 WHEN 0 THEN ' [Non-Text] ' WHEN 1 THEN '[non text][NON-TEXT] ' || left(line, 12)
-  WHEN 2 THEN '[non-text] ' || left(line, 9) WHEN 3 THEN '[BLANK]' ELSE line END AS line FROM ({_LINES})), m AS (SELECT *, lower(trim(line)) AS low FROM l)
-SELECT doc_id, seq, line FROM m WHERE low NOT IN ('[non-text]', '[non text]', '[none]', '[blank]') AND NOT len(regexp_extract_all(low, '\[non[- ]text\]')) * 10.0 / greatest(length(low), 1) > 0.5""",
-    "invalid_marker_lines": rf"""WITH l AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE (doc_id + seq) % 6 WHEN 0 THEN ' [Non-Text] ' WHEN 1 THEN '[non text][NON-TEXT] ' || line
+    "invalid_marker": rf"""WITH l AS (SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE (doc_id + seq) % 6 WHEN 0 THEN ' [Non-Text] ' WHEN 1 THEN '[non text][NON-TEXT] ' || line
   WHEN 2 THEN '[non-text] ' || line WHEN 3 THEN '[BLANK]' ELSE line END AS line FROM ({_LINES})), m AS (SELECT *, lower(trim(line)) AS low FROM l)
 SELECT doc_id, seq, line FROM m WHERE low NOT IN ('[non-text]', '[non text]', '[none]', '[blank]') AND NOT len(regexp_extract_all(low, '\[non[- ]text\]')) * 10.0 / greatest(length(low), 1) > 0.5""",
     "merge_split": rf"""WITH RECURSIVE s AS (SELECT doc_id, seq, text, seq * 40 + seq // 7 * 200 AS y FROM ({_SLICES})),
@@ -102,10 +99,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(min(y1) AS INTEGER) AS y1, CAST
   CAST(trunc((l_partkey % 900 + 100) * 1224 / 1024.0) AS INTEGER) AS x2, CAST(trunc((l_suppkey % 900 + 120) * 1584 / 1024.0) AS INTEGER) AS y2 FROM lineitem""",
     "figure_numbers": f"""SELECT doc_id, page, CAST(pos AS INTEGER) AS idx, 'p' || (page - 1) || '_f' || (row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1) || '.png' AS figure_id
 FROM ({_PARSED}) WHERE type = 'image'""",
-    "pseudo_title": f"""WITH l AS (SELECT doc_id, seq, {_KIND} AS kind, trim(left(line, CAST(seq * 17 % 140 + 10 AS INTEGER))) AS c FROM ({_LINES})),
-w AS (SELECT *, list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '') AS w FROM l), p AS (SELECT *, {_TITLE} AS pseudo FROM w)
-SELECT doc_id, CAST(seq AS INTEGER) AS seq, pseudo, kind = 'title' OR (kind = 'text' AND pseudo) AS skipped FROM p""",
-    "pseudo_title_lines": f"""WITH l AS (SELECT doc_id, seq, {_KIND} AS kind, trim(line) AS c FROM ({_LINES})),
+    "pseudo_title": f"""WITH l AS (SELECT doc_id, seq, {_KIND} AS kind, trim(line) AS c FROM ({_LINES})),
 w AS (SELECT *, list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '') AS w FROM l), p AS (SELECT *, {_TITLE} AS pseudo FROM w)
 SELECT doc_id, CAST(seq AS INTEGER) AS seq, pseudo, kind = 'title' OR (kind = 'text' AND pseudo) AS skipped FROM p""",
     "length_router": "SELECT doc_id, CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) > 500 THEN 'long' ELSE 'normal' END AS route, length(text) <= 40 AS unchecked FROM documents",
@@ -123,7 +117,23 @@ SELECT doc_id, CASE WHEN a + b = 0 THEN z WHEN len(p) >= 2 AND k <= len(p) THEN
     "similarity_turns": f"SELECT conv_id, turn, round({_sim('t0', 't1')}, 6) AS similarity FROM ({_TURNS}) WHERE t1 IS NOT NULL",
     "adaptive_threshold": f"SELECT conv_id, turn, {_threshold('text')} AS threshold FROM conversations",
     "audit_sample": "SELECT doc_id, ('0x' || left(sha256(text), 8))::BIGINT % 10000 AS bucket, ('0x' || left(sha256(text), 8))::BIGINT % 10000 < 1000 AS audited FROM documents",
-    "protected_spans": r"SELECT doc_id, len(s)::BIGINT AS acronyms, array_to_string(s, ',') AS spans FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\b[A-Z]{2,}(?:[-_][A-Z0-9]+)*\b') AS s FROM documents)",
+    # Without look-behind, a number takes the character before it along; a space after % keeps that character free.
+    "protected_spans": r"""WITH f AS (SELECT doc_id, list_filter(list_transform(
+    regexp_extract_all(text, '(?s)\$\$.*?\$\$') || regexp_extract_all(text, '\$[^$\n]+\$') || regexp_extract_all(text, '(?s)\\\(.*?\\\)') || regexp_extract_all(text, '(?s)\\\[.*?\\\]')
+    || regexp_extract_all(text, '\[[^\]\n]{1,80}\]') || regexp_extract_all(text, 'https?://\S+')
+    || regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\b[A-Z]{2,}(?:[-_][A-Z0-9]+)*\b')
+    || regexp_extract_all(replace(text, '%', '% '), '(?:^|[^A-Za-z0-9])(\d+(?:\.\d+)?(?:e[+-]?\d+)?%?)', 1), lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS span FROM f, unnest(range(1, len(s) + 1)) u(i)""",
+    "merge_equations": rf"""WITH RECURSIVE b AS (SELECT doc_id, CAST(seq AS INTEGER) AS i, CASE WHEN (doc_id + seq) % 4 < 3 THEN 'equation' ELSE 'text' END AS type,
+  CASE WHEN (doc_id + seq) % 4 = 0 THEN '$$' ELSE line END AS en FROM ({_LINES})),
+o AS (SELECT *, type = 'equation' AND regexp_matches(en, '^\s*(\$\$)?\s*$') AS orphan FROM b),
+n AS (SELECT *, orphan AND coalesce(lead(type = 'equation' AND NOT orphan) OVER w, false) AS joins, lead(en) OVER w AS following FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, type, CASE WHEN joins THEN '$$' || chr(10) || following ELSE en END AS en, joins FROM n),
+f AS (SELECT doc_id, i, i AS idx, type, en, joins AS skip FROM r WHERE i = 0
+  UNION ALL SELECT r.doc_id, r.i, CASE WHEN f.skip OR t.takes THEN f.idx ELSE r.i END, CASE WHEN f.skip OR t.takes THEN f.type ELSE r.type END,
+    CASE WHEN f.skip THEN f.en WHEN t.takes THEN f.en || chr(10) || r.en ELSE r.en END, NOT f.skip AND r.joins
+  FROM f JOIN r ON r.doc_id = f.doc_id AND r.i = f.i + 1, LATERAL (SELECT f.type = 'equation' AND r.type = 'equation' AND regexp_matches(f.en, '^\s*(\$\$)?\s*$') AS takes) t)
+SELECT doc_id, idx, any_value(type) AS type, arg_max(en, i) AS en FROM f GROUP BY 1, 2""",
     "fast_gate_reason": f"""WITH t AS (SELECT *, CASE (conv_id + turn) % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'Translation: ' || t1 WHEN 2 THEN '[ERROR: ' || t1 ELSE t1 END AS z FROM ({_TURNS}) WHERE t1 IS NOT NULL)
 SELECT conv_id, turn, {_gate('t0', 'z')} AS reason FROM t""",
     "verify_outcome": f"""WITH t AS (SELECT *, CASE WHEN turn % 3 = 0 THEN t0 ELSE t2 END AS b1, CASE WHEN conv_id % 2 = 0 THEN t0 ELSE t3 END AS b2 FROM ({_TURNS}) WHERE t1 IS NOT NULL),

@@ -50,16 +50,7 @@ def fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def invalid_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, some turned into markers or mixed with them."""
-    k = F.pmod(F.col("doc_id") + F.col("seq"), F.lit(6))
-    line = F.when(k == 0, " [Non-Text] ").when(k == 1, F.concat(F.lit("[non text][NON-TEXT] "), F.left("line", F.lit(12)))).when(k == 2, F.concat(F.lit("[non-text] "), F.left("line", F.lit(9)))).when(k == 3, "[BLANK]").otherwise(F.col("line"))
-    marked = B.lines(spark, sf_dir).withColumn("line", line)
-    return marked.where(~blocks.is_empty_marker(F.col("line"))).select("doc_id", "seq", "line")
-
-
-@query
-def invalid_marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole lines."""
+    """Lines, some with markers in front, some replaced by one."""
     k = F.pmod(F.col("doc_id") + F.col("seq"), F.lit(6))
     line = F.when(k == 0, " [Non-Text] ").when(k == 1, F.concat(F.lit("[non text][NON-TEXT] "), F.col("line"))).when(k == 2, F.concat(F.lit("[non-text] "), F.col("line"))).when(k == 3, "[BLANK]").otherwise(F.col("line"))
     marked = B.lines(spark, sf_dir).withColumn("line", line)
@@ -124,14 +115,6 @@ def figure_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pseudo_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, cut to differing lengths."""
-    cut = F.left("line", (F.col("seq") * 17 % 140 + 10).cast("int"))
-    return B.lines(spark, sf_dir).select("doc_id", "seq", titles.is_pseudo_title(cut).alias("pseudo"), titles.is_skipped(B.line_kind(), cut).alias("skipped"))
-
-
-@query
-def pseudo_title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines."""
     line = F.col("line")
     return B.lines(spark, sf_dir).select("doc_id", "seq", titles.is_pseudo_title(line).alias("pseudo"), titles.is_skipped(B.line_kind(), line).alias("skipped"))
 
@@ -184,14 +167,7 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acronyms of the texts."""
-    found = F.filter(verify.protected_spans(F.col("text")), lambda s: s.rlike(r"^[A-Z]{2,}(?:[-_][A-Z0-9]+)*$"))
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("acronyms"), F.array_join(found, ",").alias("spans"))
-
-
-@query
-def protected_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of every kind; DuckDB has no look-behind, so there is no SQL."""
+    """Spans of every kind."""
     return B.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(verify.protected_spans(F.col("text"))).alias("pos", "span"))
 
 
