@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: list[str] = []
+#: Workspaces whose tables are still there.
+_live: list[Workspace] = []
 
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker whatever the batch.
 SLICE_BYTES = 8 << 20
@@ -27,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="foliospark-"))
     return _fallback[0]
@@ -38,6 +42,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _live.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -49,10 +54,20 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._foliospark_path)
+        self._delete(df._foliospark_path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(keep: Workspace) -> None:
+    """Deletes the intermediate tables of all operators but `keep`; only once their results have been written."""
+    for ws in [w for w in _live if w is not keep]:
+        ws._delete(ws.root)
+        _live.remove(ws)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the strings of a column take at most `limit` bytes, or one row."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

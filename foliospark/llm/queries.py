@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.chat import ORACLE as OP7_SQL
-from foliospark.llm.chat import op7_chat
+from foliospark.llm.chat import QUOTED_ORACLE, chat_quoted, op7_chat
 from foliospark.llm.decontaminate import ORACLE as OP8_SQL
 from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.embeddings import ORACLE as OP10_SQL
@@ -33,12 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
+    "chat_quoted": chat_quoted,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op3_substrings": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "chat_quoted": QUOTED_ORACLE,
     "op8_decontaminate": OP8_SQL,
     "op10_embeddings": OP10_SQL,
 }

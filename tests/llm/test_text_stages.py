@@ -197,12 +197,30 @@ def test_chat(spark):
     got = {(r["conv_id"], r["turn"]): r for r in chat.linked(df).collect()}
     assert len(got) == 8
     assert [(got[1, t]["parent_turn"], got[1, t]["linked"]) for t in (0, 1, 2, 3, 300)] == [(None, False), (0, False), (0, True), (1, True), (3, False)]
-    assert got[1, 2]["body"] == "More please" and got[1, 2]["level"] == 2 and got[3, None]["body"] == "y"
+    # What nobody has said stays, with its marks.
+    assert got[1, 2]["body"] == ">> deep\nMore please" and got[1, 2]["level"] == 2 and got[3, None]["body"] == "> x\ny"
     parts = {(r["conv_id"], r["part"]): r for r in chat.conversations(df).collect()}
     assert parts[1, 0]["parents"] == "0:,1:0,2:0,3:1" and parts[1, 0]["n_linked"] == 2 and parts[1, 1]["parents"] == "300:3" and parts[2, 0]["chat"] == "<||>\n\n" and parts[None, None]["n_messages"] == 1
     assert chat.conversations(df.limit(0)).collect() == []
 
 
+def test_chat_passages(spark):
+    """Quotes that are nested, wrapped anew, in part unknown, very long; many messages of one turn."""
+    fox = "The quick brown fox jumps over the lazy dog. And then\nit sleeps for the rest of the day."
+    rows = [
+        (1, 0, "a", fox), (1, 1, "b", "I saw it."), (1, 2, "a", "Bob wrote\n> the quick brown fox jumps over\n> the  lazy dog. And then it sleeps\n> for the rest of the day.\nReally?"),
+        (1, 3, "b", "> I saw it.\n>> The quick brown fox jumps\n>> over the lazy dog.\nSee."), (1, 4, "a", "> I saw it.\n> I did not.\n>\nHm."), (1, 5, "b", "> it sleeps for the rest of the day.\nok"),
+        (2, 0, "a", "x y.\n" * 3000), (2, 1, "b", "> x y. x y.\n" * 3000 + "end"), (2, 2, "a", ">\n> \n"), *((3, 0, "a", f"m{k}") for k in range(300)), (3, 1, "b", "> m7\nyes"),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["linked"], r["body"], r["level"]) for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (0, True, "Bob wrote\nReally?", 1)
+    assert got[1, 3] == (1, True, "See.", 2)
+    assert got[1, 4] == (1, True, "> I did not.\nHm.", 1)
+    assert got[1, 5] == (0, True, "ok", 1)
+    assert got[2, 1] == (0, True, "end", 1) and got[2, 2] == (1, False, "", 1)
+    assert got[3, 1] == (0, True, "yes", 1)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, docs_of):
     random.seed(5)
