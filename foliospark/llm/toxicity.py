@@ -1,12 +1,15 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Lexicon: words and word beginnings that mark toxic rows, mined from a bounded sample of labelled rows (SAMPLE rows,
-   chosen by a hash of doc_id; only rows that may be learnt from). A greedy cover keeps at most ENTRIES of them.
-2. Voters: the entries are dealt to LEXICON voters; four more look at their number, density, capitals and exclamations.
-3. Label model: a class prior and, within each class, a tree of voters (Chow-Liu on conditional mutual information), so
-   that a voter's accuracy and its correlation with its parent are estimated together. It is fitted by EM on the vote
-   patterns of all rows that may be learnt from; there are at most 2^16 patterns. The labelled sample is observed data.
-4. Classifier: logistic regression on the sample's votes and hit counts, against the model's posteriors.
+   chosen by a hash of doc_id; only rows that may be learnt from). A greedy cover keeps at most ENTRIES of the candidates.
+2. Voters: each entry votes for rows that have it; four patterns vote as well: three entries or more, one word in a
+   hundred, capitals, exclamation marks.
+3. Label model: a class prior and, within each class, a tree of voters (the parent of a voter is the one that it agrees
+   with most beyond chance), so that a voter's accuracy and its correlation with its parent are estimated together. It is
+   fitted by EM on the vote patterns of all rows that may be learnt from, as sums over tasks. No label takes part in it;
+   labels only give the prior, the share of toxic rows, which stays as it is. EM starts from the number of votes.
+4. Classifier: logistic regression on the sample's text features (all candidates, hashed to BUCKETS; votes; counts of
+   hits), trained on the label model's posteriors.
 
 Rows that may be learnt from: crc32(doc_id as text) mod 3 is not 1. Inputs of a score are the text alone. Null and empty
 texts get the score of a text without votes. Without labelled toxic rows nothing is learnt and every score is 0. A null
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import Workspace, slices, space_words, table
 
-#: Labelled rows that lexicon and classifier are fitted on at most (on average), lexicon entries, lexicon voters.
-SAMPLE, ENTRIES, LEXICON = 20_000, 192, 12
-VOTERS = LEXICON + 4
+#: Labelled rows that lexicon and classifier are fitted on at most (on average), lexicon entries, pattern voters, hashed text features.
+SAMPLE, ENTRIES, PATTERNS, BUCKETS = 20_000, 192, 4, 256
+#: Rounds of EM.
+ROUNDS = 8
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least number of toxic rows that have a candidate; an entry must add at least one less, or a share of the toxic rows.
@@ -93,78 +98,128 @@ def _hits(part: pa.RecordBatch, entries: dict[str, int], starts: set[str]) -> It
         yield i, own, n, (total_loud[b] - total_loud[a]) / max(1, n), (total_bang[b] - total_bang[a]) / max(1, n)
 
 
-def _votes(own: Counter, n: int, loud: float, bang: float) -> tuple[int, list[float]]:
-    """The vote pattern as bits, and the classifier's further inputs."""
-    bits = 0
-    for e in own:
-        bits |= 1 << (e % LEXICON)
-    hits = sum(own.values())
-    bits |= (len(own) >= 3) << LEXICON | (hits * 100 >= n > 0) << (LEXICON + 1) | (loud > 0.2) << (LEXICON + 2) | (bang > 0.05) << (LEXICON + 3)
-    return bits, [min(len(own), 6) / 6, float(np.log1p(hits)), min(1.0, 20 * hits / max(n, 1))]
-
-
-def _bits(patterns: np.ndarray) -> np.ndarray:
-    return (patterns[:, None] >> np.arange(VOTERS) & 1).astype(np.int64)
+class Voters:
+    """Candidates of the lexicon by number; which of them vote."""
+
+    def __init__(self, names: list[str], entries: list[str]) -> None:
+        self.candidates = {f: i for i, f in enumerate(names)}
+        self.starts = _starts(self.candidates)
+        number = {e: k for k, e in enumerate(entries)}
+        self.voter = np.array([number.get(f, -1) for f in names], np.int64)
+        self.bucket = np.array([zlib.crc32(f.encode()) % BUCKETS for f in names], np.int64)
+        self.entries, self.size = entries, len(entries) + PATTERNS
+
+    def of(self, part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[float]]]:
+        """Of each text: the voters that vote, the text features it has, and counts of its hits."""
+        for _, own, n, loud, bang in _hits(part, self.candidates, self.starts):
+            found = np.fromiter(own, np.int64, len(own))
+            voters = self.voter[found]
+            k = voters >= 0
+            hits = int(np.fromiter(own.values(), np.int64, len(own))[k].sum())
+            marks = (k.sum() >= 3, hits * 100 >= n > 0, loud > 0.2, bang > 0.05)
+            votes = np.append(np.sort(voters[k]), len(self.entries) + np.flatnonzero(marks))
+            yield votes, np.unique(self.bucket[found]), [min(int(k.sum()), 6) / 6, float(np.log1p(hits)), min(1.0, 20 * hits / max(n, 1))]
+
+
+def _dense(lists: list[np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros((len(lists), size), bool)
+    for i, x in enumerate(lists):
+        out[i, x] = True
+    return out
 
 
 class LabelModel:
     """P(class) and, within a class, P(vote | vote of the parent voter); parents form a tree."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, seen: np.ndarray, labels: np.ndarray, rounds: int = 40) -> None:
-        every = _bits(patterns)
-        anchor = _bits(seen)
-        truth = np.stack([1 - labels, labels]).astype(float)
-        self.parent = self._tree(anchor, truth)
-        post = np.zeros((2, 0))
-        x = anchor
-        weight = truth
-        for _ in range(rounds):
-            self._fit(x, weight)
-            post = self.posterior(patterns)
-            x = np.concatenate([every, anchor])
-            weight = np.concatenate([np.stack([(1 - post) * counts, post * counts]) * min(1.0, len(anchor) / max(1, counts.sum())), truth], axis=1)
-
-    @staticmethod
-    def _tree(x: np.ndarray, truth: np.ndarray) -> list[int]:
-        """Maximum spanning tree of the voters' mutual information given the class; the first voter is the root."""
-        info = np.zeros((VOTERS, VOTERS))
-        for w in truth:
-            total = w.sum() + 2.0
-            for a in (0, 1):
-                for b in (0, 1):
-                    both = ((x == a).T * w) @ (x == b) + 0.5
-                    pa_, pb = (((x == a).T @ w + 1.0) / total), (((x == b).T @ w + 1.0) / total)
-                    p = both / total
-                    info += total * p * np.log(p / np.outer(pa_, pb))
-        parent, inside = [-1] * VOTERS, [0]
-        while len(inside) < VOTERS:
-            out = [j for j in range(VOTERS) if j not in inside]
-            j, i = max(((j, i) for j in out for i in inside), key=lambda e: (info[e], -e[0], -e[1]))
-            parent[j] = i
-            inside.append(j)
-        return parent
-
-    def _fit(self, x: np.ndarray, weight: np.ndarray) -> None:
-        self.prior = (weight.sum(axis=1) + 1.0) / (weight.sum() + 2.0)
-        #: given[class, voter, vote of the parent]: chance of a vote.
-        self.given = np.empty((2, VOTERS, 2))
-        for c, w in enumerate(weight):
-            for j, i in enumerate(self.parent):
-                above = x[:, i] if i >= 0 else np.zeros(len(x), np.int64)
-                yes, all_ = np.bincount(above, w * x[:, j], 2), np.bincount(above, w, 2)
-                base = (yes.sum() + 0.5) / (all_.sum() + 1.0)
-                self.given[c, j] = (yes + 2 * base) / (all_ + 2)
-
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        x = _bits(patterns)
-        log = np.tile(np.log(self.prior)[:, None], (1, len(x)))
-        for j, i in enumerate(self.parent):
-            above = x[:, i] if i >= 0 else np.zeros(len(x), np.int64)
-            for c in (0, 1):
-                p = self.given[c, j, above]
-                log[c] += np.log(np.where(x[:, j] == 1, p, 1 - p))
+    def __init__(self, prior: float, size: int) -> None:
+        self.prior, self.parent = np.array([1 - prior, prior]), np.full(size, -1)
+        #: given[class, voter, vote of the parent]: chance of a vote. Not yet there before the first round.
+        self.given: np.ndarray | None = None
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        """Chance of toxicity of vote patterns (row, voter)."""
+        if self.given is None:
+            # Before anything is known, one entry of the lexicon is as good as another, and patterns say nothing.
+            return np.choose(np.minimum(x[:, :-PATTERNS].sum(axis=1), 3), [self.prior[1] / 10, 0.9, 0.97, 0.99])
+        log = np.empty((2, len(x)))
+        above = np.where(self.parent >= 0, x[:, self.parent], False).astype(np.int64)
+        for c in (0, 1):
+            p = self.given[c][np.arange(x.shape[1]), above]
+            log[c] = np.log(self.prior[c]) + np.log(np.where(x, p, 1 - p)).sum(axis=1)
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
+    def sums(self, x: np.ndarray, n: np.ndarray, pairs: bool) -> np.ndarray:
+        """What a round needs of some patterns that occur n times: by class the weight, the votes, the votes together with the parent's; with `pairs`, with every voter's."""
+        post = self.posterior(x)
+        out = []
+        for w in (n * (1 - post), n * post):
+            both = (x * w[:, None]).T @ x if pairs else np.where(self.parent >= 0, (w[:, None] * (x & x[:, self.parent])).sum(axis=0), 0.0)
+            out += [np.array([w.sum()]), w @ x, both.ravel()]
+        return np.concatenate(out)
+
+    def fit(self, total: np.ndarray, pairs: bool) -> None:
+        """One round from the sums of all patterns."""
+        size, given = len(self.parent), np.empty((2, len(self.parent), 2))
+        halves = np.split(total, 2)
+        if pairs:
+            self.parent = _tree([(h[0], h[1 : 1 + size], h[1 + size :].reshape(size, size)) for h in halves])
+        for c, h in enumerate(halves):
+            weight, votes = h[0], h[1 : 1 + size]
+            both = h[1 + size :].reshape(size, size)[np.arange(size), self.parent] * (self.parent >= 0) if pairs else h[1 + size :]
+            base = (votes + 0.5) / (weight + 1.0)
+            parent_votes = np.where(self.parent >= 0, votes[self.parent], 0.0)
+            given[c, :, 1] = (both + 2 * base) / (parent_votes + 2)
+            given[c, :, 0] = (votes - both + 2 * base) / (weight - parent_votes + 2)
+        self.given = np.clip(given, 1e-9, 1 - 1e-9)
+
+
+def _tree(classes: list[tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Maximum spanning tree of the voters' mutual information within the classes (weight, votes, votes of pairs); the first voter is the root."""
+    size = len(classes[0][1])
+    info = np.zeros((size, size))
+    for weight, votes, both in classes:
+        total = weight + 2.0
+        one = (votes + 1.0) / total
+        for a, b, joint in ((1, 1, both), (1, 0, votes[:, None] - both), (0, 1, votes[None] - both), (0, 0, weight - votes[:, None] - votes[None] + both)):
+            p = np.maximum(joint + 0.5, 0.5) / total
+            info += total * p * np.log(p / np.outer(one if a else 1 - one, one if b else 1 - one))
+    parent, best, link = np.full(size, -1), info[0].copy(), np.zeros(size, np.int64)
+    left = np.ones(size, bool)
+    left[0] = False
+    while left.any():
+        j = int(np.where(left, best, -np.inf).argmax())
+        parent[j], left[j] = link[j], False
+        closer = left & (info[j] > best)
+        best[closer], link[closer] = info[j][closer], j
+    return parent
+
+
+def label_model(patterns: DataFrame, prior: float, size: int, rounds: int = ROUNDS) -> LabelModel:
+    """Fitted to patterns (votes binary, n long): sums of every task meet in an aggregation, so the driver gets as many numbers as the model has."""
+    model = LabelModel(prior, size)
+    for k in range(rounds):
+        sent = patterns.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, pairs: bool = k == 0) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    x = _dense([np.frombuffer(v, np.uint16) for v in part.column("votes").to_pylist()], size)
+                    own = sent.value.sums(x, part.column("n").to_numpy().astype(float), pairs)
+                    total = own if total is None else total + own
+            if total is not None:
+                some = np.flatnonzero(total)
+                yield pa.record_batch({"i": pa.array(some), "x": pa.array(total[some])})
+
+        width = 1 + size + (size * size if k == 0 else size)
+        total = np.zeros(2 * width)
+        got = patterns.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        total[got["i"].to_numpy(np.int64)] = got["x"].to_numpy(float)
+        model.fit(total, k == 0)
+        sent.destroy()
+    return model
+
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Weights, the constant last, by Newton's method on soft labels."""
@@ -238,20 +293,26 @@ def _cover(rows: list[tuple[int, list[int]]], names: list[str]) -> list[str]:
 
 
 class Model:
-    """What scoring needs: lexicon entries and the classifier's weights. Small, whatever the corpus."""
+    """What scoring needs: voters, the label model and the classifier's weights. Small, whatever the corpus."""
+
+    def __init__(self, voters: Voters | None = None, label: LabelModel | None = None, weights: np.ndarray | None = None) -> None:
+        self.voters, self.label, self.weights = voters, label, weights
+        self.entries = voters.entries if voters else []
+
+    def scores(self, part: pa.RecordBatch, label: bool = False) -> np.ndarray:
+        """Of each text the classifier's score, or with `label` what the label model says."""
+        if self.voters is None:
+            return np.zeros(part.num_rows)
+        rows = list(self.voters.of(part))
+        if label:
+            return self.label.posterior(_dense([v for v, _, _ in rows], self.voters.size))
+        x = _inputs(rows, self.voters.size)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
-    def __init__(self, entries: list[str], weights: np.ndarray | None) -> None:
-        self.entries, self.weights = {e: i for i, e in enumerate(entries)}, weights
-        self.starts = _starts(self.entries)
 
-    def scores(self, part: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros(part.num_rows)
-        if self.weights is not None:
-            rows = [(bits, *more) for _, own, n, loud, bang in _hits(part, self.entries, self.starts) for bits, more in [_votes(own, n, loud, bang)]]
-            x = np.array(rows, float).reshape(part.num_rows, 4)
-            x = np.concatenate([_bits(x[:, 0].astype(np.int64)), x[:, 1:]], axis=1)
-            out = 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
-        return out
+def _inputs(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], size: int) -> np.ndarray:
+    """The classifier's inputs: text features, votes, counts."""
+    return np.concatenate([_dense([b for _, b, _ in rows], BUCKETS), _dense([v for v, _, _ in rows], size), np.array([m for _, _, m in rows], float).reshape(-1, 3)], axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -262,7 +323,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = min(1.0, SAMPLE / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20)))
     # At most SAMPLE rows of two numbers on average, by the line above.
-    sample = Workspace(spark, "toxicity").save(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "sample")
+    ws = Workspace(spark, "toxicity")
+    sample = ws.save(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "sample")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many toxic and other rows have each feature."""
@@ -295,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     passing = mined.where((t >= MIN_SUPPORT) & (t > 2 * c) & (odds > MIN_ODDS) & (t - 3 * c >= _least(n_toxic)))
     names = sorted(r["f"] for r in passing.select("f").collect())
     if not names:
-        return Model([], None)
+        return Model()
 
     def look(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
         starts = _starts(sent.value)
@@ -307,32 +369,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = [(r["y"], np.frombuffer(r["hits"], np.uint32).tolist()) for r in sample.select("text", "y").mapInArrow(look, "y int, hits binary").toLocalIterator()]
     entries = _cover(rows, names)
     if not entries:
-        return Model([], None)
-    lexicon = spark.sparkContext.broadcast({e: i for i, e in enumerate(entries)})
+        return Model()
+    voters = Voters(names, entries)
+    sent = spark.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Patterns with their counts in this task."""
+        """Vote patterns with their counts, handed on whenever there are many."""
         count: Counter = Counter()
-        starts = _starts(lexicon.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                count.update(_votes(own, n, loud, bang)[0] for _, own, n, loud, bang in _hits(part, lexicon.value, starts))
-        yield pa.record_batch({"pattern": pa.array(list(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
+                count.update(v.astype(np.uint16).tobytes() for v, _, _ in sent.value.of(part))
+                if len(count) > COUNTED:
+                    yield pa.record_batch({"votes": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
+                    count.clear()
+        yield pa.record_batch({"votes": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = _starts(lexicon.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [_votes(own, n, loud, bang) for _, own, n, loud, bang in _hits(part, lexicon.value, starts)]
-                yield pa.record_batch({"y": part.column("y"), "pattern": pa.array([g[0] for g in got], pa.int32()), "more": pa.array([g[1] for g in got], pa.list_(pa.float64()))})
-
-    patterns = docs.where(_learnable()).select("text").mapInArrow(vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    got = sample.select("text", "y").mapInArrow(inputs, "y int, pattern int, more array<double>").collect()
-    seen, y = np.array([r["pattern"] for r in got], np.int64), np.array([r["y"] for r in got], np.int64)
-    order = sorted((r["pattern"], r["n"]) for r in patterns)
-    model = LabelModel(np.array([p for p, _ in order], np.int64), np.array([c for _, c in order], float), seen, y)
-    weights = _logistic(np.concatenate([_bits(seen), np.array([r["more"] for r in got])], axis=1), model.posterior(seen))
-    return Model(entries, weights)
+                got = list(sent.value.of(part))
+                yield pa.record_batch({"votes": pa.array([v.tolist() for v, _, _ in got], pa.list_(pa.int32())), "buckets": pa.array([b.tolist() for _, b, _ in got], pa.list_(pa.int32())), "more": pa.array([m for _, _, m in got], pa.list_(pa.float64()))})
+
+    patterns = ws.save(docs.where(_learnable()).select("text").mapInArrow(vote, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")), "patterns")
+    label = label_model(patterns, (n_toxic + 0.5) / (n_toxic + n_clean + 1), voters.size)
+    got = sample.select("text").mapInArrow(inputs, "votes array<int>, buckets array<int>, more array<double>").collect()
+    rows = [(np.array(r["votes"], np.int64), np.array(r["buckets"], np.int64), r["more"]) for r in got]
+    target = label.posterior(_dense([v for v, _, _ in rows], voters.size))
+    return Model(voters, label, _logistic(_inputs(rows, voters.size), target, l2=1.0))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -367,6 +367,47 @@ def test_maxent_changes_are_averaged_in_a_tree(spark):
     assert maxent.scale(0)[0] == maxent.LEAST_UNIT and maxent.scale(10**12)[0] == maxent.MOST_UNIT and maxent.scale(10**9)[1] > maxent.scale(10**6)[1]
 
 
+def test_label_model_by_hand(spark):
+    """EM over a small table of votes, row by row in plain numbers; an accurate voter is told from one that votes at random."""
+    random.seed(11)
+    size, prior, rounds = 3 + toxicity.PATTERNS, 0.3, 4
+    table = Counter()
+    for _ in range(2000):
+        bad = random.random() < prior
+        a = random.random() < (0.9 if bad else 0.02)
+        votes = [a, a if random.random() < 0.9 else not a, random.random() < 0.2, *(random.random() < (0.3 if bad else 0.1) for _ in range(toxicity.PATTERNS))]
+        table[tuple(votes)] += 1
+    rows = [(np.flatnonzero(v).astype(np.uint16).tobytes(), n) for v, n in table.items()]
+    model = toxicity.label_model(spark.createDataFrame(rows, "votes binary, n long").repartition(3), prior, size, rounds)
+    parent = model.parent.tolist()
+    assert sorted(parent)[0] == -1 and parent.count(-1) == 1 and (parent[1] == 0 or parent[0] == 1)
+
+    post = {v: [prior / 10, 0.9, 0.97, 0.99][sum(v[:3])] for v in table}
+    for _ in range(rounds):
+        given = {}
+        for c in (0, 1):
+            w = {v: n * (post[v] if c else 1 - post[v]) for v, n in table.items()}
+            all_ = sum(w.values())
+            for j, i in enumerate(parent):
+                yes = sum(x for v, x in w.items() if v[j])
+                base = (yes + 0.5) / (all_ + 1)
+                for up in (0, 1):
+                    rest = {v: x for v, x in w.items() if (v[i] if i >= 0 else 0) == up}
+                    given[c, j, up] = (sum(x for v, x in rest.items() if v[j]) + 2 * base) / (sum(rest.values()) + 2)
+        for v in table:
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for j, i in enumerate(parent):
+                    q = given[c, j, int(v[i]) if i >= 0 else 0]
+                    p[c] *= q if v[j] else 1 - q
+            post[v] = p[1] / (p[0] + p[1])
+    got = model.posterior(np.array(list(table), bool))
+    assert np.abs(got - np.array(list(post.values()))).max() < 1e-6
+    gap = model.given[1].mean(axis=1) - model.given[0].mean(axis=1)
+    # The start trusts all entries alike, as the lexicon has chosen them for their odds; EM moves the random one away from that.
+    assert gap[0] > gap[2]
+
+
 def test_toxicity_finds_rare_words_among_many_common_ones(spark, docs_of):
     random.seed(8)
     common = ["".join(random.choice("bcdfghjklmnprstvwz") for _ in range(10)) for _ in range(4500)]
