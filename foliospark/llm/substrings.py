@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Workspace, slices, space_words, table
+from foliospark.llm.common import Workspace, byte_hashes, slices, space_words, table
 
 WIDTH, ANCHOR = 13, 6
 BLOCK_BYTES = 4 << 20
@@ -101,25 +101,6 @@ class Automaton:
         return out
 
 
-def _route_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, worked out over all bytes at once: a polynomial of the bytes, mixed. It only routes text."""
-    words = pa.concat_arrays([words.cast(pa.large_string())])
-    ends, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset), words.buffers()[2]
-    size = np.diff(ends)
-    if data is None or not size.sum():
-        return np.zeros(len(words), np.uint64)
-    place = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], size)
-    power = np.full(int(size.max()), _ODD, np.uint64)
-    power[0] = 1
-    value = (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[place]
-    some = np.flatnonzero(size)
-    out = np.zeros(len(words), np.uint64)
-    out[some] = np.add.reduceat(value, ends[:-1][some] - ends[0])
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
-
 def _windows(word: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each n consecutive words."""
     count = len(word) - n + 1
@@ -140,7 +121,7 @@ class Block:
         self.doc_ids, self.width = doc_ids, width
         codes, self.ends, self.words = space_words(texts, lower=False)
         self.codes = codes
-        hashed = _route_hashes(self.words)[codes]
+        hashed = byte_hashes(self.words)[codes]
         n = len(codes) - width + 1
         doc = np.repeat(np.arange(len(doc_ids)), np.diff(self.ends))
         if n <= 0:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from foliospark.llm import chat, decontaminate, maxent, packing, pii, sharding, toxicity
+from foliospark.llm.common import byte_hashes
 
 
 def low(t):
@@ -286,7 +287,7 @@ def a_model():
     counts = [40, 30, 9, 5, 1, 1, *([2] * 200), *([1] * 100)]
     totals = {}
     for w, n in zip(words, counts, strict=True):
-        k = int(maxent.cells_of([w.encode()])[0])
+        k = int(maxent.cells_of(pa.array([w]))[0])
         a, b = totals.get(k, (0, 0))
         totals[k] = (a + n, b + (n == 1))
     v = maxent.Vocabulary(words, counts, totals)
@@ -323,23 +324,21 @@ def test_maxent_score_by_hand():
         h = (h ^ h >> 31 ^ b & low) * 0xD6E8FEB86659FD93 & low
         return h ^ h >> 32
 
-    import xxhash
-
     tokens = text.split()
     at = [words.index(t) if t in words else None for t in [*tokens, maxent.END]]
     often = [k is not None and v.counts[k] >= maxent.OFTEN for k in at]
-    ids = [xxhash.xxh64_intdigest(t.encode()) if o else int(c) // 16 + 1 for t, o, c in zip(tokens, often, cell, strict=False)]
+    ids = [int(byte_hashes(pa.array([t]))[0]) if o else int(c) // 16 + 1 for t, o, c in zip(tokens, often, cell, strict=False)]
     assert sum(often) > 2
     for i, t in enumerate([*tokens, maxent.END]):
-        c = int(v.cell[at[i]]) if at[i] is not None else int(maxent.cells_of([t.encode()])[0])
+        c = int(v.cell[at[i]]) if at[i] is not None else int(maxent.cells_of(pa.array([t]))[0])
         assert cell[i] == c
         back = [ids[i - k] if i >= k else 0 for k in (1, 2)]
-        keys = [mix(1, back[0]), mix(2, back[1]), mix(3, back[0], back[1])]
+        keys = [mix(1, back[0]), mix(2, back[0], back[1]), mix(3, back[1])]
         total, first = 0.0, 0
         for level, times in enumerate(maxent.LEVELS):
             before, truth = c // 16 ** (3 - level), c // 16 ** (2 - level) % 16
             z = w.bias[level][before].astype(float)
-            for key, share in zip(keys, maxent.SHARES, strict=True):
+            for key, share in zip(keys[: maxent.KINDS[level]], maxent.SHARES, strict=False):
                 n = w.unit * share * times
                 z = z + w.rows[first + ((mix(5 + level, key >> 8, before) if level else key) & (n - 1))]
                 first += n
