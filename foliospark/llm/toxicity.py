@@ -7,7 +7,8 @@
 3. Label model: a class prior and, within each class, a tree of voters (the parent of a voter is the one that it agrees
    with most beyond chance), so that a voter's accuracy and its correlation with its parent are estimated together. It is
    fitted by EM on the vote patterns of all rows that may be learnt from, as sums over tasks. No label takes part in it;
-   labels only give the prior, the share of toxic rows, which stays as it is. EM starts from the number of votes.
+   labels only give the prior, the share of toxic rows, which stays as it is. EM starts from the number of entries that
+   vote and adds TRUST times the start's counts to each round's. A voter that does not vote abstains.
 4. Classifier: logistic regression on the sample's text features (all candidates, hashed to BUCKETS; votes; counts of
    hits), trained on the label model's posteriors.
 
@@ -33,8 +34,9 @@ from foliospark.llm.common import Workspace, slices, space_words, table
 
 #: Labelled rows that lexicon and classifier are fitted on at most (on average), lexicon entries, pattern voters, hashed text features.
 SAMPLE, ENTRIES, PATTERNS, BUCKETS = 20_000, 192, 4, 256
-#: Rounds of EM.
-ROUNDS = 8
+#: Rounds of EM, and how many times the start's counts are added to those of a later round. Votes alone can't tell a voter that
+#: agrees with no other from a bad one; the start, in which the lexicon's entries are good, keeps it.
+ROUNDS, TRUST = 8, 2.0
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least number of toxic rows that have a candidate; an entry must add at least one less, or a share of the toxic rows.
@@ -137,16 +139,14 @@ class LabelModel:
         self.given: np.ndarray | None = None
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
-        """Chance of toxicity of vote patterns (row, voter)."""
+        """Chance of toxicity of vote patterns (row, voter). Voters that don't vote abstain, which says nothing; without any vote it is a tenth of the prior."""
         if self.given is None:
             # Before anything is known, one entry of the lexicon is as good as another, and patterns say nothing.
             return np.choose(np.minimum(x[:, :-PATTERNS].sum(axis=1), 3), [self.prior[1] / 10, 0.9, 0.97, 0.99])
-        log = np.empty((2, len(x)))
         above = np.where(self.parent >= 0, x[:, self.parent], False).astype(np.int64)
-        for c in (0, 1):
-            p = self.given[c][np.arange(x.shape[1]), above]
-            log[c] = np.log(self.prior[c]) + np.log(np.where(x, p, 1 - p)).sum(axis=1)
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        odds = np.log(self.given[1] / self.given[0])[np.arange(x.shape[1]), above]
+        log = np.log(self.prior[1] / self.prior[0]) + np.where(x, odds, 0.0).sum(axis=1)
+        return np.where(x.any(axis=1), 1 / (1 + np.exp(-np.clip(log, -500, 500))), self.prior[1] / 10)
 
     def sums(self, x: np.ndarray, n: np.ndarray, pairs: bool) -> np.ndarray:
         """What a round needs of some patterns that occur n times: by class the weight, the votes, the votes together with the parent's; with `pairs`, with every voter's."""
@@ -194,9 +194,18 @@ def _tree(classes: list[tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
     return parent
 
 
+def _with_parents(total: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The sums of pairs cut down to those of voters and their parents."""
+    size, out = len(parent), []
+    for h in np.split(total, 2):
+        both = h[1 + size :].reshape(size, size)[np.arange(size), parent] * (parent >= 0)
+        out += [h[: 1 + size], both]
+    return np.concatenate(out)
+
+
 def label_model(patterns: DataFrame, prior: float, size: int, rounds: int = ROUNDS) -> LabelModel:
     """Fitted to patterns (votes binary, n long): sums of every task meet in an aggregation, so the driver gets as many numbers as the model has."""
-    model = LabelModel(prior, size)
+    model, start = LabelModel(prior, size), np.zeros(0)
     for k in range(rounds):
         sent = patterns.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +225,9 @@ def label_model(patterns: DataFrame, prior: float, size: int, rounds: int = ROUN
         total = np.zeros(2 * width)
         got = patterns.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
         total[got["i"].to_numpy(np.int64)] = got["x"].to_numpy(float)
-        model.fit(total, k == 0)
+        model.fit(total if k == 0 else total + TRUST * start, k == 0)
+        if k == 0:
+            start = _with_parents(total, model.parent)
         sent.destroy()
     return model
 
@@ -395,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     got = sample.select("text").mapInArrow(inputs, "votes array<int>, buckets array<int>, more array<double>").collect()
     rows = [(np.array(r["votes"], np.int64), np.array(r["buckets"], np.int64), r["more"]) for r in got]
     target = label.posterior(_dense([v for v, _, _ in rows], voters.size))
-    return Model(voters, label, _logistic(_inputs(rows, voters.size), target, l2=1.0))
+    return Model(voters, label, _logistic(_inputs(rows, voters.size), target))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -382,10 +382,12 @@ def test_label_model_by_hand(spark):
     assert sorted(parent)[0] == -1 and parent.count(-1) == 1 and (parent[1] == 0 or parent[0] == 1)
 
     post = {v: [prior / 10, 0.9, 0.97, 0.99][sum(v[:3])] for v in table}
-    for _ in range(rounds):
+    first = dict(post)
+    for k in range(rounds):
         given = {}
         for c in (0, 1):
-            w = {v: n * (post[v] if c else 1 - post[v]) for v, n in table.items()}
+            # Later rounds add the start's counts.
+            w = {v: n * (post[v] if c else 1 - post[v]) + (toxicity.TRUST * n * (first[v] if c else 1 - first[v]) if k else 0) for v, n in table.items()}
             all_ = sum(w.values())
             for j, i in enumerate(parent):
                 yes = sum(x for v, x in w.items() if v[j])
@@ -397,9 +399,8 @@ def test_label_model_by_hand(spark):
             p = [1 - prior, prior]
             for c in (0, 1):
                 for j, i in enumerate(parent):
-                    q = given[c, j, int(v[i]) if i >= 0 else 0]
-                    p[c] *= q if v[j] else 1 - q
-            post[v] = p[1] / (p[0] + p[1])
+                    p[c] *= given[c, j, int(v[i]) if i >= 0 else 0] if v[j] else 1
+            post[v] = p[1] / (p[0] + p[1]) if any(v) else prior / 10
     got = model.posterior(np.array(list(table), bool))
     assert np.abs(got - np.array(list(post.values()))).max() < 1e-6
     gap = model.given[1].mean(axis=1) - model.given[0].mean(axis=1)
