@@ -90,9 +90,22 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes the documents as Parquet, a folder for each shard and page."""
-    places = sharded(docs, limit).select("doc_id", F.col("shard").alias("_shard"), F.col("page").alias("_page")).distinct()
-    docs.join(places, docs.doc_id.eqNullSafe(places.doc_id)).drop(places.doc_id).repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+    """Writes every row of the documents once, as Parquet, a folder for each shard and page (columns _shard, _page)."""
+    n_bytes = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    places = sharded(docs, limit).groupBy("doc_id", "n_bytes", "shard", "page").agg(F.count("*").alias("k"))
+    # Rows of one doc_id and size that are in several pages are dealt to them by number; all others have one place.
+    many = places.groupBy("doc_id", "n_bytes").agg(F.count("*").alias("n"), F.min("shard").alias("_shard"), F.min("page").alias("_page"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").cast("long").alias("_id"), n_bytes.alias("_n"))
+    here = (F.col("_id").eqNullSafe(F.col("doc_id"))) & (F.col("_n") == F.col("n_bytes"))
+    one = rows.join(many.where("n = 1"), here).select("d", "_shard", "_page")
+    group = Window.partitionBy("doc_id", "n_bytes")
+    spread = places.join(many.where("n > 1").select(F.col("doc_id").alias("m_id"), F.col("n_bytes").alias("m_n")), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("n_bytes") == F.col("m_n")))
+    spread = spread.select("doc_id", "n_bytes", F.col("shard").alias("_shard"), F.col("page").alias("_page"), (F.sum("k").over(group.orderBy("page")) - F.col("k")).alias("first"), "k")
+    spread = spread.select("*", F.explode(F.expr("sequence(first, first + k - 1)")).alias("at"))
+    numbered = rows.join(many.where("n > 1"), here).select("d", "_id", "_n", (F.row_number().over(Window.partitionBy("_id", "_n").orderBy(F.xxhash64("d.text"))) - 1).cast("long").alias("no"))
+    several = numbered.join(spread, here & (F.col("no") == F.col("at"))).select("d", "_shard", "_page")
+    every = one.unionByName(several).select("d.*", "_shard", "_page")
+    every.repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,21 @@ def test_sharding(docs_of, odd):
     assert sharding.sharded(docs_of(rows).limit(0)).collect() == []
 
 
+def test_shards_hold_every_row_once(docs_of, odd, spark, tmp_path):
+    rows = [*odd, *[(50, "y" * 40)] * 25, *[(None, "z" * 30)] * 10, (60, "long " * 100), *((100 + i, "w" * 20) for i in range(40))]
+    docs = docs_of(rows)
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=100)
+    got = spark.read.option("inferSchema", "false").schema("doc_id long, text string, _shard string, _page long").parquet(str(tmp_path / "shards")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t in rows)
+    held = Counter()
+    for r in got:
+        held[r["_shard"], r["_page"]] += len((r["text"] or "").encode())
+    want = Counter()
+    for r in sharding.sharded(docs, 100).collect():
+        want[r["shard"] or None, r["page"]] += r["n_bytes"]
+    assert {k: v for k, v in held.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I join?\nThanks"), (1, 1, "assistant", "Use a key.\nAnd an index."), (1, 2, "user", "On Monday Bob wrote:\n> How  do I JOIN?\n>> deep\nMore please"),
