@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _fallback: list[str] = []
@@ -68,6 +68,29 @@ def release(keep: Workspace) -> None:
         _live.remove(ws)
 
 
+def numbered(ws: Workspace, rows: DataFrame, by: list[Column], within: list[str] = []) -> DataFrame:
+    """Rows with `rank` (long, from 0) in the order of `by` among those of equal `within`, and `of`, their number. Nulls form a group.
+
+    `rows` is read twice, so it should be a saved table. Rows are dealt to tasks by ranges of the whole order, equal ones
+    too, so no group has to fit a task. Only a count for each task and group is summed up: one task has all counts
+    of a group, at most as many as there are tasks.
+    """
+    order = [*(F.col(c) for c in within), *by, F.monotonically_increasing_id()]
+    keys = {f"_k{i}": k for i, k in enumerate(order)}
+    dealt = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    # The upper bits of this id are the task, the lower ones the place within it.
+    dealt = ws.save(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    task = F.shiftright("_at", 33).alias("_task")
+    counts = dealt.groupBy(*within, task).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(within)), F.col("_task").alias("_t"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("of"))
+    same = F.shiftright("_at", 33) == F.col("_t")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return dealt.join(counts, same).withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_shift", "_t", *(f"_w{i}" for i in range(len(within))))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the strings of a column take at most `limit` bytes, or one row."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

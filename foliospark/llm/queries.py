@@ -13,6 +13,8 @@ from foliospark.llm.decontaminate import op8_decontaminate
 from foliospark.llm.embeddings import ORACLE as OP10_SQL
 from foliospark.llm.embeddings import op10_embeddings
 from foliospark.llm.maxent import op4_maxent
+from foliospark.llm.merkle import ORACLE as OP11_SQL
+from foliospark.llm.merkle import op11_merkle
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
 from foliospark.llm.sharding import ORACLE as OP2_SQL
@@ -33,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
+    "op11_merkle": op11_merkle,
     "chat_quoted": chat_quoted,
 }
 
@@ -43,4 +46,5 @@ ORACLES: dict[str, str] = {
     "chat_quoted": QUOTED_ORACLE,
     "op8_decontaminate": OP8_SQL,
     "op10_embeddings": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }
