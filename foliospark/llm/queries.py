@@ -17,6 +17,8 @@ from foliospark.llm.merkle import ORACLE as OP11_SQL
 from foliospark.llm.merkle import op11_merkle
 from foliospark.llm.packing import op5_packing
 from foliospark.llm.pii import op9_pii
+from foliospark.llm.resampling import ORACLE as OP12_SQL
+from foliospark.llm.resampling import op12_resampling
 from foliospark.llm.sharding import ORACLE as OP2_SQL
 from foliospark.llm.sharding import op2_sharding
 from foliospark.llm.simhash import op1_simhash
@@ -36,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_embeddings": op10_embeddings,
     "op11_merkle": op11_merkle,
+    "op12_resampling": op12_resampling,
     "chat_quoted": chat_quoted,
 }
 
@@ -47,4 +50,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op10_embeddings": OP10_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_resampling": OP12_SQL,
 }

@@ -1,13 +1,15 @@
 """The manifest, importance resampling and byte-level BPE against plain Python."""
 
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import merkle
+from foliospark.llm import merkle, resampling
 
 
 def sha(s):
@@ -71,3 +73,42 @@ def test_manifest_of_few_rows(spark):
     assert none.proofs().collect() == [] and none.root().collect() == []
     one = merkle.manifest(rows_of(spark, [(1, None, None, None, None)])).proofs().collect()
     assert [(r["leaf"], r["root"], r["path"]) for r in one] == [(sha("1:1----"), sha("1:1----"), [])]
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+@pytest.mark.parametrize("runs", [1, 3])
+def test_resampling(spark, docs_of, odd, runs):
+    rows = [*odd, *((i, f"{'Prose' if i % 3 else 'QUESTION answer'} " * (i % 30) + f"w{i} É-x") for i in range(100, 160))]
+    target = [(1, "question answer question"), (2, None), (2, "What is the ANSWER?")]
+
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in range(1, runs + 1) for i in range(len(w) - n + 1)]
+
+    s, t = Counter(b for _, x in rows for b in features(x)[1]), Counter(b for _, x in target for b in features(x)[1])
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000)))) for b in range(10_000)]
+    want = []
+    for i, x in rows:
+        n_words, own = features(x)
+        weight = sum(gain[b] for b in own) // len(own) if own else 0
+        h = int(sha(f"2024:{'' if i is None else i}")[:8], 16)
+        want.append([i, n_words, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))])
+    able = sorted((w for w in want if w[1] >= 20), key=lambda w: (-w[4], w[0] is not None, w[0] or 0, w[2]))
+    for k, w in enumerate(able):
+        w.append(k + 1 if k < 10 * len(able) // 100 else None)
+    want = [(*w, None)[:6] for w in want]
+    items = spark.createDataFrame(target, "item_id long, text string")
+    got = resampling.resampled(docs_of(rows), items, runs=runs).select("doc_id", "n_words", "n_features", "weight", "score", "rank").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and any(w[5] for w in want)
+    best = {w[0] for w in want if w[5]}
+    kept = resampling.drawn(docs_of(rows), items, runs=runs)
+    assert kept.columns == docs_of(rows).columns and {r["doc_id"] for r in kept.collect()} == best
+
+
+def test_resampling_of_empty_tables(spark, docs_of, odd):
+    docs, items = docs_of(odd), spark.createDataFrame([], "item_id long, text string")
+    assert resampling.resampled(docs.limit(0), items).collect() == []
+    assert resampling.resampled(docs, items).where("weight > 1000").count() == 0
