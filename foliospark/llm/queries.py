@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.bytebpe import op13_bytebpe
 from foliospark.llm.chat import ORACLE as OP7_SQL
 from foliospark.llm.chat import QUOTED_ORACLE, chat_quoted, op7_chat
 from foliospark.llm.decontaminate import ORACLE as OP8_SQL
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
     "op11_merkle": op11_merkle,
     "op12_resampling": op12_resampling,
+    "op13_bytebpe": op13_bytebpe,
     "chat_quoted": chat_quoted,
 }
 

@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import merkle, resampling
+from foliospark.llm import bytebpe, merkle, resampling
 
 
 def sha(s):
@@ -112,3 +115,37 @@ def test_resampling_of_empty_tables(spark, docs_of, odd):
     docs, items = docs_of(odd), spark.createDataFrame([], "item_id long, text string")
     assert resampling.resampled(docs.limit(0), items).collect() == []
     assert resampling.resampled(docs, items).where("weight > 1000").count() == 0
+
+
+def test_pretokens():
+    """Cut word by word, random texts have the ids that the encoder gives to the whole."""
+    rng, own = random.Random(3), bytebpe.encoder(bytebpe.default_vocabulary())
+    parts = [*" \n\t 　'aAsStTreveldlmé1２½!?.-_´́😀​ǅ中٣ⅷ\x1c\x85", "'s", "'ll", "'re", "'ve", "'d", "'m", "'t", " '", "\r\n", "'S", "'LL", "  "]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)), "� a", "x" * 5000, " " * 5000 + "a"]
+    for array in (pa.array(texts), pa.array(["'s zz", *texts])[1:]):
+        codes, ends, words = bytebpe.pretokens(array)
+        names = words.to_pylist()
+        for i, t in enumerate(texts):
+            cut = [names[c] for c in codes[ends[i] : ends[i + 1]]]
+            assert "".join(cut) == (t or "") and [k for w in cut for k in own.encode_ordinary(w)] == own.encode_ordinary(t or "")
+
+
+@pytest.mark.parametrize("block", [1, 16 << 20])
+def test_byte_level_bpe(spark, docs_of, odd, block, monkeypatch):
+    rows = [*odd, (20, "It's we'll  'tis\n\n and more\t"), (21, "\x00 null byte"), (20, "again and again and again"), (22, " ".join(f"w{i}" for i in range(20_000)))]
+    own = bytebpe.encoder(bytebpe.default_vocabulary())
+    monkeypatch.setattr(bytebpe, "BLOCK_BYTES", block)
+    docs = docs_of(rows).repartition(2)
+    found = bytebpe.encoded(docs, bytes=True).collect()
+    want = sorted((str(i), np.array(own.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
+    assert sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["bytes"])) for r in found) == want
+    ids = bytebpe.encoded(docs)
+    assert ids.columns == ["doc_id", "ids"]
+    assert sorted((str(r["doc_id"]), bytes(r["bytes"])) for r in bytebpe.decoded(ids).collect()) == sorted((i, b) for i, _, b in want)
+
+
+def test_byte_level_bpe_of_odd_tables(spark, docs_of):
+    assert bytebpe.encoded(docs_of([(1, "a")]).limit(0), bytes=True).collect() == []
+    assert [tuple(r) for r in bytebpe.encoded(docs_of([(1, None)]), bytes=True).collect()] == [(1, b"", b"")]
+    ids = spark.createDataFrame([(1, np.array([60_000, 64, 4_000_000_000], "<u4").tobytes()), (2, None)], "doc_id long, ids binary")
+    assert sorted((r["doc_id"], bytes(r["bytes"])) for r in bytebpe.decoded(ids).collect()) == [(1, b"a"), (2, b"")]
