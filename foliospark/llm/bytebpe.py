@@ -4,15 +4,16 @@ A text is cut into pre-tokens (words), and every distinct word of the corpus is
 
 1. Tasks cut their texts and gather them in blocks of about BLOCK_BYTES. A block is one row: its distinct words as an
    array, and for each document the places of its words in that array, packed (so a word's text leaves a block once,
-   and positions never leave it). Blocks are written to the shared folder.
-2. The words are exploded with their places and grouped over all blocks; each distinct one is encoded.
-3. The ids are joined back by word and dealt back by block, where each document is put together by position.
+   and positions within documents never leave it). Blocks are written to the shared folder.
+2. The words are exploded with their places and shuffled by word over all blocks. Where all places of a word meet, it is
+   encoded once and its ids join its places; ids go back in packs, one for a task and block.
+3. Packs and blocks meet by block, where each document is put together by position.
 
 Decoding goes the same way with token ids for words and the table of tokens for the encoder: that table has a row a
 token, so its size is the vocabulary's, and it is broadcast. `encoded(bytes=True)` decodes in the same pass: the block's
 distinct ids meet the table on their way back.
 
-A word that is in every block has a row a block; such keys are few rows each and adaptive joins split them. A task
+A word that is in every block has a row a block, which a task reads one after the other. A task
 holds one block, which is one document if that is larger. Null and empty texts have no ids. A doc_id may repeat or be
 null: rows are told apart by their place in a block. Empty tables give no rows.
 """
@@ -33,6 +34,8 @@ from foliospark.llm.common import Workspace, slices, table
 
 #: Text of a block.
 BLOCK_BYTES = 16 << 20
+#: Places that a task packs together, and elements that it puts in order at a time.
+PACK, STEP = 1 << 20, 1 << 21
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 _loaded: dict[str, object] = {}
@@ -180,41 +183,101 @@ def _blocks(rows: DataFrame, column: str, cut: Callable[[pa.Array], tuple[np.nda
     return rows.mapInArrow(run, f"block long, ids array<long>, sizes array<long>, places binary, parts array<{kind}>")
 
 
-def _gathered(values: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends): the values at the places, one after another, and where each ends."""
-    values = pa.concat_arrays([values.cast(pa.large_binary())])
-    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
-    flat = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-    size = np.diff(offsets)[places]
+def _gathered(flat: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, ends): values (`sizes` elements of flat each) at the places, one after another, and where each ends. Works on STEP elements at a time."""
+    first, size = (np.cumsum(sizes) - sizes)[places], sizes[places]
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(offsets[:-1][places] - (ends - size), size) + np.arange(total)], ends
+    out, at = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype), 0
+    while at < len(places):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + STEP, side="right")))
+        n = size[at:stop]
+        out[before : ends[stop - 1]] = flat[np.repeat(first[at:stop] - (ends[at:stop] - n - before), n) + np.arange(int(ends[stop - 1]) - before)]
+        at = stop
+    return out, ends
+
+
+def _by_document(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The bytes of each document, which is `sizes` values, and its number of elements."""
+    edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int64)
+    offsets = pa.py_buffer(edge * flat.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(flat.view(np.uint8))]).cast(pa.binary()), np.diff(edge)
+
+
+def _binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes) of binary values."""
+    values = pa.concat_arrays([pc.fill_null(values, b"").cast(pa.large_binary())])
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(offsets)
 
 
-def _by_document(flat: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The bytes of each document, which is `sizes` values."""
-    edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+#: What goes back to a block: the bytes of one place (or, marked `token`, of one id), or a pack of places with their ids.
+FOUND = "block long, token boolean, key int, bytes binary, n int, keys binary, sizes binary, ids binary"
 
 
-def _assembled(blocks: DataFrame, found: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(doc_id, columns) of all documents; columns: ids, bytes or both.
+def _bytes_of(rows: DataFrame, token: bool) -> DataFrame:
+    """Rows (block, key, bytes) as FOUND."""
+    none = F.lit(None)
+    return rows.select("block", F.lit(token).alias("token"), "key", "bytes", none.cast("int").alias("n"), *(none.cast("binary").alias(c) for c in ("keys", "sizes", "ids")))
+
+
+def _packs(words: DataFrame, path: str) -> DataFrame:
+    """Places of words (block, key, word) with the words' ids, in packs as FOUND, with the distinct ids of each (tokens).
 
-    found (block, token, key, ids, bytes): the ids or, if they are not asked for, the bytes of each place of a block; and
-    if both are, rows marked `token` with the bytes of each id.
+    The shuffle by word brings all places of a word together, wherever they are; sorted, each word is encoded once and
+    its ids meet its places as they pass. A task holds PACK places.
     """
 
-    def by_key(rows: pa.Table, token: bool, column: str) -> tuple[np.ndarray, pa.Array]:
-        own = rows.filter(pc.equal(rows.column("token"), token)).sort_by("key")
-        values = own.column(column)
-        if column == "ids":
-            size = pc.fill_null(pc.list_value_length(values), 0).to_numpy()
-            flat = pc.list_flatten(values).to_numpy().astype("<u4")
-            ends = 4 * np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
-        else:
-            values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.binary())
-        return own.column("key").to_numpy(), values
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, held, n = encoder(path), {}, [], 0
+
+        def packed() -> pa.RecordBatch:
+            block, key, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((key, block))
+            flat, ends = _gathered(flat, size, order)
+            block, key, size = block[order], key[order], size[order]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids = flat[ends[a - 1] if a else 0 : ends[b - 1]]
+                rows.append((int(block[a]), False, None, None, b - a, _packed(np.diff(key[a:b], prepend=0)), _packed(size[a:b]), _packed(ids), np.unique(ids).astype(np.int32)))
+            names = ["block", "token", "key", "bytes", "n", "keys", "sizes", "ids", "tokens"]
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for part in slices(batch, "word"):
+                cut = part.column("word").dictionary_encode()
+                own_words = cut.dictionary.to_pylist()
+                ids = [last[w] if w in last else own.encode_ordinary(w) for w in own_words]
+                # The rows are in order: only the last word can come again.
+                last = {own_words[-1]: ids[-1]}
+                flat, ends = _gathered(np.array([k for x in ids for k in x], "<u4"), np.array([len(x) for x in ids], np.int64), cut.indices.to_numpy().astype(np.int64))
+                held.append((part.column("block").to_numpy(), part.column("key").to_numpy(), np.diff(ends, prepend=0), flat))
+                n += part.num_rows
+                if n >= PACK:
+                    yield packed()
+                    held, n = [], 0
+        if held:
+            yield packed()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, FOUND + ", tokens array<int>")
+
+
+def _assembled(blocks: DataFrame, found: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(doc_id, columns) of all documents, from blocks and what was found for their places. columns: ids, bytes or both."""
+
+    def unpacked(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each place), by place."""
+        keys, sizes, ids = [], [], []
+        for r in packs.to_pylist():
+            keys.append(np.cumsum(_unpacked(r["keys"], r["n"])))
+            sizes.append(_unpacked(r["sizes"], r["n"]))
+            ids.append(_unpacked(r["ids"], int(sizes[-1].sum())).astype("<u4"))
+        size = np.concatenate(sizes)
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        return _gathered(np.concatenate(ids), size, order)[0], size[order]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_pydict()
@@ -222,17 +285,22 @@ def _assembled(blocks: DataFrame, found: DataFrame, columns: tuple[str, ...]) ->
         out = {"doc_id": pa.array(block["ids"][0], pa.int64())}
         if not sizes.sum():  # no document of the block has any part
             return pa.table(out | {c: pa.array([b""] * len(sizes), pa.binary()) for c in columns})
-        flat, ends = _gathered(by_key(right, False, columns[0])[1], _unpacked(block["places"][0], int(sizes.sum())))
-        out[columns[0]] = _by_document(flat, ends, sizes)
+        places = _unpacked(block["places"][0], int(sizes.sum()))
+        single = right.filter(pc.is_valid(right.column("key"))).select(["key", "bytes"]).sort_by("key").combine_chunks()
+        named = _binary(single.column("bytes").combine_chunks()) if single.num_rows else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        if columns[0] == "bytes":
+            out["bytes"] = _by_document(*_gathered(*named, places), sizes)[0]
+            return pa.table(out)
+        flat, ends = _gathered(*unpacked(right.filter(pc.is_valid(right.column("n"))).select(["n", "keys", "sizes", "ids"])), places)
+        out["ids"], each = _by_document(flat, ends, sizes)
         if len(columns) > 1:
-            keys, values = by_key(right, True, "bytes")
-            before = np.concatenate(([0], ends // 4))[np.concatenate(([0], np.cumsum(sizes)))]
-            out["bytes"] = _by_document(*_gathered(values, np.searchsorted(keys, flat.view("<u4"))), np.diff(before))
+            # Decoded from the ids alone: each is looked up among the tokens of the block.
+            out["bytes"] = _by_document(*_gathered(*named, np.searchsorted(single.column("key").to_numpy(), flat)), each)[0]
         return pa.table(out)
 
     schema = "doc_id long, " + ", ".join(f"{c} binary" for c in columns)
     own = blocks.select(F.col("block").alias("own"), "ids", "sizes", "places")
-    return own.groupBy("own").cogroup(found.select("block", "token", "key", "ids", "bytes").groupBy("block")).applyInArrow(run, schema)
+    return own.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -247,23 +315,12 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, bytes: bool = False)
     ws = Workspace(spark, "bytebpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = ws.save(_blocks(rows, "text", pretokens, "string"), "blocks")
-    words = blocks.select("block", F.posexplode("parts").alias("key", "word"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            for part in slices(batch, "word"):
-                ids = [own.encode_ordinary(w) for w in part.column("word").to_pylist()]
-                yield pa.record_batch({"word": part.column("word"), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    known = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
-    found = words.join(known, "word").select("block", F.lit(False).alias("token"), "key", "ids", F.lit(None).cast("binary").alias("bytes"))
+    found = ws.save(_packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path), "ids")
     if not bytes:
-        return _assembled(blocks, found, ("ids",))
-    found = ws.save(found, "words")
-    tokens = found.select("block", F.explode("ids").alias("id")).distinct().join(F.broadcast(token_bytes(spark, path)), "id")
-    tokens = tokens.select("block", F.lit(True).alias("token"), F.col("id").alias("key"), F.lit(None).cast("array<int>").alias("ids"), "bytes")
-    return _assembled(blocks, found.unionByName(tokens), ("ids", "bytes"))
+        return _assembled(blocks, found.drop("tokens"), ("ids",))
+    tokens = found.select("block", F.explode("tokens").alias("key")).distinct()
+    tokens = tokens.join(F.broadcast(token_bytes(spark, path).withColumnRenamed("id", "key")), "key")
+    return _assembled(blocks, found.drop("tokens").unionByName(_bytes_of(tokens, True)), ("ids", "bytes"))
 
 
 def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -272,16 +329,14 @@ def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ws = Workspace(ids.sparkSession, "bytebpe")
 
     def cut(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        column = pa.concat_arrays([pc.fill_null(column, b"")])
-        flat, ends = _gathered(column, np.arange(len(column)))
+        flat, size = _binary(column)
         numbers, codes = np.unique(flat.view("<u4"), return_inverse=True)
-        return codes, np.concatenate(([0], ends // 4)), pa.array(numbers.astype(np.int32))
+        return codes, np.concatenate(([0], np.cumsum(size // 4))), pa.array(numbers.astype(np.int32))
 
     blocks = ws.save(_blocks(ids.select("doc_id", "ids"), "ids", cut, "int"), "blocks")
     tokens = blocks.select("block", F.posexplode("parts").alias("key", "id"))
-    found = tokens.join(F.broadcast(token_bytes(ids.sparkSession, path)), "id", "left")
-    found = found.select("block", F.lit(False).alias("token"), "key", F.lit(None).cast("array<int>").alias("ids"), F.coalesce("bytes", F.lit(b"")).alias("bytes"))
-    return _assembled(blocks, found, ("bytes",))
+    found = tokens.join(F.broadcast(token_bytes(ids.sparkSession, path)), "id", "left").select("block", "key", "bytes")
+    return _assembled(blocks, _bytes_of(found, False), ("bytes",))
 
 
 def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
