@@ -10,8 +10,8 @@ A text is cut into pre-tokens (words), and every distinct word of the corpus is
 3. Packs and blocks meet by block, where each document is put together by position.
 
 Decoding goes the same way with token ids for words and the table of tokens for the encoder: that table has a row a
-token, so its size is the vocabulary's, and it is broadcast. `encoded(bytes=True)` decodes in the same pass: the block's
-distinct ids meet the table on their way back.
+token, so its size is the vocabulary's, and the join broadcasts it. `encoded(bytes=True)` decodes in the same pass: once
+a block's ids are in order, each is looked up in the broadcast table.
 
 A word that is in every block has a row a block, which a task reads one after the other. A task
 holds one block, which is one document if that is larger. Null and empty texts have no ids. A doc_id may repeat or be
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,18 +212,8 @@ def _binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(offsets)
 
 
-#: What goes back to a block: the bytes of one place (or, marked `token`, of one id), or a pack of places with their ids.
-FOUND = "block long, token boolean, key int, bytes binary, n int, keys binary, sizes binary, ids binary"
-
-
-def _bytes_of(rows: DataFrame, token: bool) -> DataFrame:
-    """Rows (block, key, bytes) as FOUND."""
-    none = F.lit(None)
-    return rows.select("block", F.lit(token).alias("token"), "key", "bytes", none.cast("int").alias("n"), *(none.cast("binary").alias(c) for c in ("keys", "sizes", "ids")))
-
-
 def _packs(words: DataFrame, path: str) -> DataFrame:
-    """Places of words (block, key, word) with the words' ids, in packs as FOUND, with the distinct ids of each (tokens).
+    """(block, n, keys, sizes, ids): places of words (block, key, word) with the words' ids, in packs of n places of one block.
 
     The shuffle by word brings all places of a word together, wherever they are; sorted, each word is encoded once and
     its ids meet its places as they pass. A task holds PACK places.
@@ -241,10 +231,9 @@ def _packs(words: DataFrame, path: str) -> DataFrame:
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 ids = flat[ends[a - 1] if a else 0 : ends[b - 1]]
-                rows.append((int(block[a]), False, None, None, b - a, _packed(np.diff(key[a:b], prepend=0)), _packed(size[a:b]), _packed(ids), np.unique(ids).astype(np.int32)))
-            names = ["block", "token", "key", "bytes", "n", "keys", "sizes", "ids", "tokens"]
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows.append((int(block[a]), b - a, _packed(np.diff(key[a:b], prepend=0)), _packed(size[a:b]), _packed(ids)))
+            kinds = {"block": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "sizes": pa.binary(), "ids": pa.binary()}
+            return pa.record_batch({name: pa.array(c, kinds[name]) for name, c in zip(kinds, zip(*rows, strict=True), strict=True)})
 
         for batch in batches:
             for part in slices(batch, "word"):
@@ -262,11 +251,14 @@ def _packs(words: DataFrame, path: str) -> DataFrame:
         if held:
             yield packed()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, FOUND + ", tokens array<int>")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, n int, keys binary, sizes binary, ids binary")
+
 
+def _assembled(blocks: DataFrame, found: DataFrame, column: str, tokens: Broadcast | None = None) -> DataFrame:
+    """(doc_id, column) of all documents, from blocks and what was found for their places: packs of ids, or (block, key, bytes).
 
-def _assembled(blocks: DataFrame, found: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(doc_id, columns) of all documents, from blocks and what was found for their places. columns: ids, bytes or both."""
+    With tokens (bytes and sizes of each id) also the bytes that the ids decode to.
+    """
 
     def unpacked(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each place), by place."""
@@ -284,21 +276,19 @@ def _assembled(blocks: DataFrame, found: DataFrame, columns: tuple[str, ...]) ->
         sizes = np.array(block["sizes"][0], np.int64)
         out = {"doc_id": pa.array(block["ids"][0], pa.int64())}
         if not sizes.sum():  # no document of the block has any part
-            return pa.table(out | {c: pa.array([b""] * len(sizes), pa.binary()) for c in columns})
+            return pa.table(out | {c: pa.array([b""] * len(sizes), pa.binary()) for c in ([column, "bytes"] if tokens else [column])})
         places = _unpacked(block["places"][0], int(sizes.sum()))
-        single = right.filter(pc.is_valid(right.column("key"))).select(["key", "bytes"]).sort_by("key").combine_chunks()
-        named = _binary(single.column("bytes").combine_chunks()) if single.num_rows else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-        if columns[0] == "bytes":
-            out["bytes"] = _by_document(*_gathered(*named, places), sizes)[0]
+        if column == "bytes":
+            values = right.sort_by("key").column("bytes").combine_chunks()
+            out["bytes"] = _by_document(*_gathered(*_binary(values), places), sizes)[0]
             return pa.table(out)
-        flat, ends = _gathered(*unpacked(right.filter(pc.is_valid(right.column("n"))).select(["n", "keys", "sizes", "ids"])), places)
-        out["ids"], each = _by_document(flat, ends, sizes)
-        if len(columns) > 1:
-            # Decoded from the ids alone: each is looked up among the tokens of the block.
-            out["bytes"] = _by_document(*_gathered(*named, np.searchsorted(single.column("key").to_numpy(), flat)), each)[0]
+        out["ids"], each = _by_document(*_gathered(*unpacked(right), places), sizes)
+        if tokens:
+            ids = np.frombuffer(out["ids"].buffers()[2], "<u4") if each.sum() else np.zeros(0, "<u4")
+            out["bytes"] = _by_document(*_gathered(*tokens.value, ids), each)[0]
         return pa.table(out)
 
-    schema = "doc_id long, " + ", ".join(f"{c} binary" for c in columns)
+    schema = f"doc_id long, {column} binary" + (", bytes binary" if tokens else "")
     own = blocks.select(F.col("block").alias("own"), "ids", "sizes", "places")
     return own.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
@@ -315,12 +305,12 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, bytes: bool = False)
     ws = Workspace(spark, "bytebpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = ws.save(_blocks(rows, "text", pretokens, "string"), "blocks")
-    found = ws.save(_packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path), "ids")
+    found = _packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path)
     if not bytes:
-        return _assembled(blocks, found.drop("tokens"), ("ids",))
-    tokens = found.select("block", F.explode("tokens").alias("key")).distinct()
-    tokens = tokens.join(F.broadcast(token_bytes(spark, path).withColumnRenamed("id", "key")), "key")
-    return _assembled(blocks, found.drop("tokens").unionByName(_bytes_of(tokens, True)), ("ids", "bytes"))
+        return _assembled(blocks, found, "ids")
+    ranks = {rank: token for token, rank in ranks_of(path).items()}
+    tokens = _binary(pa.array([ranks.get(i, b"") for i in range(max(ranks) + 1)], pa.binary()))
+    return _assembled(blocks, found, "ids", spark.sparkContext.broadcast(tokens))
 
 
 def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -335,8 +325,8 @@ def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     blocks = ws.save(_blocks(ids.select("doc_id", "ids"), "ids", cut, "int"), "blocks")
     tokens = blocks.select("block", F.posexplode("parts").alias("key", "id"))
-    found = tokens.join(F.broadcast(token_bytes(ids.sparkSession, path)), "id", "left").select("block", "key", "bytes")
-    return _assembled(blocks, _bytes_of(found, False), ("bytes",))
+    found = tokens.join(F.broadcast(token_bytes(ids.sparkSession, path)), "id", "left").select("block", "key", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    return _assembled(blocks, found, "bytes")
 
 
 def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
