@@ -183,18 +183,27 @@ def crop_box(row: Column, width: Column, height: Column) -> Column:
     return F.struct(scaled(row["x1"], width).alias("x1"), scaled(row["y1"], height).alias("y1"), scaled(row["x2"], width).alias("x2"), scaled(row["y2"], height).alias("y2"))
 
 
+def page_rows(page_ocr: DataFrame, reference_mode: bool = False, *more: str) -> DataFrame:
+    """(doc_id, page, r[, more]): the cleaned rows of each page as an array, a projection without a shuffle."""
+    steps = page_ocr.select("doc_id", "page", parse(F.col("ocr_text")).alias("b"), *more)
+    for step in (merge_continuations, drop_repeats, drop_markers, drop_fragments):
+        steps = steps.select("doc_id", "page", step(F.col("b")).alias("b"), *more)
+    rows = steps.select("doc_id", "page", classify(F.col("b")).alias("r"), *more)
+    cropped = F.filter("r", lambda r: ~r["type"].isin(*IMAGE_TYPES) | ((r["x2"] > r["x1"]) & (r["y2"] > r["y1"])))
+    return rows.select("doc_id", "page", cropped.alias("r"), *more).select("doc_id", "page", merge_equations(F.col("r"), ROW, reference_mode).alias("r"), *more)
+
+
+def exploded(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, seq, <row>) of pages (doc_id, page, r)."""
+    return pages.select("doc_id", "page", F.posexplode("r").alias("seq", "r")).select("doc_id", "page", "seq", "r.*")
+
+
 def clean_pages(page_ocr: DataFrame, reference_mode: bool = False) -> DataFrame:
     """(doc_id, page, seq, idx, type, en, zh, passthrough, x1, y1, x2, y2) of page text (doc_id, page, ocr_text).
 
     Pages without blocks give no rows. Images without an area are left out, as there is nothing to crop.
     """
-    steps = page_ocr.select("doc_id", "page", parse(F.col("ocr_text")).alias("b"))
-    for step in (merge_continuations, drop_repeats, drop_markers, drop_fragments):
-        steps = steps.select("doc_id", "page", step(F.col("b")).alias("b"))
-    rows = steps.select("doc_id", "page", classify(F.col("b")).alias("r"))
-    cropped = F.filter("r", lambda r: ~r["type"].isin(*IMAGE_TYPES) | ((r["x2"] > r["x1"]) & (r["y2"] > r["y1"])))
-    rows = rows.select("doc_id", "page", cropped.alias("r")).select("doc_id", "page", merge_equations(F.col("r"), ROW, reference_mode).alias("r"))
-    return rows.select("doc_id", "page", F.posexplode("r").alias("seq", "r")).select("doc_id", "page", "seq", "r.*")
+    return exploded(page_rows(page_ocr, reference_mode))
 
 
 def with_figures(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 
 
+def goes_on(x: Column, y: Column) -> Column:
+    """Whether the text y at the start of a page goes on with x at the end of the page before."""
+    marked = lambda c: F.lower(c).rlike(r"\[non[- ]text\]")
+    return ~T.is_blank(x) & ~T.is_blank(y) & ~marked(x) & ~marked(y) & ~T.ends_sentence(x) & ~T.starts_upper(y)
+
+
 def cross_page_pairs(rows: DataFrame) -> DataFrame:
     """(doc_id, page_a, seq_a, page_b, seq_b, en_a, en_b): the last text block of a page and the first of the next, if the sentence goes on.
 
@@ -17,10 +23,8 @@ def cross_page_pairs(rows: DataFrame) -> DataFrame:
     ends = rows.where("type = 'text'").groupBy("doc_id", "page").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     a = ends.select("doc_id", F.col("page").alias("page_a"), (F.col("page") + 1).alias("page_b"), "last")
     b = ends.select("doc_id", F.col("page").alias("page_b"), "first")
-    marked = lambda c: F.lower(c).rlike(r"\[non[- ]text\]")
     x, y = F.col("last.en"), F.col("first.en")
-    goes_on = ~T.is_blank(x) & ~T.is_blank(y) & ~marked(x) & ~marked(y) & ~T.ends_sentence(x) & ~T.starts_upper(y)
-    return a.join(b, ["doc_id", "page_b"]).where(goes_on).select(
+    return a.join(b, ["doc_id", "page_b"]).where(goes_on(x, y)).select(
         "doc_id", "page_a", F.col("last.seq").alias("seq_a"), "page_b", F.col("first.seq").alias("seq_b"), x.alias("en_a"), y.alias("en_b")
     )
 

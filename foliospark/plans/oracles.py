@@ -175,4 +175,11 @@ SELECT conv_id, '# c' || conv_id || chr(10) || chr(10) || '> done' || chr(10) ||
     "progress_state": """SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'translate' AS phase, CAST(max(turn // 2 + 1) AS INTEGER) AS total_pages, CAST(max(turn // 2 + 1) AS INTEGER) AS current_page,
   CAST(count(*) AS INTEGER) AS done, CAST(count(*) AS INTEGER) AS total, count(*) AS blocks, true AS over, 100::BIGINT AS percent FROM conversations GROUP BY conv_id""",
     "latest_events": """SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n, CAST(floor(100.0 * count(*) FILTER (event_type = 'purchase') / count(*) + 0.5) AS BIGINT) AS percent FROM events GROUP BY 1""",
+    "ordered_state": """WITH c AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, CASE WHEN role = 'system' THEN NULL WHEN turn % 5 = 4 THEN '[ERROR: x]' ELSE reverse(text) END AS zh, (conv_id + turn) % 4 AS o FROM conversations),
+g AS (SELECT *, zh IS NOT NULL AND zh <> '' AND NOT starts_with(zh, '[ERROR') AS good FROM c),
+n AS (SELECT conv_id AS doc_id, 'block' AS kind, seq, text, zh, good, o FROM g UNION ALL SELECT conv_id, 'complete', count(*)::INTEGER, NULL, NULL, NULL, NULL FROM g GROUP BY 1)
+SELECT doc_id, kind, seq, left(last_value(CASE WHEN good THEN text END IGNORE NULLS) OVER w, 300) AS prev_en, left(last_value(CASE WHEN good THEN zh END IGNORE NULLS) OVER w, 300) AS prev_zh,
+  CAST(least(count(*) FILTER (good) OVER w, 10) AS INTEGER) AS remembered, CAST(count(*) FILTER (o < 2) OVER w AS INTEGER) AS passed, CAST(count(*) FILTER (o = 2) OVER w AS INTEGER) AS retried, CAST(count(*) FILTER (o = 3) OVER w AS INTEGER) AS failed
+FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 }
+ORACLES["arriving_pairs"] = ORACLES["cross_page_pairs"]

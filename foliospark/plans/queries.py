@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import blocks, chunks, pairs, report, titles, translate, verify
 from foliospark.plans import bindings as B
 from foliospark.streaming import events as E
+from foliospark.streaming import ordered, pages, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -275,3 +276,33 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.read(spark, sf_dir, "events")
     out = rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought"))
     return out.select("user_id", "last_type", "n", T.percent(F.col("bought"), F.col("n")).alias("percent"))
+
+
+@query
+def ordered_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks of a document, dealt to four files by their hash, so that they arrive in four batches out of order."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    zh = F.when(F.col("role") == "system", None).when(F.col("turn") % 5 == 4, "[ERROR: x]").otherwise(F.reverse("text"))
+    outcome = F.element_at(F.array(*map(F.lit, ("passed", "fast_accepted", "retried", "failed"))), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) + 1).cast("int"))
+    rows = B.read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), (F.row_number().over(order) - 1).alias("at"), F.col("text").alias("en"), zh.alias("zh"), outcome.alias("outcome"),
+        F.count("*").over(Window.partitionBy("conv_id")).cast("int").alias("total"),
+    )
+    folder = runs.shared_folder(spark, "ordered")
+    stream = ordered.in_order(runs.replayed(rows, folder, "blocks", 4, F.hash("en", "at")))
+    runs.write(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = runs.written(spark, f"{folder}/out", stream)
+    return got.select("doc_id", "kind", F.col("at").alias("seq"), F.left("prev_en", F.lit(300)).alias("prev_en"), F.left("prev_zh", F.lit(300)).alias("prev_zh"), "remembered", "passed", "retried", "failed")
+
+
+@query
+def arriving_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of slices that arrive in three batches, those of a document apart from each other and out of order."""
+    rows = B.slice_rows(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "en"))).alias("r"))
+    rows = rows.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.hash("page", "doc_id"), F.lit(1800))))
+    folder = runs.shared_folder(spark, "pages")
+    stream = pages.arriving_pairs(runs.replayed(rows, folder, "pages", 3, F.hash("page")))
+    runs.write(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    # Two slices a page: the place on the page is the slice's number without the pages before.
+    number = lambda page, at: (2 * (F.col(page) - 1) + F.col(at)).cast("int").alias(at)
+    return runs.written(spark, f"{folder}/out", stream).select("doc_id", "page_a", number("page_a", "seq_a"), "page_b", number("page_b", "seq_b"))

@@ -78,10 +78,10 @@ def test_equations(spark):
 
 
 def test_formulas_are_marked_before_equations_are_merged(spark):
-    page = "<|det|>equation [0,0,9,9]<|/det|>\\[<|det|>equation [0,10,9,19]<|/det|>x=1 \\]<|det|>image [5,5,5,9]<|/det|><|det|>image [5,5,6,9]<|/det|>"
+    page = "<|det|>equation [0,0,9,9]<|/det|>\\[<|det|>equation [0,10,9,19]<|/det|>x=1 \\]<|det|>image [5,5,5,9]<|/det|><|det|>title [0,20,9,29]<|/det|>T<|det|>image [5,5,6,9]<|/det|>"
     for mode in (False, True):
         rows = B.clean_pages(spark.createDataFrame([("d", 1, page)], "doc_id string, page int, ocr_text string"), mode)
-        assert [(r["type"], r["en"], r["figure_id"]) for r in B.with_figures(rows).orderBy("seq").collect()] == [("equation", "$$\nx=1 $$", None), ("image", "", "p0_f0.png")]
+        assert [(r["type"], r["en"], r["figure_id"]) for r in B.with_figures(rows).orderBy("seq").collect()] == [("equation", "$$\nx=1 $$", None), ("title", "T", None), ("image", "", "p0_f0.png")]
         assert B.figure(B.figures(rows), "d", "p0_f0.png").count() == 1 and B.figure(B.figures(rows), "d", "p0_f9.png").count() == 0
 
 
