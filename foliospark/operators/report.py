@@ -60,15 +60,22 @@ def block_markdown(kind: Column, en: Column, zh: Column) -> Column:
     return F.concat(F.lit("**["), kind, F.lit("]**\n\n> "), en, F.lit("\n\n"), shown, F.lit("\n\n---\n\n"))
 
 
-def markdown(rows: DataFrame, doc: str, title: Column, summary: Column) -> DataFrame:
-    """(doc, markdown) of rows (doc, page, seq, type, en, zh): a heading wherever the page changes."""
+def pieces(rows: DataFrame, doc: str) -> DataFrame:
+    """(doc, page, seq, piece) of rows (doc, page, seq, type, en, zh): the Markdown of each block, with a heading wherever the page changes."""
     order = Window.partitionBy(doc).orderBy("page", "seq")
     turns = F.coalesce(F.lag("page").over(order) != F.col("page"), F.lit(True))
     head = F.when(turns, F.concat(F.lit("## Page "), F.col("page").cast("string"), F.lit("\n\n"))).otherwise(F.lit(""))
-    piece = F.concat(head, block_markdown(F.col("type"), F.col("en"), F.coalesce("zh", F.lit(""))))
-    body = rows.withColumn("_md", piece).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "seq", "_md"))).alias("m"))
-    top = F.concat(F.lit("# "), title, F.lit("\n\n> "), summary, F.lit("\n\n"))
-    return body.select(doc, F.concat(top, F.array_join(F.transform("m", lambda x: x["_md"]), "")).alias("markdown"))
+    return rows.select(doc, "page", "seq", F.concat(head, block_markdown(F.col("type"), F.col("en"), F.coalesce("zh", F.lit("")))).alias("piece"))
+
+
+def top(title: Column, summary: Column) -> Column:
+    return F.concat(F.lit("# "), title, F.lit("\n\n> "), summary, F.lit("\n\n"))
+
+
+def markdown(rows: DataFrame, doc: str, title: Column, summary: Column) -> DataFrame:
+    """(doc, markdown): a document's pieces under its title."""
+    body = pieces(rows, doc).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "seq", "piece"))).alias("m"))
+    return body.select(doc, F.concat(top(title, summary), F.array_join(F.transform("m", lambda x: x["piece"]), "")).alias("markdown"))
 
 
 def quality_table(values: dict[str, str]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,15 @@ class Pipeline:
         found = answers.select(F.col("unit_id").alias("call"), translate.as_translation(F.col("output"), F.col("error")).alias(kind))
         return calls.select("unit_id", "call").join(found, "call").drop("call")
 
-    def run(self, page_ocr: DataFrame) -> DataFrame:
-        """Rows with zh and status. The units that were sent, with the outcome of their checks, are left in checks()."""
+    def run(self, page_ocr: DataFrame, seen: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Rows with zh and status. The units that were sent, with the outcome of their checks, are left in checks().
+
+        seen, if given, gets the recognised rows as soon as they are written, before any model is asked.
+        """
         t, o = self.templates, self.options
         rows = self._written(blocks.with_figures(blocks.clean_pages(page_ocr, self.reference_mode)), "rows")
+        if seen:
+            seen(rows)
         links = pairs.cross_page_pairs(rows)
         fields = self._ask(translate.abstract_of(rows).withColumn("unit_id", F.col("doc_id").cast("string")), translate.fill(t.direction, abstract=F.col("abstract")), "field")
         units = translate.units(rows, links, self.reference_mode, o.chunk_size).withColumn("unit_id", F.concat_ws("/", "doc_id", "page", "seq", "part"))

@@ -9,6 +9,10 @@ from foliospark.functions import text as T
 
 SCHEMA = "doc_id string, seq bigint, type string, page int, idx int, total_pages int, phase string, total_blocks int, block_type string, en string, zh string, verified boolean, figure_id string, done int, total int, blocks int, error string"
 
+#: The events that are known once pages are recognised, and those that follow from their translation. `phase` is in both.
+RECOGNITION = ("start", "phase", "figure", "ocr_progress")
+TRANSLATION = ("phase", "page_start", "block_done", "translate_progress", "page_done", "complete")
+
 
 def from_results(rows: DataFrame) -> DataFrame:
     """Events of finished rows (doc_id, page, seq, idx, type, en, zh[, figure_id, verified]).
@@ -58,6 +62,7 @@ def state(events: DataFrame, doc: str = "doc_id", order: str = "seq") -> DataFra
     out = events.groupBy(doc).agg(
         last("phase", "phase").alias("phase"), last("total_pages", "start").alias("total_pages"), last("page", "page_start").alias("current_page"), last("page", "ocr_progress").alias("ocr_page"),
         last("done", "translate_progress").alias("done"), last("total", "translate_progress").alias("total"), F.count_if(F.col("type") == "block_done").alias("blocks"),
+        F.count_if(F.col("type") == "page_done").alias("pages_done"), F.count_if(F.col("type") == "ocr_progress").alias("ocr_pages"),
         F.max(F.col("type").isin("complete", "error")).alias("over"),
     )
     return out.withColumn("percent", T.percent(F.coalesce("done", F.lit(0)), F.coalesce("total", F.lit(0))))
