@@ -205,6 +205,8 @@ class CallableProvider:
     """
 
     load: Callable[[], Callable[..., list[str]]]
+    #: Most prompts of one call when documents are asked in order.
+    most: int = 256
 
     def __call__(self, calls: DataFrame) -> DataFrame:
         load = self.load
@@ -222,37 +224,81 @@ class CallableProvider:
         return calls.select("unit_id", "prompt", _sampling(calls)).mapInPandas(run, "unit_id string, output string, error string")
 
     def in_order(self, calls: DataFrame) -> DataFrame:
-        """The same for units of documents, each asked with the last translated block before its own. A document is one task's work, row by row."""
-        load = self.load
+        """The same for units of documents, each asked with the last translated block before its own.
+
+        Documents go in step: rows are sorted by their number within the document, so that the n-th units of all of a
+        task's documents go to the model together, at most `most` a call, and a long document holds up no other. What a
+        document's next unit needs is kept by document until its last: at most CONTEXT characters on either side.
+        """
+        load, most = self.load, self.most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ask = _asker(load())
-            doc = block = None
-            earlier, own = ("", ""), []
+            kept: dict[str, _Earlier] = {}
+
+            def answers(rows: list) -> list[tuple]:
+                prompts = []
+                for r in rows:
+                    own = kept.setdefault(r.doc_id, _Earlier())
+                    own.turn_to((r.page, r.seq))
+                    prompts.append(own.filled(r.context) or r.prompt)
+                found: dict[int, tuple[str | None, str | None]] = {}
+                for key in sorted({r.key for r in rows}):
+                    at = [i for i, r in enumerate(rows) if r.key == key]
+                    found.update(zip(at, ask([prompts[i] for i in at], key), strict=True))
+                for i, r in enumerate(rows):
+                    kept[r.doc_id].add(r.source, found[i][0])
+                    if r.no == r.of:
+                        del kept[r.doc_id]
+                return [(r.unit_id, *found[i]) for i, r in enumerate(rows)]
+
             for batch in batches:
-                got = []
-                for r in batch.itertuples():
-                    if (r.doc_id, r.page, r.seq) != block:
-                        if own and all(zh is not None for _, zh in own):
-                            earlier = (" ".join(en for en, _ in own), "".join(zh for _, zh in own))
-                        own, block = [], (r.doc_id, r.page, r.seq)
-                    if r.doc_id != doc:
-                        doc, earlier = r.doc_id, ("", "")
-                    prompt = r.prompt
-                    if r.context and len(earlier[0]) > LEAST_CONTEXT:
-                        a, _, rest = r.context.partition(EARLIER[0])
-                        b, _, c = rest.partition(EARLIER[1])
-                        prompt = a + earlier[0][:CONTEXT] + b + earlier[1][:CONTEXT] + c
-                    output, error = ask([prompt], r.key)[0]
-                    own.append((r.source, cleaned(output) if output else None))
-                    got.append((r.unit_id, output, error))
+                rows, got, at = list(batch.itertuples(index=False)), [], 0
+                while at < len(rows):
+                    stop = at + 1
+                    while stop < len(rows) and rows[stop].no == rows[at].no and stop - at < most:
+                        stop += 1
+                    got += answers(rows[at:stop])
+                    at = stop
                 yield pd.DataFrame(got, columns=["unit_id", "output", "error"])
 
-        ordered = calls.repartition("doc_id").sortWithinPartitions("doc_id", "page", "seq", "part")
-        ordered = ordered.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), "page", "seq", "source", "prompt", "context", _sampling(calls))
+        whole = Window.partitionBy("doc_id")
+        no = F.row_number().over(whole.orderBy("page", "seq", "part")).alias("no")
+        own = calls.select("unit_id", "doc_id", "page", "seq", "part", "source", "prompt", "context", _sampling(calls)).repartition("doc_id").select("*", no, F.count("*").over(whole).alias("of"))
+        ordered = own.sortWithinPartitions("no", "doc_id").select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), "page", "seq", "source", "prompt", "context", "key", "no", "of")
         return ordered.mapInPandas(run, "unit_id string, output string, error string")
 
 
+class _Earlier:
+    """What a document's next unit is asked with: the last block that was translated whole, and the block that is under way."""
+
+    def __init__(self) -> None:
+        self.en = self.zh = self.own_en = self.own_zh = ""
+        self.block, self.whole, self.parts = None, True, 0
+
+    def turn_to(self, block: tuple) -> None:
+        if block != self.block:
+            if self.parts and self.whole:
+                self.en, self.zh = self.own_en, self.own_zh
+            self.block, self.own_en, self.own_zh, self.whole, self.parts = block, "", "", True, 0
+
+    def filled(self, context: str | None) -> str | None:
+        """The context prompt with the text before, if there is enough of it."""
+        if not context or len(self.en) <= LEAST_CONTEXT:
+            return None
+        a, _, rest = context.partition(EARLIER[0])
+        b, _, c = rest.partition(EARLIER[1])
+        return a + self.en + b + self.zh + c
+
+    def add(self, source: str, output: str | None) -> None:
+        if output:
+            self.own_en = (self.own_en + (" " if self.parts else "") + source)[:CONTEXT]
+            self.own_zh = (self.own_zh + cleaned(output))[:CONTEXT]
+        else:
+            self.whole = False
+        self.parts += 1
+
+
 def _sampling(calls: DataFrame) -> Column:
     return (F.to_json("sampling") if "sampling" in calls.columns else F.lit("{}")).alias("key")
 

@@ -196,3 +196,36 @@ def test_long_text_of_one_chunk_is_not_checked(spark, tmp_path):
     p = Pipeline(translate.CallableProvider(lambda: lambda texts: ["x" for _ in texts]), str(tmp_path))
     assert [(r["zh"], r["verified"]) for r in p.run(ocr).collect()] == [("x", True)]
     assert p.checks(spark).first()["passed"] == 1
+
+
+def test_documents_are_asked_in_step(spark, tmp_path):
+    """The n-th units of all documents in one call; each prompt as if the document had been asked alone."""
+    log = tmp_path / "calls"
+    log.mkdir()
+    rows = [(f"d{d}/{k}", f"d{d}", k // 3 + 1, k, 0, f"source {k} of document {d}, long enough for context", f"plain {d} {k}", f"c {translate.EARLIER[0]} | {translate.EARLIER[1]} {d} {k}" if k % 4 else None) for d, n in enumerate((1, 2, 2, 30, 0, 3)) for k in range(n)]
+    rows.append(("d0/1b", "d0", 1, 0, 1, "second part", "part", None))
+    schema = "unit_id string, doc_id string, page int, seq int, part int, source string, prompt string, context string"
+
+    def load():
+        import uuid
+
+        def ask(prompts):
+            (log / uuid.uuid4().hex).write_text(str(len(prompts)))
+            if any("5" == p.split()[-1] for p in prompts):
+                raise ValueError("five")
+            return [f"答{p[:200]}" for p in prompts]
+
+        return ask
+
+    earlier, want = {}, {}
+    for unit, doc, _, k, part, source, prompt, context in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[4])):
+        en, zh = earlier.get(doc, ("", ""))
+        asked = context.replace(translate.EARLIER[0], en[:300]).replace(translate.EARLIER[1], zh[:300]) if context and len(en) > 30 else prompt
+        want[unit] = None if asked.split()[-1] == "5" else f"答{asked[:200]}"
+        if want[unit] and not (doc == "d0"):
+            earlier[doc] = (source, translate.cleaned(want[unit]))
+    calls = spark.createDataFrame(rows, schema).coalesce(1)
+    got = translate.CallableProvider(load, most=4).in_order(calls).collect()
+    assert {r["unit_id"]: r["output"] for r in got} == want and sum(r["error"] == "five" for r in got) == 1
+    sizes = [int(f.read_text()) for f in log.iterdir()]
+    assert max(sizes) <= 4 and len(sizes) < len(rows)
