@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import Workspace, slices, table
 
 #: Text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: Places that a task packs together, and elements that it puts in order at a time.
 PACK, STEP = 1 << 20, 1 << 21
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -305,7 +305,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, bytes: bool = False)
     ws = Workspace(spark, "bytebpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = ws.save(_blocks(rows, "text", pretokens, "string"), "blocks")
-    found = _packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path)
+    found = ws.save(_packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path), "packs", alone=True)
     if not bytes:
         return _assembled(blocks, found, "ids")
     ranks = {rank: token for token, rank in ranks_of(path).items()}

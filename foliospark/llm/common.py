@@ -16,6 +16,8 @@ _fallback: list[str] = []
 #: Workspaces whose tables are still there.
 _live: list[Workspace] = []
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker whatever the batch.
 SLICE_BYTES = 8 << 20
 
@@ -44,10 +46,18 @@ class Workspace:
         self.n = 0
         _live.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, alone: bool = False) -> DataFrame:
+        """Writes a table and reads it back. alone: nothing else reads the plan's shuffles, so Spark deletes their files at once."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        if alone:
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if alone:
+                self.spark.conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._foliospark_path = path
         return back
