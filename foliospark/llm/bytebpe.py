@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import Workspace, slices, table
 
 #: Text of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Places that a task packs together, and elements that it puts in order at a time.
 PACK, STEP = 1 << 20, 1 << 21
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -158,16 +158,18 @@ class _Block:
         rank[order] = np.arange(len(order))
         sizes = np.concatenate(self.sizes)
         parts = every.dictionary.take(pa.array(order))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)
+        # Two rows: what stays with the block, and what leaves it.
         return pa.record_batch(
             {
-                "block": pa.array([number]), "ids": pa.array([self.ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "places": pa.array([_packed(rank[places])], pa.binary()),
-                "parts": pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts),
+                "block": pa.array([number, number]), "leaves": pa.array([False, True]), "ids": pa.array([self.ids, None], pa.list_(pa.int64())), "sizes": pa.array([sizes, None], pa.list_(pa.int64())),
+                "places": pa.array([_packed(rank[places]), None], pa.binary()), "parts": pa.concat_arrays([pa.nulls(1, listed.type), listed]),
             }
         )
 
 
 def _blocks(rows: DataFrame, column: str, cut: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, pa.Array]], kind: str) -> DataFrame:
-    """A row for each block: (block, ids, sizes, places, parts) of rows (doc_id, column)."""
+    """(block, ids, sizes, places, parts, leaves) of rows (doc_id, column): of each block a row with its documents and places, and one (leaves) with its distinct parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = _Block(), TaskContext.get().partitionId() << 32
@@ -180,7 +182,7 @@ def _blocks(rows: DataFrame, column: str, cut: Callable[[pa.Array], tuple[np.nda
         if own.ids:
             yield own.row(number)
 
-    return rows.mapInArrow(run, f"block long, ids array<long>, sizes array<long>, places binary, parts array<{kind}>")
+    return rows.mapInArrow(run, f"block long, leaves boolean, ids array<long>, sizes array<long>, places binary, parts array<{kind}>")
 
 
 def _gathered(flat: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +291,7 @@ def _assembled(blocks: DataFrame, found: DataFrame, column: str, tokens: Broadca
         return pa.table(out)
 
     schema = f"doc_id long, {column} binary" + (", bytes binary" if tokens else "")
-    own = blocks.select(F.col("block").alias("own"), "ids", "sizes", "places")
+    own = blocks.where("not leaves").select(F.col("block").alias("own"), "ids", "sizes", "places")
     return own.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -304,8 +306,10 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, bytes: bool = False)
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     ws = Workspace(spark, "bytebpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = ws.save(_blocks(rows, "text", pretokens, "string"), "blocks")
-    found = ws.save(_packs(blocks.select("block", F.posexplode("parts").alias("key", "word")), path), "packs", alone=True)
+    blocks = ws.save(_blocks(rows, "text", pretokens, "string"), "blocks", by=("leaves",))
+    words = blocks.where("leaves").select("block", F.posexplode("parts").alias("key", "word"))
+    found = ws.save(_packs(words, path), "packs", alone=True)
+    ws.drop(blocks, "leaves=true")
     if not bytes:
         return _assembled(blocks, found, "ids")
     ranks = {rank: token for token, rank in ranks_of(path).items()}
@@ -323,8 +327,8 @@ def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
         numbers, codes = np.unique(flat.view("<u4"), return_inverse=True)
         return codes, np.concatenate(([0], np.cumsum(size // 4))), pa.array(numbers.astype(np.int32))
 
-    blocks = ws.save(_blocks(ids.select("doc_id", "ids"), "ids", cut, "int"), "blocks")
-    tokens = blocks.select("block", F.posexplode("parts").alias("key", "id"))
+    blocks = ws.save(_blocks(ids.select("doc_id", "ids"), "ids", cut, "int"), "blocks", by=("leaves",))
+    tokens = blocks.where("leaves").select("block", F.posexplode("parts").alias("key", "id"))
     found = tokens.join(F.broadcast(token_bytes(ids.sparkSession, path)), "id", "left").select("block", "key", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
     return _assembled(blocks, found, "bytes")
 

@@ -46,15 +46,15 @@ class Workspace:
         self.n = 0
         _live.append(self)
 
-    def save(self, df: DataFrame, name: str, alone: bool = False) -> DataFrame:
-        """Writes a table and reads it back. alone: nothing else reads the plan's shuffles, so Spark deletes their files at once."""
+    def save(self, df: DataFrame, name: str, alone: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes a table and reads it back, in folders by the columns `by`. alone: nothing else reads the plan's shuffles, so Spark deletes their files at once."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         before = self.spark.conf.get(_CLEANUP, "false")
         if alone:
             self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         finally:
             if alone:
                 self.spark.conf.set(_CLEANUP, before)
@@ -62,9 +62,9 @@ class Workspace:
         back._foliospark_path = path
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a saved table that no later step reads."""
-        self._delete(df._foliospark_path)
+    def drop(self, df: DataFrame, folder: str = "") -> None:
+        """Deletes a saved table that no later step reads, or one of its folders."""
+        self._delete(f"{df._foliospark_path}/{folder}".rstrip("/"))
 
     def _delete(self, path: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
