@@ -93,3 +93,25 @@ def half_up(x: Column) -> Column:
 def percent(done: Column, total: Column) -> Column:
     """Whole percent, 0 if there is nothing to do."""
     return F.when(total > 0, half_up(done * 100.0 / F.greatest(total, F.lit(1)))).otherwise(F.lit(0)).cast("long")
+
+
+def _byte_of_character() -> dict[str, int]:
+    """The byte that a character of byte-level token text stands for: printable ones themselves, the others in order from U+0100."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in itself)}
+
+
+def from_byte_characters(s: Column) -> Column:
+    """Text whose characters stand for bytes (tokens of a byte-level BPE) as the text that the bytes spell.
+
+    Other characters are their own UTF-8 bytes. Bytes that are no UTF-8 become U+FFFD, one for each broken sequence.
+    """
+    table = _byte_of_character()
+    # Each character as Latin-1 of its bytes: one replaced map lookup a character, and one decode of the whole.
+    codes = F.create_map(*(x for c, b in table.items() for x in (F.lit(c), F.lit(f"{b:02X}"))))
+    spelled = F.transform(characters(s), lambda c: F.coalesce(F.try_element_at(codes, c), F.hex(F.encode(c, "UTF-8"))))
+    return F.when(s.isNotNull(), bind(F.unhex(F.array_join(spelled, "")), _decoded))
+
+
+def _decoded(raw: Column) -> Column:
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.make_valid_utf8(raw.cast("string")))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 TYPES = ("text", "title", "text", "equation", "text", "page_number", "image", "text", "sidebar_x", "text", "image_caption")
 SLICE, PER_PAGE = 300, 4
+#: Letters and what stands for them in a made-up Chinese text.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 37 * i) for i in range(26))
+REPEATED = "这段话重复了三次哦"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +58,13 @@ def turn_pairs(spark: SparkSession, sf_dir: str, following: int = 1) -> DataFram
     found = turns.select("conv_id", "turn", "role", F.col("text").alias("t0"), *(F.lead("text", k).over(order).alias(f"t{k}") for k in range(1, following + 1)))
     # What follows costs far more than the few bytes of a turn suggest, so turns are spread over all tasks again.
     return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "conv_id", "turn")
+
+
+def translated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with made-up translations zh: Han characters for letters, six of eight with a fault."""
+    z, k = F.translate("text", LETTERS, HAN), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
+    faults = {2: F.translate(z, "0123456789", ""), 3: F.concat(z, F.lit(REPEATED * 3)), 4: F.concat(F.lit("Translation: "), z), 5: F.left(z, F.lit(10)), 6: F.col("text"), 7: F.lit(" ")}
+    zh = z
+    for i, fault in faults.items():
+        zh = F.when(k == i, fault).otherwise(zh)
+    return read(spark, sf_dir, "conversations").withColumn("zh", zh)

@@ -180,6 +180,20 @@ def fast_gate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.turn_pairs(spark, sf_dir).where("t1 is not null").select("conv_id", "turn", verify.gate_reason(F.col("t0"), target).alias("reason"))
 
 
+@query
+def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with made-up Chinese, so that every reason occurs."""
+    return B.translated_turns(spark, sf_dir).select("conv_id", "turn", verify.gate_reason(F.col("text"), F.col("zh")).alias("reason"))
+
+
+@query
+def adaptive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the adaptive strategy over the same turns; back-translations are the source or nothing like it."""
+    back1, back2 = F.when(F.col("turn") % 3 == 0, "x").otherwise(F.col("text")), F.when(F.col("conv_id") % 2 == 0, "x").otherwise(F.col("text"))
+    rows = B.translated_turns(spark, sf_dir).select("role", verify.outcome(F.col("text"), F.col("zh"), back1, F.col("zh"), back2).alias("o"))
+    return report.verifier_counts(rows, ["role"])
+
+
 @query
 def verify_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as sources, the turns after them as recorded outputs; every third back-translation is the source."""
