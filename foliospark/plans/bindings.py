@@ -15,6 +15,8 @@ SLICE, PER_PAGE = 300, 4
 #: Letters and what stands for them in a made-up Chinese text.
 LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 37 * i) for i in range(26))
 REPEATED = "这段话重复了三次哦"
+#: What is put behind a turn, so that it has spans that a translation must keep.
+SPANS = " See GPU-4 and 42%."
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +63,11 @@ def turn_pairs(spark: SparkSession, sf_dir: str, following: int = 1) -> DataFram
 
 
 def translated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with made-up translations zh: Han characters for letters, six of eight with a fault."""
+    """Turns that end in spans to be kept, with made-up translations zh: Han characters for letters, six of eight with a fault."""
+    turns = read(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(SPANS)))
     z, k = F.translate("text", LETTERS, HAN), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     faults = {2: F.translate(z, "0123456789", ""), 3: F.concat(z, F.lit(REPEATED * 3)), 4: F.concat(F.lit("Translation: "), z), 5: F.left(z, F.lit(10)), 6: F.col("text"), 7: F.lit(" ")}
     zh = z
     for i, fault in faults.items():
         zh = F.when(k == i, fault).otherwise(zh)
-    return read(spark, sf_dir, "conversations").withColumn("zh", zh)
+    return turns.withColumn("zh", zh)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foliospark.operators.titles import HEADING_WORDS
 from foliospark.operators.translate import Templates
-from foliospark.plans.bindings import HAN, LETTERS, REPEATED, TYPES
+from foliospark.plans.bindings import HAN, LETTERS, REPEATED, SPANS, TYPES
 
 _T = Templates()
 _LINES = "SELECT doc_id, i - 1 AS seq, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) t, unnest(range(1, len(l) + 1)) u(i)"
@@ -58,14 +58,13 @@ def _spans(text: str) -> str:
 
 
 def _full_gate(en: str, zh: str) -> str:
-    """All rules. A text repeats itself if 2 p characters are those p places on, for a p from 8 to 30, on one line."""
+    """All rules; `again` says whether the text repeats itself."""
     e, z, tight = f"trim({en}, chr(32) || chr(10))", f"trim({zh}, chr(32) || chr(10))", f"regexp_replace({zh}, '\\s+', '', 'g')"
     c = lambda x: f"length(regexp_replace({x}, '\\s+', '', 'g'))"
     han = f"len(regexp_extract_all({z}, '[\\x{{3400}}-\\x{{9fff}}]'))"
-    again = f"list_bool_or(list_transform(range(8, 31), lambda p: coalesce(list_bool_or(list_transform(range(1, length({z}) - 3 * p + 2), lambda i: substr({z}, i, 2 * p) = substr({z}, i + p, 2 * p) AND NOT contains(substr({z}, i, 3 * p), chr(10)))), false)))"
     return f"""(CASE WHEN {z} = '' OR starts_with({z}, '[ERROR') THEN 'empty_or_error' WHEN regexp_matches({z}, '(?i)^(english|chinese|translation|analysis)\\s*[:：]') THEN 'label_leak'
       WHEN length({e}) < 80 THEN 'short_source' WHEN NOT {c(z)}::DOUBLE / greatest({c(e)}, 1) BETWEEN 0.20 AND 1.25 THEN 'length_ratio'
-      WHEN {han} < 12 OR {han}::DOUBLE / greatest({c(z)}, 1) < 0.25 THEN 'insufficient_chinese' WHEN {again} THEN 'repetition'
+      WHEN {han} < 12 OR {han}::DOUBLE / greatest({c(z)}, 1) < 0.25 THEN 'insufficient_chinese' WHEN again THEN 'repetition'
       WHEN NOT coalesce(list_bool_and(list_transform({_spans(e)}, lambda s: contains({tight}, s))), true) THEN 'protected_span_missing' ELSE 'accepted' END)"""
 
 
@@ -207,9 +206,14 @@ ORACLES["arriving_pairs"] = ORACLES["cross_page_pairs"]
 
 #: Targets as plans.queries makes them: Han characters for letters, and a fault in most.
 _TARGETS = f"""SELECT *, CASE (conv_id + turn) % 8 WHEN 2 THEN translate(z, '0123456789', '') WHEN 3 THEN z || repeat('{REPEATED}', 3) WHEN 4 THEN 'Translation: ' || z WHEN 5 THEN left(z, 10) WHEN 6 THEN text WHEN 7 THEN ' ' ELSE z END AS zh
-FROM (SELECT *, translate(text, '{LETTERS}', '{HAN}') AS z FROM conversations)"""
-ORACLES["gate_reasons"] = f"SELECT conv_id, turn, {_full_gate('text', 'zh')} AS reason FROM ({_TARGETS})"
-ORACLES["adaptive_counts"] = f"""WITH t AS (SELECT *, {_full_gate('text', 'zh')} AS reason, CASE WHEN turn % 3 = 0 THEN 'x' ELSE text END AS b1, CASE WHEN conv_id % 2 = 0 THEN 'x' ELSE text END AS b2 FROM ({_TARGETS})),
+FROM (SELECT *, translate(text, '{LETTERS}', '{HAN}') AS z FROM (SELECT * REPLACE (text || '{SPANS}' AS text) FROM conversations))"""
+#: The same with `again`: 2 p characters are those p places on, for a p from 8 to 30, on one line. Candidates are equal runs of 8 characters.
+_GRAMS = f"""g AS MATERIALIZED (SELECT conv_id, turn, s, i, substr(s, i, 8) AS w FROM (SELECT conv_id, turn, trim(zh, chr(32) || chr(10)) AS s FROM ({_TARGETS})), unnest(range(1, length(s) - 6)) u(i))"""
+_REPEATS = f"""SELECT t.*, k.conv_id IS NOT NULL AS again FROM ({_TARGETS}) t LEFT JOIN (
+  SELECT DISTINCT a.conv_id, a.turn FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.w = b.w
+  WHERE b.i - a.i BETWEEN 8 AND 30 AND a.i + 3 * (b.i - a.i) - 1 <= length(a.s) AND substr(a.s, a.i, 2 * (b.i - a.i)) = substr(a.s, b.i, 2 * (b.i - a.i)) AND NOT contains(substr(a.s, a.i, 3 * (b.i - a.i)), chr(10))) k USING (conv_id, turn)"""
+ORACLES["gate_reasons"] = f"WITH {_GRAMS} SELECT conv_id, turn, {_full_gate('text', 'zh')} AS reason FROM ({_REPEATS})"
+ORACLES["adaptive_counts"] = f"""WITH {_GRAMS}, t AS (SELECT *, {_full_gate('text', 'zh')} AS reason, CASE WHEN turn % 3 = 0 THEN 'x' ELSE text END AS b1, CASE WHEN conv_id % 2 = 0 THEN 'x' ELSE text END AS b2 FROM ({_REPEATS})),
 p AS (SELECT role, length(text) <= 40 AS skip, reason = 'accepted' AS fine, ('0x' || left(sha256(text), 8))::BIGINT % 10000 < 1000 AS audited, {_passes('text', 'b1')} AS p1, {_passes('text', 'b2')} AS p2 FROM t),
 o AS (SELECT *, NOT skip AND fine AND NOT audited AS fast FROM p)
 SELECT role, count(*) AS total, count(*) FILTER (skip OR fast OR p1) AS passed, count(*) FILTER (NOT (skip OR fast OR p1) AND p2) AS retried, count(*) FILTER (NOT (skip OR fast OR p1 OR p2)) AS failed,
