@@ -169,7 +169,7 @@ def cleaned(output: str) -> str:
 
 
 #: Sampling of a call, as a provider gets it.
-SAMPLING = "struct<temperature:double,top_p:double,top_k:int>"
+SAMPLING = "struct<temperature:double,top_p:double,top_k:int,max_tokens:int,seed:bigint>"
 #: Where a prompt has the text before it and its translation.
 EARLIER = ("\ue000en\ue000", "\ue000zh\ue000")
 

@@ -34,7 +34,10 @@ class Pipeline:
         With `context`, a provider that can is asked block after block.
         """
         o = self.options
-        sampling = F.struct(F.lit(o.temperature if temperature is None else temperature).alias("temperature"), F.lit(o.top_p).alias("top_p"), F.lit(o.top_k).alias("top_k")).alias("sampling")
+        # As many tokens as the kind of answer may take.
+        most = F.lit(o.field_tokens if kind == "field" else o.back_tokens) if not kind.startswith("zh") else F.when(F.col("kind") == "short", o.short_tokens).otherwise(o.normal_tokens)
+        values = {"temperature": F.lit(o.temperature if temperature is None else temperature), "top_p": F.lit(o.top_p), "top_k": F.lit(o.top_k), "max_tokens": most, "seed": F.lit(o.seed).cast("long")}
+        sampling = F.struct(*(v.alias(k) for k, v in values.items())).alias("sampling")
         ordered = context is not None and o.context and hasattr(self.provider, "in_order")
         more = ["doc_id", "page", "seq", "part", "source", context.alias("context")] if ordered else []
         calls = units.select("unit_id", F.concat_ws("/", "unit_id", F.lit(kind)).alias("call"), prompt.alias("prompt"), sampling, *more)

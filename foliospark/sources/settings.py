@@ -16,6 +16,13 @@ class TranslatorOptions:
     retry_temperature: float = 0.05
     top_p: float = 0.6
     top_k: int = 20
+    #: Most tokens of an answer: of a short text, of any other, of a back-translation, of the field.
+    short_tokens: int = 128
+    normal_tokens: int = 512
+    back_tokens: int = 256
+    field_tokens: int = 64
+    #: What a provider begins its random numbers with; none leaves that to it.
+    seed: int | None = None
     #: Whether prompts have the block before, which asks for a document's blocks one after another.
     context: bool = True
 

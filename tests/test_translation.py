@@ -154,15 +154,17 @@ def test_blocks_are_asked_in_order_with_context_and_sampling(spark, tmp_path):
     def load():
         def model(prompts, sampling):
             # Names what it was asked, so that answers show the prompts; the field is an answer, too.
-            return [json.dumps([sampling["temperature"], sampling["top_k"], p.count("甲"), [k for k in "abc" if f"Paragraph {k}" in p]]) + "甲" for p in prompts]
+            return [json.dumps([sampling["temperature"], sampling["top_k"], p.count("甲"), [k for k in "abc" if f"Paragraph {k}" in p], sampling["max_tokens"], sampling.get("seed")]) + "甲" for p in prompts]
 
         return model
 
-    p = Pipeline(translate.CallableProvider(load), str(tmp_path))
+    p = Pipeline(translate.CallableProvider(load), str(tmp_path), TranslatorOptions(seed=7))
     rows = p.run(ocr).orderBy("doc_id", "seq").collect()
     first = {r["unit_id"]: json.loads(r["output"][:-1]) for r in spark.read.parquet(f"{tmp_path}/answers-zh1").collect()}
     for d in ("d", "e"):
-        assert [first[f"{d}/1/{k}/0/zh1"] for k in range(3)] == [[0.3, 20, 1, ["a"]], [0.3, 20, 2, ["a", "b"]], [0.3, 20, 2, ["b", "c"]]]
+        assert [first[f"{d}/1/{k}/0/zh1"] for k in range(3)] == [[0.3, 20, 1, ["a"], 512, 7], [0.3, 20, 2, ["a", "b"], 512, 7], [0.3, 20, 2, ["b", "c"], 512, 7]]
+    limits = lambda name: {tuple(json.loads(r["output"][:-1])[4:]) for r in spark.read.parquet(f"{tmp_path}/answers-{name}").collect()}
+    assert (limits("back1"), limits("zh2"), limits("field")) == ({(256, 7)}, {(512, 7)}, {(64, 7)})
     again = [json.loads(r["output"][:-1]) for r in spark.read.parquet(f"{tmp_path}/answers-zh2").collect()]
     assert len(again) == 6 and {x[0] for x in again} == {0.05}
     assert [r["verified"] for r in rows] == [False] * 6
