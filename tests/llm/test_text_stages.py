@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -84,6 +85,34 @@ def test_pii(docs_of, odd):
     assert clean.columns == docs.columns and [(r["text"], r["n_chars"]) for r in clean.orderBy("doc_id").collect()] == [("[EMAIL], [IP]", 13), (None, None), ("x", 1)]
 
 
+def test_pii_with_many_spans(spark, docs_of):
+    """Places, overlaps and redaction of thousands of spans in a text, against plain Python; an empty table."""
+    random.seed(11)
+    bits = ["a@b.cc", "1.2.3.4", "+49 30 1234567", "4845168114407329", "tel 030 1234 5678", "phone 030 1234 5678@x.yy", "é😀", "word " * 300, "\n", "IBAN DE89 3704 0044 0532 0130 00"]
+    for size in (1, 127, 128, 129, 3000):
+        text = " ".join(random.choice(bits) for _ in range(size))
+        docs = docs_of([(1, text)])
+        row = pii.scan(docs).first()
+        assert {k: [(s["start"], s["end"]) for s in row[f"_{k}"]] for k in pii.BASE} == base_spans(text)
+        base = [(s["start"], s["end"]) for k in pii.BASE for s in row[f"_{k}"]]
+        for kind in pii.KINDS[4:]:
+            for m in re.finditer(pii._PATTERNS[kind].replace("}+", "}").replace("?+", "?"), text):
+                near = re.search(pii.CONTEXT_WORDS[kind].replace("(?i)", ""), text[max(0, m.start() - 12) : m.start()], re.IGNORECASE)
+                free = not any(a < m.end() and m.start() < b for a, b in base)
+                assert ((m.start(), m.end()) in [(s["start"], s["end"]) for s in row[f"_{kind}"]]) == bool(near and free)
+        want, at = "", 0
+        for a, b, k in sorted((s["start"], s["end"], k) for k in pii.KINDS for s in row[f"_{k}"]):
+            if a >= at:
+                want += text[at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        assert pii.redacted(docs).first()["text"] == want + text[at:]
+    assert pii.scan(docs_of([(1, "x")]).limit(0)).collect() == [] == pii.redacted(docs_of([(1, "x")]).limit(0)).collect()
+    many = docs_of([(1, "a@b.cc, " * 16_000)])
+    start = time.monotonic()
+    assert len(pii.redacted(many).first()["text"]) == 16_000 * len("[EMAIL], ")
+    assert time.monotonic() - start < 10
+
+
 def test_windows_with_the_same_key(monkeypatch):
     """Windows whose keys collide are told apart by their words."""
     monkeypatch.setattr(decontaminate, "_keys", lambda ids: np.full(len(ids), 7, np.uint64))
