@@ -1,11 +1,13 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors of a label become one point with a weight, so copies cost nothing more. Points are dealt to overlapping
-cluster shards: a point is at home at its nearest centre and a guest at the next OVERLAP - 1, and, if it is close to its
-centre, wherever a point it links to can be at home; centres are a bounded sample of the points of each label. Within a
-shard the graph is built on overlapping clusters again (exact neighbours within a cluster, pruned robustly, lists
-united), and every point at home is searched greedily from the shard's medoid and its own node. The range grows from
-each point found within the threshold until no new one appears. Each link is verified in double precision.
+cluster shards: a point is at home at its nearest centre and a guest at every other centre whose bisecting plane with
+the home's it is within half the longest link of. Of two linked points with different homes at least one is that near the
+plane between these, so it is a guest at the other's home and dealing loses no link. Centres are a bounded sample of the
+points of each label. Within a shard the graph is built on overlapping clusters again (exact neighbours within a
+cluster, pruned robustly, lists united), and every point at home is searched greedily from the shard's medoid and its
+own node. The range grows from each point found within WIDER times the threshold's angle until no new one appears. Each link
+is verified in double precision.
 
 Links are counted where they are found, and no pair leaves a shard. Two points with the same home count each other. Of
 two with different homes, the home of the point with the smaller number counts for both if the other is a guest there,
@@ -30,12 +32,16 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import Workspace, connected_components, table
 
 THRESHOLD = 0.98
-#: Points a centre has at home on average, centres in all at most (16 MB at 64 dimensions), shards a point goes to.
-SHARD, MAX_CENTRES, OVERLAP = 250, 1 << 15, 2
+#: Points a centre has at home on average, centres in all at most (16 MB at 64 dimensions).
+SHARD, MAX_CENTRES = 250, 1 << 15
 #: Similarities that dealing holds at once.
 HELD = 1 << 22
+#: What single sums of products may be off by.
+ROUNDING = 1e-9
 #: Neighbours that a node keeps, how much nearer a neighbour must be to another to be dropped, beam of the greedy search.
-DEGREE, ALPHA, BEAM = 16, 1.2, 16
+DEGREE, ALPHA, BEAM = 24, 1.2, 24
+#: How much further than the threshold's angle the range grows, so that points which are linked only by way of others outside it are reached.
+WIDER = 1.25
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -102,6 +108,7 @@ def _reverse(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """(query, points within the threshold of it) by beam search from the medoid and the query's node, then by growing the range."""
     n = len(x)
+    wide = float(np.cos(min(np.pi, WIDER * np.arccos(threshold))))
     first, back = _reverse(graph)
     for at in range(0, len(queries), 256):
         q = queries[at : at + 256]
@@ -131,9 +138,9 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, t
             was = np.concatenate([done, np.zeros(around.shape, bool)], axis=1)
             best = np.argpartition(-val, BEAM - 1, axis=1)[:, :BEAM]
             beam, value, done = (np.take_along_axis(a, best, 1) for a in (all_, val, was))
-        # Range growth: neighbours of what is within the threshold, until none is new.
+        # Range growth: neighbours of what is within the wider range, until none is new.
         for i, point in enumerate(q):
-            front = beam[i][value[i] >= threshold]
+            front = beam[i][value[i] >= wide]
             found, known = [front], np.zeros(n, bool)
             known[front] = True
             while len(front):
@@ -143,9 +150,10 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, medoid: int, t
                 around = np.unique(around[around >= 0])
                 around = around[~known[around]]
                 known[around] = True
-                front = around[x[around] @ x[point] >= threshold]
+                front = around[x[around] @ x[point] >= wide]
                 found.append(front)
             hits = np.unique(np.concatenate(found))
+            hits = hits[(x[hits] * x[point]).sum(axis=1) >= threshold]
             yield int(point), hits[hits != point]
 
 
@@ -188,18 +196,16 @@ def links(ws: Workspace, points: DataFrame, threshold: float = THRESHOLD) -> tup
     for (label, size), g in chosen.assign(size=chosen.v.map(len)).groupby(["label", "size"]):
         centres[label, size] = (g.pid.to_numpy(np.int64), _unit(np.array(g.v.tolist(), float)))
     sent = spark.sparkContext.broadcast(centres)
-    reach = float(np.arccos(threshold))
+    half = float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2
 
     def place(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which shards each point goes to, and its home."""
         sims = x @ c.T
         best = sims.argmax(axis=1)
-        k = min(OVERLAP, sims.shape[1])
-        goes = sims >= np.partition(sims, -k, axis=1)[:, -k][:, None]
-        # Close to a centre: also to all others that a linked point can be at home at, by the triangle inequality.
-        own = np.arccos(np.clip(sims.max(axis=1), -1, 1))
-        close = np.flatnonzero(own <= 2 * reach)
-        goes[close] |= np.arccos(np.clip(sims[close], -1, 1)) <= (own[close] + 2 * reach)[:, None]
+        # (own - sims) / apart is how far a point is from the plane between its home and a centre.
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c[best] @ c.T)))
+        goes = sims.max(axis=1)[:, None] - sims <= half * apart + ROUNDING
+        goes[np.arange(len(x)), best] = True
         return goes, best
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +246,6 @@ def links(ws: Workspace, points: DataFrame, threshold: float = THRESHOLD) -> tup
             graph = build(x)
             medoid = int((x @ x.mean(axis=0)).argmax())
             for i, hits in search(x, graph, np.flatnonzero(home), medoid, threshold):
-                hits = hits[(x[hits] * x[i]).sum(axis=1) >= threshold]
                 if not len(hits):
                     continue
                 here, guests = hits[home[hits]], hits[~home[hits]]

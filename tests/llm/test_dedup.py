@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,3 +180,16 @@ def test_embeddings_rows_and_dense_groups(spark, monkeypatch):
         low[group[k]] = min(low.get(group[k], 1 << 60), rows[k][0])
     want = sorted(((i, count[k], low[group[k]] if k in good else i) for k, (i, _, _) in enumerate(rows)), key=str)
     assert len(linked) > 5000 and got == want
+
+
+@pytest.mark.parametrize("shard", [25, 250])
+def test_embeddings_lose_no_link_between_shards(spark, monkeypatch, shard):
+    """Overlapping Gaussian groups, cut through by many shards, against brute force."""
+    monkeypatch.setattr(embeddings, "SHARD", shard)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 64)) * 0.135
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert near.sum() > 100_000 and got == dict(enumerate((near.sum(axis=1) - 1).tolist()))
