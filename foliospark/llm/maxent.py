@@ -121,6 +121,15 @@ class Vocabulary:
         return (*out, ends + np.arange(n + 1), codes, words, place)
 
 
+#: Sums of rows by a product.
+_ONES = np.ones(SIDE, np.float32)
+
+
+def _rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at]; every number is in range, so that nothing is copied twice."""
+    return values.take(at, axis=0, mode="clip")
+
+
 def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of whole documents of about PIECE tokens: (first document, end)."""
     at = 0
@@ -165,16 +174,16 @@ class Weights:
 
     def summed(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
         """What goes into the softmax, far within what exp can do in single precision."""
-        z = self.rows[rows[0]]
+        z = _rows(self.rows, rows[0])
         for r in rows[1:]:
-            z += self.rows[r]
+            z += _rows(self.rows, r)
         z += bias
         return np.clip(z, -60, 60, out=z)
 
     def softmax(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
         z = self.summed(rows, bias)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ _ONES)[:, None]
         return z
 
     def log10(self, cell: np.ndarray, feature: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -186,10 +195,10 @@ class Weights:
         for (own, before, truth, rows), bias in zip(self.features(feature, ends, cell), self.bias, strict=True):
             for at in range(0, len(own), BATCH):
                 cut = slice(at, at + BATCH)
-                z = self.summed([r[cut] for r in rows], bias[before[cut]])
+                z = self.summed([r[cut] for r in rows], _rows(bias, before[cut]))
                 right = z[np.arange(len(z)), truth[cut]]
                 np.exp(z, out=z)
-                out[own[cut]] += (right - np.log(z.sum(axis=1))) / np.log(10)
+                out[own[cut]] += (right - np.log(z @ _ONES)) / np.log(10)
         return out
 
 
@@ -207,7 +216,7 @@ class Trainer:
         for (own, before, truth, rows), bias in zip(self.w.features(feature, ends, cell), self.w.bias, strict=True):
             for at in range(0, len(own), BATCH):
                 cut = slice(at, at + BATCH)
-                g = self.w.softmax([r[cut] for r in rows], bias[before[cut]])
+                g = self.w.softmax([r[cut] for r in rows], _rows(bias, before[cut]))
                 g[np.arange(len(g)), truth[cut]] -= 1
                 for r in rows:
                     r = r[cut]
@@ -217,7 +226,7 @@ class Trainer:
                     first = np.flatnonzero(np.diff(ordered, prepend=-1))
                     row = ordered[first]
                     # Two numbers at a time: the sums of real and imaginary parts are apart.
-                    grad = np.add.reduceat(g[order].view(np.complex64), first, axis=0).view(np.float32)
+                    grad = np.add.reduceat(_rows(g, order).view(np.complex64), first, axis=0).view(np.float32)
                     square = self.sum[row] + np.einsum("ij,ij->i", grad, grad) / SIDE
                     self.sum[row] = square
                     grad *= (RATE / np.sqrt(square))[:, None]
