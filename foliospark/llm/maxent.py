@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax, distributed gradients.
 
 P(token | context) = P(super class) P(class | super class) P(cell | class) P(token | cell). The first three are softmaxes
-that sum hashed weight rows of the last word, the one before it (a skip) and the last two together; every word has hashed
+that sum hashed weight rows of the last word, the two before it (skips) and the last two together; every word has hashed
 features, however rare it is. The SINGLES most frequent tokens, the end token among them, are classes of their own; all
 other words fall into classes by their last bytes and into cells of a class by the hash of the word. P(word | cell) is
 from the counts of all training words, with a share for unseen words by Good and Turing (words seen once over all words
@@ -35,15 +35,15 @@ from foliospark.llm.common import Workspace, byte_hashes, hashed_words, slices,
 HEAD, SINGLES, SUFFIXES = 1 << 18, 128, 128
 SIDE = 16
 CELLS = SIDE**3
-#: Rows of a weight table, in units, for the last word, the last two, and the word before the last (a skip); of each level.
-SHARES, LEVELS = (2, 2, 1), (1, 4, 4)
-#: Kinds that each level uses: cells of a class have no skips.
-KINDS = (3, 3, 2)
-#: Least and most rows of a unit (24 MB of weights at the most), tokens for each of its rows.
-LEAST_UNIT, MOST_UNIT, UNIT_TOKENS = 1 << 12, 1 << 13, 8192
+#: Rows of a weight table, in units, for the last word, the last two, and the two words before the last (skips); of each level.
+SHARES, LEVELS = (2, 2, 1, 1), (1, 4, 4)
+#: Least and most rows of a unit (57 MB of weights at the most), tokens for each of its rows.
+LEAST_UNIT, MOST_UNIT, UNIT_TOKENS = 1 << 12, 1 << 14, 8192
 #: Least count of a word that has features of its own; rarer ones share those of their class.
 OFTEN = 8
-BATCH, RATE, FIRST, TASK_TOKENS, BLOCK, FAN = 32_768, 0.1, 0.1, 1_000_000, 4096, 16
+#: Bits of a place within a batch of tokens.
+PLACE = 15
+BATCH, RATE, FIRST, TASK_TOKENS, BLOCK, FAN = 1 << PLACE, 0.1, 0.1, 1_000_000, 4096, 16
 #: Tokens whose features are held at once.
 PIECE = 1 << 17
 END = ""
@@ -52,7 +52,7 @@ END = ""
 def scale(tokens: int) -> tuple[int, int, int]:
     """(rows of a unit, rounds, tokens of a task) for so many training tokens."""
     unit = min(MOST_UNIT, max(LEAST_UNIT, 1 << max(0, tokens // UNIT_TOKENS).bit_length()))
-    return unit, max(3, (tokens >> 24).bit_length()), TASK_TOKENS * unit // LEAST_UNIT
+    return unit, max(3, (tokens >> 23).bit_length()), TASK_TOKENS * unit // LEAST_UNIT
 
 
 def _train() -> Column:
@@ -147,25 +147,25 @@ class Weights:
         for level in range(3):
             c = np.maximum(total, 0).reshape(SIDE**level, SIDE, -1).sum(axis=2) + 0.5
             self.bias.append(np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32))
-        self.rows = np.zeros((unit * sum(n * sum(SHARES[:k]) for n, k in zip(LEVELS, KINDS, strict=True)), SIDE), np.float32)
+        self.rows = np.zeros((unit * sum(SHARES) * sum(LEVELS), SIDE), np.float32)
 
     def features(self, feature: np.ndarray, ends: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """Of each level: the tokens that it decides on, what is chosen before it, the truth, and the weight rows of each kind."""
         within = np.arange(len(feature)) - np.repeat(ends[:-1], np.diff(ends))
         back = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             p = np.zeros(len(feature), np.int64)
             p[k:] = feature[:-k]
             p[within < k] = 0
             back.append(p)
-        keys = [_mix(1, back[0]), _mix(2, back[0], back[1]), _mix(3, back[1])]
+        keys = [_mix(1, back[0]), _mix(2, back[0], back[1]), _mix(3, back[1]), _mix(4, back[2])]
         at = 0
         for level, times in enumerate(LEVELS):
             # Tokens with a class of their own have no cells.
             own = np.flatnonzero(cell >= SINGLES * SIDE) if level == 2 else np.arange(len(cell))
             before = cell[own] // SIDE ** (3 - level)
             rows = []
-            for key, share in zip(keys[: KINDS[level]], SHARES, strict=False):
+            for key, share in zip(keys, SHARES, strict=True):
                 mixed = _mix(5 + level, key[own] >> np.uint64(8), before) if level else key[own]
                 n = self.unit * share * times
                 rows.append((mixed & np.uint64(n - 1)).astype(np.int32) + np.int32(at))
@@ -220,9 +220,9 @@ class Trainer:
                 g[np.arange(len(g)), truth[cut]] -= 1
                 for r in rows:
                     r = r[cut]
-                    low = r - r.min()
-                    order = np.argsort(low.astype(np.uint16) if low.max() < 1 << 16 else low, kind="stable")
-                    ordered = r[order]
+                    # Row and place in one number: sorting numbers is faster than sorting places by rows.
+                    both = np.sort((r.astype(np.int64) << PLACE) | np.arange(len(r)))
+                    order, ordered = both & (BATCH - 1), both >> PLACE
                     first = np.flatnonzero(np.diff(ordered, prepend=-1))
                     row = ordered[first]
                     # Two numbers at a time: the sums of real and imaginary parts are apart.

@@ -376,13 +376,13 @@ def test_maxent_score_by_hand():
     for i, t in enumerate([*tokens, maxent.END]):
         c = int(v.cell[at[i]]) if at[i] is not None else int(maxent.cells_of(pa.array([t]))[0])
         assert cell[i] == c
-        back = [ids[i - k] if i >= k else 0 for k in (1, 2)]
-        keys = [mix(1, back[0]), mix(2, back[0], back[1]), mix(3, back[1])]
+        back = [ids[i - k] if i >= k else 0 for k in (1, 2, 3)]
+        keys = [mix(1, back[0]), mix(2, back[0], back[1]), mix(3, back[1]), mix(4, back[2])]
         total, first = 0.0, 0
         for level, times in enumerate(maxent.LEVELS):
             before, truth = c // 16 ** (3 - level), c // 16 ** (2 - level) % 16
             z = w.bias[level][before].astype(float)
-            for key, share in zip(keys[: maxent.KINDS[level]], maxent.SHARES, strict=False):
+            for key, share in zip(keys, maxent.SHARES, strict=True):
                 n = w.unit * share * times
                 z = z + w.rows[first + ((mix(5 + level, key >> 8, before) if level else key) & (n - 1))]
                 first += n
