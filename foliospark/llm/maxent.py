@@ -327,6 +327,7 @@ def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, Vocabulary, Weight
     least = min(fits, default=1 << 30)
     head = sorted(counts.where((_step() >= least) | (F.col("word") == END)).select("c", "word").toArrow().to_pylist(), key=lambda r: (-r["c"], r["word"]))
     vocabulary = Vocabulary([r["word"] for r in head], [r["c"] for r in head], totals)
+    del head
     unit, rounds, task_tokens = scale(int(tokens))
     weights = Weights(vocabulary.total, unit)
     lexicon = spark.sparkContext.broadcast(vocabulary)
@@ -345,14 +346,12 @@ def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, Vocabulary, Weight
 
         own = _docs(docs).where(_train() & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)).select("text")
         own = own.coalesce(tasks)
-        changes = _mean(own.mapInArrow(walk, _CHANGES), tasks).collect()
-        after = copy.copy(weights)
-        after.rows = weights.rows.copy()
-        for r in changes:
+        # A partition at a time; the tasks have the weights as they were sent, so they may change here.
+        for r in _mean(own.mapInArrow(walk, _CHANGES), tasks).toLocalIterator():
             row = np.frombuffer(r["row"], np.uint16).astype(np.int64) + r["block"] * BLOCK
-            after.rows[row] += np.frombuffer(r["change"], np.float16).reshape(-1, SIDE)
-        weights = after
+            weights.rows[row] += np.frombuffer(r["change"], np.float16).reshape(-1, SIDE)
         sent.destroy()
+    lexicon.destroy()
     return counts.where((_step() < least) & (F.col("word") != END)), vocabulary, weights, int(tokens), int(distinct)
 
 
