@@ -338,7 +338,7 @@ def train(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, Vocabulary, Weight
         def walk(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(sent.value)
             for batch in batches:
-                for part in slices(batch, "text", 6 << 20):
+                for part in slices(batch, "text", 3 << 20):
                     _, cell, feature, ends, *_ = lexicon.value.encode(part)
                     for i, j in _pieces(ends):
                         trainer.step(cell[ends[i] : ends[j]], feature[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
@@ -369,7 +369,7 @@ def scored(docs: DataFrame) -> DataFrame:
         inside = np.append(v.inside, 0.0)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text", 6 << 20):
+            for part in slices(batch, "text", 3 << 20):
                 known, cell, feature, ends, codes, words, place = v.encode(part)
                 own = w.log10(cell, feature, ends) + inside[known]
                 n = part.num_rows
