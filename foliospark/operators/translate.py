@@ -62,11 +62,11 @@ def prompt(text: Column, direction: Column, prev_en: Column, prev_zh: Column, te
     )
 
 
-def abstract_of(rows: DataFrame) -> DataFrame:
-    """(doc_id, abstract): the longest text block of the first page that is no heading, the first of equals."""
+def abstract_of(rows: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(doc_id, abstract): the longest text block of the first page that is no heading (is_pseudo_title), the first of equals."""
     from foliospark.operators.titles import is_pseudo_title
 
-    first = rows.where((F.col("page") == 1) & (F.col("type") == "text")).where(~is_pseudo_title(F.col("en")))
+    first = rows.where((F.col("page") == 1) & (F.col("type") == "text")).where(~is_pseudo_title(F.col("en"), ascii_only=ascii_only))
     return first.groupBy("doc_id").agg(F.max_by(F.left("en", F.lit(ABSTRACT)), F.struct(F.length("en"), -F.col("seq"))).alias("abstract"))
 
 
