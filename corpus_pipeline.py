@@ -20,8 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id: similarity of 0.8 over shingles of five words.
 
-    Fingerprints of 64 bits differ by 10 bits on average at 0.8, where a vantage-point tree has nothing to prune; candidates
-    come from minima of the shingles' hash values instead, and each link is verified (README).
+    Operator 1's fingerprints and vantage-point shards give the close pairs. At 0.8 fingerprints differ by 10 bits of 64 on
+    average, where such a tree has nothing to prune; pairs that it leaves out are found by minima of the shingles' hash
+    values and by rare shingles. Each link is verified (README).
     """
     return minhash.deduplicated(docs, shingle=5)
 

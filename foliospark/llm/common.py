@@ -110,6 +110,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    # A worker that waits for its next task would keep what Arrow has freed.
+    pa.default_memory_pool().release_unused()
 
 
 def space_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -29,8 +29,8 @@ SEED = 42
 SAMPLE, LEAF, LEAVES = 1 << 20, 1000, 1 << 16
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
-    """Unsigned 64-bit fingerprints: bit i is set if over half of the shingles' hash values have it."""
+def shingle_hashes(texts: list[str | None], shingle: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all texts, one text after the other, and how many each text has."""
     import xxhash
 
     one, join = xxhash.xxh64_intdigest, b" ".join
@@ -44,10 +44,18 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
         elif words:
             hashes.append(one(join(words), SEED))
             sizes[i] = 1
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
+    return np.array(hashes, np.uint64), sizes
+
+
+def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
+    """Unsigned 64-bit fingerprints: bit i is set if over half of the shingles' hash values have it."""
+    return fingerprints(*shingle_hashes(texts, shingle))
+
+
+def fingerprints(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes), np.uint64)
+    if not len(h):
         return out
-    h = np.array(hashes, np.uint64)
     first = np.cumsum(sizes) - sizes
     full = np.flatnonzero(sizes)
     # One byte counts a bit of up to 255 shingles, eight bytes to a word of 64 bits.
@@ -102,33 +110,34 @@ def route(tree: tuple | int, points: np.ndarray, at: np.ndarray, radius: int) ->
     yield from route(outside, points, at[d > m], radius)
 
 
-def forest(points: np.ndarray, ids: np.ndarray, radius: int, leaf: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges (smaller id, id) that join all points within the radius, given those that meet in one leaf."""
+def forest(points: np.ndarray, ids: np.ndarray, radius: int, leaf: int = 4096, direct: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (smaller id, id) that join all points within the radius, given those that meet in one leaf. direct: edges from a point within the radius."""
     if len(points) > leaf:
         tree = build_tree(points[:: max(1, len(points) // 4096)], 512, radius, [])
         if isinstance(tree, tuple):
             for _, at in route(tree, points, np.arange(len(points)), radius):
                 if len(at) < len(points):
-                    yield from forest(points[at], ids[at], radius, max(leaf, len(at) // 2))
+                    yield from forest(points[at], ids[at], radius, max(leaf, len(at) // 2), direct)
                 else:
-                    yield from forest(points, ids, radius, len(points))
+                    yield from forest(points, ids, radius, len(points), direct)
             return
     order = np.argsort(ids)
     points, ids = points[order], ids[order]
     left, left_ids = points, ids
     while len(left):
-        root, todo = left_ids[0], [left[0]]
+        root, todo = left_ids[0], [(left[0], left_ids[0])]
         left, left_ids = left[1:], left_ids[1:]
-        found = []
+        by, found = [], []
         while todo and len(left):
-            near = distances(todo.pop(), left) <= radius
+            point, own = todo.pop()
+            near = distances(point, left) <= radius
             if near.any():
-                todo.extend(left[near])
+                todo.extend(zip(left[near], left_ids[near], strict=True))
                 found.append(left_ids[near])
+                by.append(np.full(len(found[-1]), own if direct else root))
                 left, left_ids = left[~near], left_ids[~near]
         if found:
-            found = np.concatenate(found)
-            yield np.full(len(found), root), found
+            yield np.concatenate(by), np.concatenate(found)
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -142,8 +151,8 @@ def fingerprint_table(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between representatives that connect all of `fps` (fp long, rep long; fp distinct) within the radius."""
+def near_links(ws: Workspace, fps: DataFrame, radius: int = 2, direct: bool = False) -> DataFrame:
+    """Edges (u, v) between representatives that connect all of `fps` (fp long, rep long; fp distinct) within the radius; direct: each between two within it."""
     spark = ws.spark
     n = fps.count()
     share = min(0.25, SAMPLE / max(1, n))
@@ -166,7 +175,7 @@ def near_links(ws: Workspace, fps: DataFrame, radius: int = 2) -> DataFrame:
 
         def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fp, rep = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("fp", "rep"))
-            for u, v in forest(fp.view(np.uint64), rep, radius):
+            for u, v in forest(fp.view(np.uint64), rep, radius, direct=direct):
                 yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
         current, held = None, []

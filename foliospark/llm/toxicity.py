@@ -43,6 +43,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 MIN_SUPPORT, MIN_SHARE = 4, 0.003
 #: Features that a task counts before it hands the counts on.
 COUNTED = 1 << 19
+#: Text bytes that a worker takes apart at once.
+HELD = 1 << 20
 #: Least log-odds of a candidate between toxic and other rows.
 MIN_ODDS = 2.5
 
@@ -349,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             return out
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", HELD):
                 codes, ends, words = space_words(part.column("text"), lower=False)
                 own = [features_of(t) for t in words.to_pylist()]
                 for i, y in enumerate(part.column("y").to_pylist()):
@@ -373,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def look(batches: Iterator[pa.RecordBatch], sent=spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})) -> Iterator[pa.RecordBatch]:
         starts = _starts(sent.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HELD):
                 hits = [np.array(sorted(own), np.uint32).tobytes() for _, own, *_ in _hits(part, sent.value, starts)]
                 yield pa.record_batch({"y": part.column("y"), "hits": pa.array(hits, pa.binary())})
 
@@ -388,7 +390,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         """Vote patterns with their counts, handed on whenever there are many."""
         count: Counter = Counter()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HELD):
                 count.update(v.astype(np.uint16).tobytes() for v, _, _ in sent.value.of(part))
                 if len(count) > COUNTED:
                     yield pa.record_batch({"votes": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
@@ -397,7 +399,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HELD):
                 got = list(sent.value.of(part))
                 yield pa.record_batch({"votes": pa.array([v.tolist() for v, _, _ in got], pa.list_(pa.int32())), "buckets": pa.array([b.tolist() for _, b, _ in got], pa.list_(pa.int32())), "more": pa.array([m for _, _, m in got], pa.list_(pa.float64()))})
 
@@ -415,7 +417,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HELD):
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(sent.value.scores(part))})
 
     return (
@@ -431,7 +433,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HELD):
                 yield part.filter(pa.array(sent.value.scores(part) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from foliospark.llm import minhash
+from foliospark.llm import minhash, simhash
 
 
 def shingles(text):
@@ -66,3 +68,42 @@ def test_bands_agree_as_often_as_they_should():
         agree += int((bands[0] == bands[1]).sum())
     # 80 of 100 shingles are common: a band agrees with chance 0.8^6.
     assert abs(agree / (200 * minhash.BANDS) - 0.8**6) < 0.03
+
+
+def test_stage_takes_close_pairs_from_the_vantage_point_shards(spark, docs_of, monkeypatch):
+    random.seed(6)
+    base = [[f"w{random.randint(0, 9999)}" for _ in range(150)] for _ in range(30)]
+    rows = [(3 * i + k, " ".join([*words, *(["changed"] * k)])) for i, words in enumerate(base) for k in range(3)]
+    dealt, near_links = [], simhash.near_links
+
+    def seen(ws, fps, radius, direct):
+        out = near_links(ws, fps, radius, direct)
+        dealt.append((fps, radius, out))
+        return out
+
+    monkeypatch.setattr(simhash, "near_links", seen)
+    kept = corpus_pipeline.simhash_stage(spark, docs_of(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [3 * i for i in range(30)]
+    (fps, radius, pairs), = dealt
+    of = {r["rep"]: r["fp"] for r in fps.collect()}
+    assert set(of.values()) == set(simhash.fingerprints_of([t for _, t in rows], 5).view(np.int64).tolist())
+    pairs = [(r["u"], r["v"]) for r in pairs.collect()]
+    assert pairs and all(((of[u] ^ of[v]) & (2**64 - 1)).bit_count() <= radius for u, v in pairs)
+
+
+def test_direct_edges_are_within_the_radius_and_join_the_same():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 40, np.uint64)
+    points = np.unique(np.concatenate([b ^ np.concatenate(([0], np.cumsum(1 << rng.choice(60, 4, replace=False)))).astype(np.uint64) for b in base]))
+    ids = rng.permutation(len(points))
+
+    def components(edges):
+        root = np.arange(len(points))
+        for a, b in edges:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+    edges = {d: [(int(a), int(b)) for u, v in simhash.forest(points, ids, 2, leaf=64, direct=d) for a, b in zip(u, v, strict=True)] for d in (False, True)}
+    at = np.argsort(ids)
+    assert edges[True] and all(simhash.distances(points[at[a]], points[at[b]]) <= 2 for a, b in edges[True])
+    assert components(edges[True]) == components(edges[False]) and max(map(len, components(edges[True]))) > 1
