@@ -56,6 +56,11 @@ def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def replayed(table: DataFrame, folder: str, name: str, batches: int, *by) -> DataFrame:
-    """A table as a stream: written in `batches` files dealt by the columns `by`, of which each micro-batch reads one."""
-    table.repartition(batches, *by).write.parquet(f"{folder}/{name}")
-    return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/{name}")
+    """A table as a stream: dealt by the columns `by` to one file a shuffle partition, `batches` at least, which arrive in `batches` micro-batches.
+
+    A file is one task's work, so `by` should spread the rows.
+    """
+    spark, path = table.sparkSession, f"{folder}/{name}"
+    table.repartition(max(batches, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by).write.parquet(path)
+    files = len(spark.read.schema(table.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", str(max(1, -(-files // batches)))).parquet(path)

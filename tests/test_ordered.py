@@ -85,3 +85,18 @@ def test_pages_in_any_order_give_the_rows_and_pairs_of_the_batch(spark, tmp_path
     runs.write(met, f"{tmp_path}/pairs-out", f"{tmp_path}/pairs-check").awaitTermination()
     want = tuples(pairs.cross_page_pairs(whole))
     assert tuples(runs.written(spark, f"{tmp_path}/pairs-out", met)) == want and want
+
+
+def test_a_replayed_table_has_files_of_a_bounded_size(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        # One page a document, as most have: the page alone would put all rows into one file.
+        stream = runs.replayed(spark.range(6000).select("id", F.lit(1).alias("page")), str(tmp_path), "t", 3, F.col("id"), F.col("page"))
+        runs.write(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = spark.read.parquet(f"{tmp_path}/t").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in got) == 6000 and max(r["count"] for r in got) < 6000 / 12
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("id").distinct().count() == 6000 and out.select("batch").distinct().count() == 3
