@@ -36,6 +36,8 @@ THRESHOLD = 0.98
 SHARD, MAX_CENTRES = 250, 1 << 15
 #: Similarities that dealing holds at once.
 HELD = 1 << 22
+#: Points whose candidates are pruned at once.
+PRUNED = 128
 #: What single sums of products may be off by.
 ROUNDING = 1e-9
 #: Neighbours that a node keeps, how much nearer a neighbour must be to another to be dropped, beam of the greedy search.
@@ -52,27 +54,32 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
     """Robust pruning of each point's candidates (nearest first): a candidate goes if a kept one is ALPHA times nearer to it than the point is."""
-    n, k = near.shape
-    kept = np.full((n, degree), -1, np.int64)
-    alive = near >= 0
-    apart = 1 - sims
-    for slot in range(degree):
-        has = alive.any(axis=1)
-        if not has.any():
-            break
-        first = alive.argmax(axis=1)
-        pick = near[np.arange(n), first]
-        kept[has, slot] = pick[has]
-        between = 1 - np.einsum("nkd,nd->nk", x[np.maximum(near, 0)], x[pick])
-        alive &= ~((ALPHA * between <= apart) & has[:, None])
-        alive[np.arange(n), first] = False
+    kept = np.full((len(near), degree), -1, np.int64)
+    for at in range(0, len(near), PRUNED):
+        own = near[at : at + PRUNED]
+        rows = np.arange(len(own))
+        around = x[own]
+        # Whether a candidate goes once another is kept, for all pairs of a point's candidates: one product instead of one a kept candidate.
+        drops = ALPHA * (1 - around @ around.transpose(0, 2, 1)) <= (1 - sims[at : at + PRUNED])[:, None, :]
+        alive = np.ones(own.shape, bool)
+        for slot in range(degree):
+            first = alive.argmax(axis=1)
+            has = alive[rows, first]
+            if not has.any():
+                break
+            kept[at : at + PRUNED, slot] = np.where(has, own[rows, first], -1)
+            alive &= ~drops[rows, first]
+            alive[rows, first] = False
     return kept
 
 
 def build(x: np.ndarray, cluster: int = 1024, degree: int = DEGREE) -> np.ndarray:
-    """Adjacency (n, up to 2 * degree, -1: none) from overlapping clusters: each point is in its two nearest."""
+    """Adjacency (n, up to 2 * degree, -1: none) from overlapping clusters: each point is in its two nearest.
+
+    Of two clusters each would hold every point, so they are one.
+    """
     n = len(x)
-    k = max(1, -(-n // cluster))
+    k = -(-n // cluster) if n > 2 * cluster else 1
     rng = np.random.default_rng(0)
     centres = x[rng.choice(n, k, replace=False)]
     two = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : min(2, k)]

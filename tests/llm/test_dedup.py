@@ -193,3 +193,19 @@ def test_embeddings_lose_no_link_between_shards(spark, monkeypatch, shard):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
     assert near.sum() > 100_000 and got == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+
+
+def test_embeddings_graph_of_a_shard_is_built_once():
+    """Two clusters, each with every point, are one; pruning looks at all pairs of a point's candidates."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16))[rng.integers(0, 300, 1500)] + rng.normal(size=(1500, 16)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = embeddings.build(x)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    for i in range(0, 1500, 25):
+        left, kept = np.argsort(-sims[i])[: 2 * embeddings.DEGREE].tolist(), []
+        while left and len(kept) < embeddings.DEGREE:
+            kept.append(left[0])
+            left = [j for j in left[1:] if embeddings.ALPHA * (1 - sims[kept[-1], j]) > 1 - sims[i, j]]
+        assert graph[i][graph[i] >= 0].tolist() == kept
