@@ -16,11 +16,13 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,10 @@ LENGTH, END = 4096, 2
 GROUP, BUNDLE = 256, 128
 #: A window is left one part in SLACK short, so that differencing fits; the number of windows rises by one part in RISE at most.
 SLACK, RISE = 512, 64
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers; when there are more, the ones that occurred in several slices stay, half as many at most.
 REMEMBERED = 400_000
+#: Words of a text that is encoded, texts that are encoded at once, words whose ids are put together at once.
+WORDS, TEXTS, RUN = 512, 16, 1 << 16
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -52,6 +56,11 @@ def _by_words(path: str) -> bool:
     return steps == _NORMALIZER and splits == [_SPLIT] and own["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in own["added_tokens"])
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """The same as to_pylist, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
     """Token ids of texts. Where the tokenizer treats words by themselves, a word is encoded once; other tokenizers get whole texts."""
 
@@ -62,43 +71,64 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.own, self.by_words = Tokenizer.from_file(path), _by_words(path)
+        if not self.by_words:
+            return
+        # For words that are normalised already.
+        with open(path, encoding="utf-8") as f:
+            self.bare = Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
         vocab = self.own.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.forget()
 
-    def normal(self, word: str) -> str:
-        """The word as the tokenizer's splitter sees it."""
-        return word.lower() if word.isascii() else self.own.normalizer.normalize_str(word)
-
-    def ends_in_letter(self, word: str) -> bool:
-        """Whether its last character is a letter when normalised; only scripts below U+0500 are answered with yes."""
-        if word.isascii():
-            return word[-1].isalpha()
-        last = self.normal(word)[-1:]
-        return last.isalpha() and ord(last) < 0x500
+    def normals(self, words: list[str]) -> list[str]:
+        """The words as the tokenizer's splitter sees them."""
+        one = self.own.normalizer.normalize_str
+        other = [w for w in words if not w.isascii()]
+        # Nothing composes with the blank between two words; white space within a word would be mistaken for it.
+        whole = [w for w in other if w.split() == [w]]
+        found = dict(zip(whole, one(" ".join(whole)).split(" "), strict=True)) if whole else {}
+        return [w.lower() if w.isascii() else found[w] if w in found else one(w) for w in words]
 
     def forget(self) -> None:
-        #: Number of each word; its ids are flat[first[number] : first[number] + size[number]]. Number 0 is no word.
+        #: Number of each word, in this order; its ids are flat[first[number] : first[number] + size[number]]. Number 0 is no word.
         self.number: dict[str, int] = {"": 0}
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        #: In how many slices each word occurred.
+        self.slices = np.zeros(1, np.int64)
+
+    def keep_frequent(self) -> None:
+        least = 2
+        while (self.slices >= least).sum() > REMEMBERED // 2:
+            least += 1
+        kept = self.slices >= least
+        kept[0] = True
+        self.flat = self.flat[kept.repeat(self.size)]
+        self.number = {w: i for i, w in enumerate(itertools.compress(self.number, kept.tolist()))}
+        self.size, self.slices = self.size[kept], self.slices[kept] // 2
+        self.first = np.cumsum(self.size) - self.size
 
     def learn(self, words: list[str]) -> None:
-        plain, odd = [], []
-        for w in words:
-            (plain if self.normal(w).isalpha() else odd).append(w)
+        plain, normal, odd = [], [], []
+        for w, x in zip(words, self.normals(words), strict=True):
+            if x.isalpha():
+                plain.append(w)
+                normal.append(x)
+            else:
+                odd.append(w)
         # Letters only: one word-end token a word, so that many words can be encoded as one text.
         order, flats, sizes = [], [self.flat], [self.size]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                order += part
-                flats.append(ids)
-                sizes.append(np.diff(ends, prepend=0))
-            else:
-                odd += part
+        for start in range(0, len(plain), WORDS * TEXTS):
+            cuts = range(start, min(start + WORDS * TEXTS, len(plain)), WORDS)
+            for at, x in zip(cuts, self.bare.encode_batch_fast([" ".join(normal[at : at + WORDS]) for at in cuts], add_special_tokens=False), strict=True):
+                part, ids = plain[at : at + WORDS], np.array(x.ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part):
+                    order += part
+                    flats.append(ids)
+                    sizes.append(np.diff(ends, prepend=0))
+                else:
+                    odd += part
         for w, x in zip(odd, self.own.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             order.append(w)
             flats.append(np.array(x.ids, np.uint32))
@@ -106,25 +136,31 @@ class WordIds:
         self.number.update(zip(order, range(len(self.size), len(self.size) + len(order)), strict=True))
         self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
         self.first = np.cumsum(self.size) - self.size
+        self.slices = np.append(self.slices, np.zeros(len(order), np.int64))
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, first, size) of the words' ids. A word with closing ASCII punctuation after a letter is that word and the punctuation."""
-        cores, tails = [], []
-        for w in words:
-            core = w.rstrip(".,;:!?")
-            if core == w or not core or "<|" in w or not self.ends_in_letter(core):
-                cores.append(w.lower() if w.isascii() and "<|" not in w else w)
-                tails.append("")
-            else:
-                cores.append(core.lower() if core.isascii() else core)
-                tails.append(w[len(core) :])
+        special = pc.match_substring(words, "<|")
+        bare = pc.utf8_rtrim(words, string.punctuation)
+        cut = pc.and_not(pc.and_(pc.not_equal(bare, words), pc.not_equal(bare, "")), special).to_numpy(zero_copy_only=False)
+        last = pc.utf8_slice_codeunits(bare, -1)
+        letter = pc.ascii_is_alpha(last).to_numpy(zero_copy_only=False)
+        # Only scripts below U+0500 are known to end in a letter.
+        other = np.flatnonzero(cut & ~letter & ~pc.string_is_ascii(last).to_numpy(zero_copy_only=False))
+        letter[other] = [x[-1].isalpha() and ord(x[-1]) < 0x500 for x in self.normals(_strings(bare.take(pa.array(other))))]
+        cut &= letter
+        at = np.flatnonzero(cut)
+        cores = pc.if_else(pa.array(cut), bare, words)
+        cores = _strings(pc.if_else(pc.and_not(pc.string_is_ascii(cores), special), pc.ascii_lower(cores), cores))
+        ends = [w[n:] for w, n in zip(_strings(words.take(pa.array(at))), pc.utf8_length(bare.take(pa.array(at))).to_numpy().tolist(), strict=True)]
         if len(self.number) > REMEMBERED:
-            self.forget()
+            self.keep_frequent()
         number = self.number
-        self.learn(list({x for part in (cores, tails) for x in part if x not in number}))
-        both = np.empty(2 * len(words), np.int64)
+        self.learn([x for x in {*cores, *ends} if x not in number])
+        both = np.zeros(2 * len(words), np.int64)
         both[::2] = np.fromiter(map(number.__getitem__, cores), np.int64, len(words))
-        both[1::2] = np.fromiter(map(number.__getitem__, tails), np.int64, len(words))
+        both[2 * at + 1] = np.fromiter(map(number.__getitem__, ends), np.int64, len(ends))
+        self.slices += np.bincount(both, minlength=len(self.slices)) > 0
         n = self.size[both]
         flat = self.flat[np.repeat(self.first[both] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         size = n[::2] + n[1::2]
@@ -140,17 +176,21 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
             yield np.array([*x.ids, END], np.uint32)
         return
     codes, ends, words = space_words(texts, lower=False)
-    flat, first, size = _tokenizers[path].of(words.to_pylist())
-    for a, b in itertools.pairwise(ends):
-        own = codes[a:b]
+    flat, first, size = _tokenizers[path].of(words)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
+        own = codes[ends[at] : ends[end]]
         n = size[own]
-        stop = n.cumsum()
-        total = int(stop[-1]) if len(stop) else 0
-        out = np.empty(total + 1, np.uint32)
-        if total:
-            out[:total] = flat[(first[own] - stop + n).repeat(n) + np.arange(total)]
-        out[total] = END
-        yield out
+        stop = np.concatenate(([0], n.cumsum()))
+        stops = stop[ends[at + 1 : end + 1] - ends[at]] + np.arange(end - at)
+        out = np.empty(stop[-1] + end - at, np.uint32)
+        word = np.ones(len(out), bool)
+        word[stops] = False
+        out[stops] = END
+        out[word] = flat[(first[own] - stop[:-1]).repeat(n) + np.arange(stop[-1])]
+        yield from np.split(out, stops[:-1] + 1)
+        at = end
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:

@@ -173,6 +173,23 @@ def test_packing_groups():
         assert sum(4096 - x for x in loads.values() if x & (x - 1)) <= 0.02 * sum(sizes)
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """Words that come back stay known when rare ones fill a worker's memory; closing punctuation of any kind is a word of its own."""
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    path = packing.default_tokenizer()
+    own, learned = packing.WordIds(path), Counter()
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: (learned.update(words), learn(words))[1])
+    monkeypatch.setitem(packing._tokenizers, path, own)
+    for k in range(12):
+        rare = [f"{chr(97 + i)}q{chr(97 + k)}x" for i in range(20)]
+        texts = [" ".join(f"{w}{'***' if i % 3 else ''}" for i, w in enumerate(["the", "É", "of", "naïve", "ΣΑΣ", "and", "e\u0301", *rare])), "a\u00a0b\u3000 \u0301x the%%% l'est' don't. <|x|>&"]
+        got = packing.token_ids(pa.array(texts), path)
+        want = [[*own.own.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+        assert [x.tolist() for x in got] == want
+    assert learned["the"] == learned["of"] == learned["***"] == 1 and not any("*" in w and w.strip("*") for w in learned)
+
+
 def test_word_ids_are_the_tokenizers():
     from hypothesis import given, settings
     from hypothesis import strategies as st
