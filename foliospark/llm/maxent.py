@@ -123,11 +123,66 @@ class Vocabulary:
 
 #: Sums of rows by a product.
 _ONES = np.ones(SIDE, np.float32)
-
-
-def _rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """values[at]; every number is in range, so that nothing is copied twice."""
-    return values.take(at, axis=0, mode="clip")
+#: A weight row as one value.
+_ROW = np.dtype((np.void, 4 * SIDE))
+
+
+#: What a batch is worked out in, by name. New arrays of this size come from the system page by page, which takes longer than filling them.
+_held: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, n: int) -> np.ndarray:
+    """Rows for up to a batch; what was in them before is lost."""
+    if name not in _held:
+        _held[name] = np.empty((BATCH, SIDE), np.float32)
+    return _held[name][:n]
+
+
+def _rows(values: np.ndarray, at: np.ndarray, name: str) -> np.ndarray:
+    """values[at] in the room of that name; every number is in range, so that nothing is copied twice."""
+    return values.take(at, axis=0, mode="clip", out=_room(name, len(at)))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of values[at] over (values, at): what goes into the softmax, far within what exp can do in single precision."""
+    z = _rows(*parts[0], "sum")
+    for part in parts[1:]:
+        z += _rows(*part, "part")
+    return np.clip(z, -60, 60, out=z)
+
+
+class Used:
+    """The distinct rows that a batch's tokens use: first those of one token, which most are, then the others, each in order."""
+
+    def __init__(self, table: np.ndarray, row: np.ndarray, name: str) -> None:
+        # Row and place in one number: sorting numbers is faster than sorting places by rows.
+        both = np.sort((row.astype(np.int64) << PLACE) | np.arange(len(row)))
+        order, ordered = both & (BATCH - 1), both >> PLACE
+        new = ordered[1:] != ordered[:-1]
+        first = np.append(True, new)
+        lone = first & np.append(new, True)
+        many = ~lone
+        self.lone, self.shared, first = order[lone], order[many], first[many]
+        #: Where the tokens of each shared row begin.
+        self.first = np.flatnonzero(first)
+        n = len(self.lone)
+        self.row = np.concatenate([ordered[lone], ordered[many][self.first]])
+        self.times = np.ones(len(self.row), np.int32)
+        self.times[n:] = np.diff(self.first, append=len(self.shared))
+        self.which = np.empty(len(order), np.intp)
+        self.which[self.lone] = np.arange(n)
+        self.which[self.shared] = n - 1 + np.cumsum(first)
+        # Read once and in order; tokens then find their rows within what a cache holds.
+        self.values = _rows(table, self.row, name)
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """Of each distinct row: the sum of its tokens' rows of g."""
+        out, n = _room("sums", len(self.row)), len(self.lone)
+        g.take(self.lone, axis=0, mode="clip", out=out[:n])
+        if len(self.first):
+            # Two numbers at a time: the sums of real and imaginary parts are apart.
+            np.add.reduceat(_rows(g, self.shared, "part").view(np.complex64), self.first, axis=0, out=out[n:].view(np.complex64))
+        return out
 
 
 def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -172,20 +227,6 @@ class Weights:
                 at += n
             yield own, before, cell[own] // SIDE ** (2 - level) % SIDE, rows
 
-    def summed(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        """What goes into the softmax, far within what exp can do in single precision."""
-        z = _rows(self.rows, rows[0])
-        for r in rows[1:]:
-            z += _rows(self.rows, r)
-        z += bias
-        return np.clip(z, -60, 60, out=z)
-
-    def softmax(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        z = self.summed(rows, bias)
-        np.exp(z, out=z)
-        z /= (z @ _ONES)[:, None]
-        return z
-
     def log10(self, cell: np.ndarray, feature: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's cell."""
         return np.concatenate([np.zeros(0), *(self._log10(cell[ends[i] : ends[j]], feature[ends[i] : ends[j]], ends[i : j + 1] - ends[i]) for i, j in _pieces(ends))])
@@ -195,7 +236,7 @@ class Weights:
         for (own, before, truth, rows), bias in zip(self.features(feature, ends, cell), self.bias, strict=True):
             for at in range(0, len(own), BATCH):
                 cut = slice(at, at + BATCH)
-                z = self.summed([r[cut] for r in rows], _rows(bias, before[cut]))
+                z = _summed([*((self.rows, r[cut]) for r in rows), (bias, before[cut])])
                 right = z[np.arange(len(z)), truth[cut]]
                 np.exp(z, out=z)
                 out[own[cut]] += (right - np.log(z @ _ONES)) / np.log(10)
@@ -216,22 +257,20 @@ class Trainer:
         for (own, before, truth, rows), bias in zip(self.w.features(feature, ends, cell), self.w.bias, strict=True):
             for at in range(0, len(own), BATCH):
                 cut = slice(at, at + BATCH)
-                g = self.w.softmax([r[cut] for r in rows], _rows(bias, before[cut]))
+                # Kinds and levels have rows of their own, so what is read here is as it was until it is written.
+                used = [Used(self.w.rows, r[cut], f"values {k}") for k, r in enumerate(rows)]
+                g = _summed([*((u.values, u.which) for u in used), (bias, before[cut])])
+                np.exp(g, out=g)
+                g /= (g @ _ONES)[:, None]
                 g[np.arange(len(g)), truth[cut]] -= 1
-                for r in rows:
-                    r = r[cut]
-                    # Row and place in one number: sorting numbers is faster than sorting places by rows.
-                    both = np.sort((r.astype(np.int64) << PLACE) | np.arange(len(r)))
-                    order, ordered = both & (BATCH - 1), both >> PLACE
-                    first = np.flatnonzero(np.diff(ordered, prepend=-1))
-                    row = ordered[first]
-                    # Two numbers at a time: the sums of real and imaginary parts are apart.
-                    grad = np.add.reduceat(_rows(g, order).view(np.complex64), first, axis=0).view(np.float32)
-                    square = self.sum[row] + np.einsum("ij,ij->i", grad, grad) / SIDE
-                    self.sum[row] = square
+                for u in used:
+                    grad = u.sums(g)
+                    square = self.sum[u.row] + np.einsum("ij,ij->i", grad, grad) / SIDE
+                    self.sum[u.row] = square
                     grad *= (RATE / np.sqrt(square))[:, None]
-                    self.w.rows[row] -= grad
-                    self.used[row] += np.diff(first, append=len(order)).astype(np.int32)
+                    # A row is copied whole.
+                    self.w.rows.view(_ROW)[u.row] = np.subtract(u.values, grad, out=grad).view(_ROW)
+                    self.used[u.row] += u.times
 
     def changes(self, task: int) -> Iterator[pa.RecordBatch]:
         """For each block of rows: the numbers of the rows that were used, how often, and their changes times that."""

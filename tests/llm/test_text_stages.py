@@ -495,3 +495,33 @@ def test_stages_reject_rows_whatever_their_doc_id(spark, docs_of, labelled):
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "y"), ("2", "None"), ("None", "x")]
+
+
+def test_maxent_batches_read_each_row_once():
+    """Rows of one token and shared ones against plain sums; a step is plain Adagrad, and batches are worked out in the same room."""
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(5000, maxent.SIDE)).astype(np.float32)
+    for rows in (rng.integers(0, 5000, 3000), rng.integers(0, 40, 3000), np.arange(9)[::-1], np.zeros(1, np.int64)):
+        used, g = maxent.Used(table, rows.astype(np.int32), "test"), rng.normal(size=(len(rows), maxent.SIDE)).astype(np.float32)
+        assert sorted(used.row.tolist()) == np.unique(rows).tolist() and (used.values[used.which] == table[rows]).all()
+        want = np.zeros_like(table)
+        np.add.at(want, rows, g)
+        assert np.allclose(used.sums(g), want[used.row], atol=1e-4) and (used.times == np.bincount(rows, minlength=5000)[used.row]).all()
+    assert np.shares_memory(used.values, maxent.Used(table, rows, "test").values)
+    n = 3000
+    cell, feature, ends = rng.integers(maxent.SINGLES * maxent.SIDE, maxent.CELLS, n), rng.integers(1, 60, n), np.array([0, 1200, n])
+    weights = maxent.Weights(np.bincount(cell, minlength=maxent.CELLS), 1 << 8)
+    trainer, rows, sums, count = maxent.Trainer(weights), np.zeros(weights.rows.shape), np.full(len(weights.rows), maxent.FIRST), np.zeros(len(weights.rows), int)
+    for _ in range(2):
+        for (own, before, truth, kinds), bias in zip(weights.features(feature, ends, cell), weights.bias, strict=True):
+            z = np.exp(sum(rows[r] for r in kinds) + bias[before])
+            g = z / z.sum(axis=1, keepdims=True)
+            g[np.arange(len(own)), truth] -= 1
+            for r in kinds:
+                grad = np.zeros_like(rows)
+                np.add.at(grad, r, g)
+                sums += (grad**2).sum(axis=1) / maxent.SIDE
+                rows -= grad * (maxent.RATE / np.sqrt(sums))[:, None]
+                count += np.bincount(r, minlength=len(count))
+        trainer.step(cell, feature, ends)
+    assert np.abs(rows).max() > 0.05 and np.allclose(trainer.w.rows, rows, atol=1e-4) and (trainer.used == count).all() and not weights.rows.any()
